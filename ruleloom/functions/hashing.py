@@ -27,13 +27,14 @@ def poisson_steps(rate: float) -> list[float]:
     """P(X <= 0), P(X <= 1), ... of a Poisson variable, as far as a 32-bit draw can tell them from 1."""
     if rate < 0:
         raise ValueError(f"rate must not be negative, got {rate}")
-    steps, k, total = [], 0, 0.0
-    while True:
-        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else 1.0
-        if 1.0 - total < 1.0 / HASH_RANGE or (k > rate and total >= 1.0):
-            return steps + [total] if rate > 0 and total < 1.0 else steps
+    if rate == 0:
+        return []
+    steps, k, total = [], 0, math.exp(-rate)
+    while total <= 1.0 - 1.0 / HASH_RANGE:
         steps.append(total)
         k += 1
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+    return steps
 
 
 def poisson_copies(draw: Column, rate: float) -> Column:
