@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruleloom.operators.match import RuleIndex, index_rules, match
-from ruleloom.staging import stage
+from ruleloom.staging import stage, stage_observed
 
 USED, SPARE = 1, 2
 
@@ -89,23 +89,32 @@ def _round_facts(open_patterns: DataFrame) -> DataFrame:
     )
 
 
+def _next_round(still_open: DataFrame, places: DataFrame) -> DataFrame:
+    """The patterns left open, reduced to the rules that are still undecided in them."""
+    possible = F.filter("codes", lambda c: _state(c) > 0)
+    return (
+        still_open.join(_states(places, _round_facts(still_open)), "bag_id")
+        .withColumn("codes", possible)
+        .withColumn("codes", _before_used(F.col("codes")))
+        .where(F.size("codes") > 0)
+        .select("bag_id", "codes")
+        .distinct()
+    )
+
+
 def used_rules(patterns: DataFrame, places: DataFrame) -> DataFrame:
     """(bag_id, place) of the used rules; rounds until no pattern is open."""
-    still_open, used = patterns, []
-    while not still_open.isEmpty():
-        facts = stage(_round_facts(still_open), "coverage-facts")
-        used.append(facts.where(F.col("state") == 2).select("bag_id", "place"))
-        possible = F.filter("codes", lambda c: _state(c) > 0)
-        still_open = stage(
-            still_open.join(_states(places, facts), "bag_id")
-            .withColumn("codes", possible)
-            .withColumn("codes", _before_used(F.col("codes")))
-            .where(F.size("codes") > 0)
-            .select("bag_id", "codes")
-            .distinct(),
-            "coverage-open",
-        )
-    return reduce(DataFrame.unionByName, used) if used else places.limit(0)
+    rounds, still_open, seen = [patterns], patterns, {"rows": 1}
+    while seen["rows"]:
+        still_open, seen = stage_observed(_next_round(still_open, places), "coverage-open")
+        rounds.append(still_open)
+    first = F.col("codes")[0]
+    return (
+        reduce(DataFrame.unionByName, rounds)
+        .where(_right(first))
+        .select("bag_id", _place(first).alias("place"))
+        .distinct()
+    )
 
 
 def cover(rules: DataFrame, tx: DataFrame, save_spare: bool = True, shared: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ruleloom.functions.metrics import gain, gain_exceeds, square
 from ruleloom.operators.items import (
     RANK_MAP_LIMIT,
+    bag_limits,
     bag_totals,
     decode,
     items_by_rank,
@@ -30,41 +31,31 @@ from ruleloom.operators.items import (
 from ruleloom.operators.match import contains_all
 from ruleloom.operators.prefix import parent_of
 from ruleloom.operators.rules import finish, keep_rules, measure
-from ruleloom.staging import stage
+from ruleloom.staging import stage, stage_observed
 
 # Depths of the tree looked at per pass over the paths.
 DEPTHS_PER_ROUND = 6
 
 
-def node_table(paths: DataFrame, first_depth: int = 1, last_depth: int | None = None) -> DataFrame:
+def node_table(paths: DataFrame, first_depth: int = 0, last_depth: int | None = None) -> DataFrame:
     """(bag_id, prefix, n, n_max, squares, label) of the nodes in a range of depths; label is the node's majority.
 
-    Ties between classes go to the smallest label.
+    Ties between classes go to the smallest label. Depth 0 is the root: it counts the records with a ranked item only.
     """
     last = F.size("ranks") if last_depth is None else F.least(F.size("ranks"), F.lit(last_depth))
     prefixes = F.transform(F.sequence(F.lit(first_depth), last), lambda k: F.slice(F.col("ranks"), F.lit(1), k))
-    return _summarise(
+    return (
         paths.where(F.size("ranks") >= first_depth)
         .select("bag_id", "label", "n", F.explode(prefixes).alias("prefix"))
         .groupBy("bag_id", "prefix", "label")
         .agg(F.sum("n").alias("n"))
-    )
-
-
-def _summarise(per_label: DataFrame) -> DataFrame:
-    return per_label.groupBy("bag_id", "prefix").agg(
-        F.sum("n").alias("n"),
-        F.max("n").alias("n_max"),
-        F.sum(square(F.col("n"))).cast("decimal(38,0)").alias("squares"),
-        F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"),
-    )
-
-
-def root_table(paths: DataFrame) -> DataFrame:
-    """The root of each bag's tree. It counts the records with at least one ranked item only."""
-    empty = F.slice("ranks", 1, 0).alias("prefix")
-    return _summarise(
-        paths.select("bag_id", empty, "label", "n").groupBy("bag_id", "prefix", "label").agg(F.sum("n").alias("n"))
+        .groupBy("bag_id", "prefix")
+        .agg(
+            F.sum("n").alias("n"),
+            F.max("n").alias("n_max"),
+            F.sum(square(F.col("n"))).cast("decimal(38,0)").alias("squares"),
+            F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"),
+        )
     )
 
 
@@ -76,7 +67,7 @@ def node_gain(nodes: DataFrame, parents: DataFrame, limits: DataFrame, min_gain:
     above = parents.select(
         "bag_id", F.col("prefix").alias("parent"), F.col("n").alias("n_parent"), F.col("squares").alias("sq_parent")
     )
-    joined = nodes.withColumn("parent", parent_of(F.col("prefix"))).join(above, ["bag_id", "parent"])
+    joined = nodes.where(F.size("prefix") > 0).withColumn("parent", parent_of(F.col("prefix"))).join(above, ["bag_id", "parent"])
     pair = [F.col(c) for c in ("n", "squares", "n_parent", "sq_parent")]
     return (
         joined.join(F.broadcast(limits), "bag_id")
@@ -87,25 +78,29 @@ def node_gain(nodes: DataFrame, parents: DataFrame, limits: DataFrame, min_gain:
 
 
 def qualified_nodes(
-    paths: DataFrame, limits: DataFrame, min_gain: float = 0.0, max_depth: int | None = None
+    paths: DataFrame, widest: int, limits: DataFrame, min_gain: float = 0.0, max_depth: int | None = None
 ) -> DataFrame:
     """Qualified nodes, found in rounds of a few depths below the nodes that are still open."""
-    root = stage(root_table(paths), "tree-root")
-    found, open_ends, depth = [], root, 0
-    while max_depth is None or depth < max_depth:
-        last = depth + DEPTHS_PER_ROUND if max_depth is None else min(depth + DEPTHS_PER_ROUND, max_depth)
-        nodes = node_table(paths, depth + 1, last).join(F.broadcast(limits), "bag_id")
-        # A node below the minimum count can neither qualify nor lead to one that does.
-        nodes = stage(nodes.where(F.col("n_max") >= F.col("min_count")).drop("min_count"), "tree-nodes")
-        judged = node_gain(nodes, nodes.unionByName(open_ends), limits, min_gain)
-        chain = stage(_all_ancestors_open(judged, depth), "tree-qualified")
+    deepest_level = widest if max_depth is None else min(widest, max_depth)
+    found, ends, depth = [], None, 0
+    while True:
+        last = min(depth + DEPTHS_PER_ROUND, deepest_level)
+        # A node below the minimum count can neither qualify nor lead to one that does; the root is only a parent.
+        nodes = node_table(paths, depth + 1 if depth else 0, last).join(F.broadcast(limits), "bag_id")
+        nodes = nodes.where((F.col("n_max") >= F.col("min_count")) | (F.size("prefix") == 0)).drop("min_count")
+        nodes = stage(nodes, "tree-nodes")
+        judged = node_gain(nodes, nodes if ends is None else nodes.unionByName(ends), limits, min_gain)
+        chain = _all_ancestors_open(judged, depth)
+        if last >= deepest_level:
+            return reduce(DataFrame.unionByName, [*found, chain])
+        chain = stage(chain, "tree-qualified")
         found.append(chain)
-        open_ends = chain.where((F.size("prefix") == last) & ~F.col("pure")).select(*root.columns)
-        if open_ends.isEmpty():
-            break
-        paths = stage(_below(paths, open_ends, last), "tree-paths")
+        ends = chain.where((F.size("prefix") == last) & ~F.col("pure")).select(*nodes.columns)
+        paths, seen = stage_observed(_below(paths, ends, last), "tree-paths", widest=F.max(F.size("ranks")))
+        if not seen["rows"]:
+            return reduce(DataFrame.unionByName, found)
+        deepest_level = min(deepest_level, seen["widest"])
         depth = last
-    return reduce(DataFrame.unionByName, found)
 
 
 def _below(paths: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
@@ -146,27 +141,19 @@ def path_rules(paths: DataFrame, nodes: DataFrame, item_n: DataFrame) -> DataFra
     `item_n` is (bag_id, item, n). Each path is looked up under its rarest item, and the matches are added up before
     the shuffle.
     """
-    anchors = (
-        nodes.select("bag_id", "prefix", F.explode("prefix").alias("item"))
+    wanted, seen = stage_observed(
+        nodes.select("bag_id", "prefix", F.col("label").alias("consequent"), F.explode("prefix").alias("item"))
         .join(item_n, ["bag_id", "item"])
-        .groupBy("bag_id", "prefix")
+        .groupBy("bag_id", "prefix", "consequent")
         .agg(F.min_by("item", F.struct("n", "item")).alias("anchor"))
-    )
-    wanted = stage(
-        nodes.join(anchors, ["bag_id", "prefix"]).select(
-            "bag_id",
-            "prefix",
-            F.col("label").alias("consequent"),
-            "anchor",
-            F.array_remove("prefix", F.col("anchor")).alias("others"),
-        ),
+        .withColumn("others", F.array_remove("prefix", F.col("anchor"))),
         "tree-rules",
+        longest=F.max(F.size("others")),
     )
-    longest = wanted.agg(F.max(F.size("others")).alias("w")).first()["w"] or 0
     return (
         paths.select("bag_id", "ranks", "label", "n", F.explode("ranks").alias("anchor"))
         .join(wanted, ["bag_id", "anchor"])
-        .where(contains_all(F.col("ranks"), F.col("others"), longest))
+        .where(contains_all(F.col("ranks"), F.col("others"), seen["longest"] or 0))
         .groupBy("bag_id", "prefix", "consequent")
         .agg(
             F.sum("n").alias("n_ant"),
@@ -196,9 +183,6 @@ def mine_gain(
 ) -> DataFrame:
     """Rules of the gain strategy. `presorted` takes the items in their given order, without ranking or dropping any."""
     counts = stage(label_counts(tx), "label-counts") if counts is None else counts
-    limits = stage(
-        bag_totals(counts).select("bag_id", min_count(F.col("n_total"), min_support).alias("min_count")), "limits"
-    )
     if presorted:
         ranks = None
         paths = (
@@ -208,12 +192,14 @@ def mine_gain(
             .agg(F.count("*").alias("n"))
         )
         item_n = counts.where(F.col("item").isNotNull()).groupBy("bag_id", "item").agg(F.sum("n").alias("n"))
+        limits = bag_totals(counts).select("bag_id", min_count(F.col("n_total"), min_support).alias("min_count"))
     else:
-        ranks = stage(rank_items(counts, min_support, "gain"), "ranks")
-        paths = ranked_baskets(tx, ranks, map_limit=map_limit)
+        ranks, seen = stage_observed(rank_items(counts, min_support, "gain"), "ranks")
+        paths = ranked_baskets(tx, ranks, seen["rows"] <= map_limit)
         item_n = ranks.select("bag_id", F.col("rank").alias("item"), "n")
-    paths = stage(paths, "paths")
-    nodes = qualified_nodes(paths, limits, min_gain, max_depth)
+        limits = bag_limits(ranks)
+    paths, seen = stage_observed(paths, "paths", widest=F.max(F.size("ranks")))
+    nodes = qualified_nodes(paths, seen["widest"] or 0, limits, min_gain, max_depth)
     found = path_rules(paths, nodes, item_n)
     survivors = stage(keep_rules(measure(found, counts), min_confidence, min_chi2), "tree-survivors")
     rules = deepest(survivors)

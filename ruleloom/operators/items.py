@@ -97,8 +97,9 @@ def rank_items(counts: DataFrame, min_support: float, strategy: str) -> DataFram
     return frequent.withColumn("rank", F.row_number().over(W.partitionBy("bag_id").orderBy(*order)) - 1)
 
 
-def fits_map(ranks: DataFrame, limit: int) -> bool:
-    return ranks.limit(limit + 1).count() <= limit
+def bag_limits(ranks: DataFrame) -> DataFrame:
+    """(bag_id, min_count) of the bags that rank any item."""
+    return ranks.groupBy("bag_id").agg(F.max("min_count").alias("min_count"))
 
 
 def encode_by_map(tx: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -121,34 +122,27 @@ def encode_by_join(tx: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
-def rank_encode(
-    tx: DataFrame, ranks: DataFrame, descending: bool = False, map_limit: int = RANK_MAP_LIMIT
-) -> DataFrame:
+def rank_encode(tx: DataFrame, ranks: DataFrame, by_map: bool = True, descending: bool = False) -> DataFrame:
     """Adds `ranks`, the sorted ranks of the record's ranked items; records without any are dropped.
 
-    `ranks` must be staged, the records must be distinct (carry their id).
+    Without `by_map` the records must be distinct (carry their id).
     """
-    encode = encode_by_map if fits_map(ranks, map_limit) else encode_by_join
-    return (
-        encode(tx, ranks).where(F.size("ranks") > 0).withColumn("ranks", F.sort_array("ranks", asc=not descending))
-    )
+    encoded = (encode_by_map if by_map else encode_by_join)(tx, ranks)
+    return encoded.where(F.size("ranks") > 0).withColumn("ranks", F.sort_array("ranks", asc=not descending))
 
 
-def ranked_baskets(
-    tx: DataFrame, ranks: DataFrame, descending: bool = False, map_limit: int = RANK_MAP_LIMIT
-) -> DataFrame:
+def ranked_baskets(tx: DataFrame, ranks: DataFrame, by_map: bool = True, descending: bool = False) -> DataFrame:
     """(bag_id, ranks, label, n): records that look alike after rank encoding are counted together.
 
     Records without a ranked item are gone, but they were counted in the bag's totals.
     """
     rows = tx.select("bag_id", "items", "label")
-    if fits_map(ranks, map_limit):
-        encoded = encode_by_map(rows, ranks).withColumn("n", F.lit(1).cast("bigint"))
+    if by_map:
+        rows = rows.withColumn("n", F.lit(1).cast("bigint"))
     else:
-        encoded = encode_by_join(rows.groupBy("bag_id", "items", "label").agg(F.count("*").alias("n")), ranks)
+        rows = rows.groupBy("bag_id", "items", "label").agg(F.count("*").alias("n"))
     return (
-        encoded.where(F.size("ranks") > 0)
-        .withColumn("ranks", F.sort_array("ranks", asc=not descending))
+        rank_encode(rows, ranks, by_map, descending)
         .groupBy("bag_id", "ranks", "label")
         .agg(F.sum("n").alias("n"))
     )

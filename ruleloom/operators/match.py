@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.staging import stage
+from ruleloom.staging import stage_observed
 
 # A rule table up to this many antecedent items is broadcast. A larger one is joined by shuffle, its anchors salted.
 BROADCAST_ITEMS = 1_000_000
@@ -43,28 +43,26 @@ class RuleIndex:
 
 
 def index_rules(
-    rules: DataFrame, keys: Sequence[str], keep: Sequence[str | Column], broadcast_items: int = BROADCAST_ITEMS
+    rules: DataFrame, keys: Sequence[str], keep: Sequence[str], broadcast_items: int = BROADCAST_ITEMS
 ) -> RuleIndex:
-    """File each rule, identified by `keys`, under one antecedent item; `keep` columns travel along."""
-    rules = stage(rules.select(*keys, "antecedent", "support", *keep), "rules")
-    uses = rules.select(*keys, "support", F.explode("antecedent").alias("item"))
+    """File each rule, identified by `keys`, under one antecedent item; `keep` columns travel along.
+
+    `rules` is read twice and should be a staged table.
+    """
+    columns = [*keys, "antecedent", "support", *keep]
+    uses = rules.select(*columns, F.explode("antecedent").alias("item"))
     heat = uses.groupBy("item").agg(F.sum("support").alias("heat"))
-    anchors = (
+    table, seen = stage_observed(
         uses.join(heat, "item")
-        .groupBy(*keys)
+        .groupBy(*columns)
         .agg(F.min_by("item", F.struct(F.round("heat", 9), F.col("item"))).alias("anchor"))
-    )
-    table = stage(
-        rules.join(anchors, list(keys))
         .withColumn("others", F.array_remove("antecedent", F.col("anchor")))
         .drop("antecedent"),
         "rule-index",
+        longest=F.max(F.size("others")),
+        items=F.sum(F.size("others") + 1),
     )
-    size = table.agg(
-        F.coalesce(F.max(F.size("others")), F.lit(0)).alias("longest"),
-        F.coalesce(F.sum(F.size("others") + 1), F.lit(0)).alias("items"),
-    ).first()
-    return RuleIndex(table, size["longest"], size["items"], broadcast_items)
+    return RuleIndex(table, seen["longest"] or 0, seen["items"] or 0, broadcast_items)
 
 
 def match(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def parent_of(prefix: Column) -> Column:
-    return F.slice(prefix, 1, F.size(prefix) - 1)
+    return F.slice(prefix, F.lit(1), F.greatest(F.size(prefix) - 1, F.lit(0)))
 
 
 def prefix_nodes(baskets: DataFrame, path: str = "ranks") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruleloom.functions.metrics import passes, rule_text, with_metrics
-from ruleloom.operators.items import bag_totals, class_counts
+from ruleloom.operators.items import class_counts
 
 MEASURES = ("antecedent", "consequent", "n_ant", "n_hit", "n_class", "n_total", "support", "confidence", "chi2")
 
@@ -34,9 +34,11 @@ def order_rules(rules: DataFrame, within: Sequence[str] = ("bag_id",)) -> DataFr
 
 def measure(found: DataFrame, counts: DataFrame) -> DataFrame:
     """Add class and bag counts and the three measures to rows with consequent, n_ant and n_hit."""
-    totals = bag_totals(counts).select("bag_id", "n_total")
-    classes = class_counts(counts).withColumnRenamed("label", "consequent")
-    return with_metrics(found.join(classes, ["bag_id", "consequent"]).join(totals, "bag_id"))
+    bag = W.partitionBy("bag_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    classes = class_counts(counts).select(
+        "bag_id", F.col("label").alias("consequent"), "n_class", F.sum("n_class").over(bag).alias("n_total")
+    )
+    return with_metrics(found.join(classes, ["bag_id", "consequent"]))
 
 
 def keep_rules(

@@ -1,9 +1,10 @@
-"""Rules from frequent itemsets, grown level by level for all bags at once.
+"""Rules from frequent itemsets, for all bags at once.
 
-The table grown is the projected data: (bag_id, itemset, rest, label, n), where `rest` are the items that may
-still extend the itemset in those records, rarest first. Each level counts the extensions per class (combined before
-the shuffle), keeps the frequent ones, and projects the data on them: rests shrink to frequent extensions and equal
-rows are added up, so that data and lineage both shrink. Every level is staged.
+Records are first reduced to weighted baskets of ranked items. If all baskets are narrow, their subsets are counted in
+one aggregation. Otherwise itemsets grow level by level over the projected data: (bag_id, itemset, rest, label, n), where
+`rest` are the items that may still extend the itemset in those records, rarest first. Each level counts the
+extensions per class (combined before the shuffle), keeps the frequent ones, and projects the data on them: rests shrink
+to frequent extensions and equal rows are added up, so that data and lineage both shrink. Every level is staged.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators.items import (
     RANK_MAP_LIMIT,
-    bag_totals,
+    bag_limits,
+    class_counts,
     decode,
     items_by_rank,
     label_counts,
@@ -24,7 +26,10 @@ from ruleloom.operators.items import (
     ranked_baskets,
 )
 from ruleloom.operators.rules import finish, keep_rules, measure
-from ruleloom.staging import stage
+from ruleloom.staging import stage, stage_observed
+
+# Baskets of up to this many ranked items have all their subsets counted at once (at most 2^7 - 1 rows per basket).
+NARROW = 7
 
 
 def frequent_itemsets(
@@ -34,6 +39,7 @@ def frequent_itemsets(
     suffix_predicate: Column | None = None,
     counts: DataFrame | None = None,
     map_limit: int = RANK_MAP_LIMIT,
+    narrow: int = NARROW,
 ) -> tuple[DataFrame, DataFrame]:
     """Itemsets whose largest class count reaches the minimum count of their bag.
 
@@ -42,35 +48,70 @@ def frequent_itemsets(
     tested on that rarest item only.
     """
     counts = stage(label_counts(tx), "label-counts") if counts is None else counts
-    ranks = stage(rank_items(counts, min_support, "support"), "ranks")
-    limits = stage(
-        bag_totals(counts).select("bag_id", min_count(F.col("n_total"), min_support).alias("min_count")), "limits"
-    )
+    ranks, seen = stage_observed(rank_items(counts, min_support, "support"), "ranks")
     usable = ranks.where(F.col("n_max") >= F.col("min_count"))
+    limits = bag_limits(ranks)
+    baskets, width = stage_observed(
+        ranked_baskets(tx, usable, seen["rows"] <= map_limit, descending=True),
+        "baskets",
+        widest=F.max(F.size("ranks")),
+    )
+    starts = None if suffix_predicate is None else usable.where(suffix_predicate).select("bag_id", "rank")
+    if (width["widest"] or 0) <= narrow:
+        return _all_subsets(baskets, limits, max_length, starts), items_by_rank(ranks)
+    return _level_by_level(baskets, limits, max_length, starts), items_by_rank(ranks)
+
+
+def _from_start(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """Only itemsets whose first item is among `starts`."""
+    if starts is None:
+        return rows
+    heads = starts.select("bag_id", F.array("rank").alias("head"))
+    return rows.withColumn("head", F.slice("itemset", 1, 1)).join(heads, ["bag_id", "head"], "left_semi").drop("head")
 
-    singles = (
-        counts.join(usable.select("bag_id", "item", "rank", F.col("n").alias("n_ant"), "n_max"), ["bag_id", "item"])
-        .where(F.lit(True) if suffix_predicate is None else suffix_predicate)
-        .select("bag_id", F.array("rank").alias("itemset"), "label", F.col("n").alias("n_hit"), "n_ant", "n_max")
+
+def _all_subsets(baskets: DataFrame, limits: DataFrame, max_length: int, starts: DataFrame | None) -> DataFrame:
+    empty = F.array(F.array().cast("array<int>"))
+    subsets = F.aggregate(
+        "ranks", empty, lambda sets, x: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(x))))
     )
-    levels = [stage(singles, "itemsets")]
-    if max_length < 1:
-        return levels[0].limit(0), items_by_rank(ranks)
+    wanted = F.filter(subsets, lambda s: (F.size(s) > 0) & (F.size(s) <= max_length))
+    rows = baskets.select("bag_id", F.explode(wanted).alias("itemset"), "label", "n")
+    return _frequent(_from_start(rows, starts), limits)
+
 
-    front = ranked_baskets(tx, usable, descending=True, map_limit=map_limit).select(
+def _level_by_level(baskets: DataFrame, limits: DataFrame, max_length: int, starts: DataFrame | None) -> DataFrame:
+    front = baskets.select(
         "bag_id", F.array().cast("array<int>").alias("itemset"), F.col("ranks").alias("rest"), "label", "n"
     )
-    front = stage(front, "projected")
-    for length in range(2, max_length + 1):
-        grown = _project(front, None if length == 2 else _extensions(levels[-1]))
-        if length == 2 and suffix_predicate is not None:
-            grown = grown.join(levels[0].select("bag_id", "itemset"), ["bag_id", "itemset"], "left_semi")
-        front = stage(grown, "projected")
-        found = stage(_count_extensions(front, limits), "itemsets")
-        if found.isEmpty():
-            break
+    levels = []
+    for _ in range(max_length):
+        if levels:
+            front = stage(_from_start(_project(front, _extensions(levels[-1])), starts), "projected")
+        rows = front.select(
+            "bag_id", F.explode("rest").alias("x"), "itemset", "label", "n"
+        ).select("bag_id", F.concat("itemset", F.array("x")).alias("itemset"), "label", "n")
+        found, seen = stage_observed(_frequent(rows, limits), "itemsets")
         levels.append(found)
-    return reduce(DataFrame.unionByName, levels), items_by_rank(ranks)
+        if not seen["rows"]:
+            break
+    return _from_start(reduce(DataFrame.unionByName, levels), starts)
+
+
+def _frequent(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Class counts of each itemset whose largest class count reaches the bag's minimum."""
+    per_class = rows.groupBy("bag_id", "itemset", "label").agg(F.sum("n").alias("n"))
+    sets = (
+        per_class.groupBy("bag_id", "itemset")
+        .agg(
+            F.collect_list(F.struct("label", "n")).alias("classes"),
+            F.sum("n").alias("n_ant"),
+            F.max("n").alias("n_max"),
+        )
+        .join(F.broadcast(limits), "bag_id")
+        .where(F.col("n_max") >= F.col("min_count"))
+    )
+    return sets.select("bag_id", "itemset", F.inline("classes").alias("label", "n_hit"), "n_ant", "n_max")
 
 
 def _extensions(found: DataFrame) -> DataFrame:
@@ -79,16 +120,12 @@ def _extensions(found: DataFrame) -> DataFrame:
     return found.select("bag_id", parent.alias("itemset"), F.element_at("itemset", -1).alias("x")).distinct()
 
 
-def _project(front: DataFrame, extensions: DataFrame | None) -> DataFrame:
+def _project(front: DataFrame, extensions: DataFrame) -> DataFrame:
     """Move every row on to each of its frequent extensions that leaves a rest."""
-    if extensions is None:
-        rest = F.col("rest")
-    else:
-        allowed = extensions.groupBy("bag_id", "itemset").agg(F.collect_set("x").alias("allowed"))
-        front = front.join(allowed, ["bag_id", "itemset"])
-        rest = F.array_intersect("rest", "allowed")
+    allowed = extensions.groupBy("bag_id", "itemset").agg(F.collect_set("x").alias("allowed"))
     return (
-        front.withColumn("rest", rest)
+        front.join(allowed, ["bag_id", "itemset"])
+        .withColumn("rest", F.array_intersect("rest", "allowed"))
         .where(F.size("rest") > 1)
         .select("bag_id", "itemset", "rest", "label", "n", F.posexplode("rest").alias("at", "x"))
         .where(F.col("at") < F.size("rest") - 1)
@@ -104,32 +141,6 @@ def _project(front: DataFrame, extensions: DataFrame | None) -> DataFrame:
     )
 
 
-def _count_extensions(front: DataFrame, limits: DataFrame) -> DataFrame:
-    """Class counts of every one-item extension, kept where the largest reaches the bag's minimum."""
-    per_class = (
-        front.select("bag_id", "itemset", F.explode("rest").alias("x"), "label", "n")
-        .groupBy("bag_id", "itemset", "x", "label")
-        .agg(F.sum("n").alias("n"))
-    )
-    sets = (
-        per_class.groupBy("bag_id", "itemset", "x")
-        .agg(
-            F.collect_list(F.struct("label", "n")).alias("classes"),
-            F.sum("n").alias("n_ant"),
-            F.max("n").alias("n_max"),
-        )
-        .join(F.broadcast(limits), "bag_id")
-        .where(F.col("n_max") >= F.col("min_count"))
-    )
-    return sets.select(
-        "bag_id",
-        F.concat("itemset", F.array("x")).alias("itemset"),
-        F.inline("classes").alias("label", "n_hit"),
-        "n_ant",
-        "n_max",
-    )
-
-
 def mine_support(
     tx: DataFrame,
     min_support: float = 0.2,
@@ -140,13 +151,16 @@ def mine_support(
     suffix_predicate: Column | None = None,
     counts: DataFrame | None = None,
     map_limit: int = RANK_MAP_LIMIT,
+    narrow: int = NARROW,
 ) -> DataFrame:
     """Rules itemset -> class for each class that attains the itemset's largest class count.
 
     One-item rules are not held to the confidence and chi-square bounds unless `filter_singletons`.
     """
     counts = stage(label_counts(tx), "label-counts") if counts is None else counts
-    itemsets, names = frequent_itemsets(tx, min_support, max_length, suffix_predicate, counts, map_limit)
+    itemsets, names = frequent_itemsets(
+        tx, min_support, max_length, suffix_predicate, counts, map_limit, narrow
+    )
     found = _candidates(itemsets.where(F.col("n_hit") == F.col("n_max")), names)
     exempt = None if filter_singletons else F.size("antecedent") == 1
     return finish(keep_rules(measure(found, counts), min_confidence, min_chi2, exempt))
@@ -168,8 +182,8 @@ def mine_class_tokens(
     if max_length is None:
         max_length = tx.agg(F.max(F.size("items")).alias("w")).first()["w"] or 0
     itemsets, names = frequent_itemsets(tx, min_support, max_length, counts=counts)
-    limits = bag_totals(counts).select("bag_id", min_count(F.col("n_total"), min_support).alias("min_count"))
-    reached = itemsets.join(F.broadcast(limits), "bag_id").where(F.col("n_hit") >= F.col("min_count"))
+    bag_size = class_counts(counts).groupBy("bag_id").agg(F.sum("n_class").alias("n_total"))
+    reached = itemsets.join(bag_size, "bag_id").where(F.col("n_hit") >= min_count(F.col("n_total"), min_support))
     return finish(keep_rules(measure(_candidates(reached, names), counts), min_confidence, min_chi2))
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -38,3 +39,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_root(spark)}/ruleloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """Stage `df` and return aggregates over its rows, taken while they are written. `rows` is always among them."""
+    seen = Observation()
+    table = stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in facts.items()]), name)
+    return table, seen.get
