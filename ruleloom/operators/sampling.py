@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +24,11 @@ def check_bagging(
         raise ValueError(f"cannot make {num_models} bags from {partitions} partitions without shuffling")
 
 
-def expand_copies(df: DataFrame, copies: Column) -> DataFrame:
-    """Repeat each row `copies` times; adds `copy` = 1, 2, ..."""
-    return (
-        df.withColumn("_copies", copies)
-        .where(F.col("_copies") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_copies")
-    )
+def expand_copies(df: DataFrame, draw: Column, copies: Callable[[Column], Column]) -> DataFrame:
+    """Repeat each row `copies(draw)` times; adds `copy` = 1, 2, ... The draw is computed once per row."""
+    drawn = df.withColumn("_draw", draw).withColumn("_copies", copies(F.col("_draw")))
+    numbered = F.posexplode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("copy", "_zero")
+    return drawn.select(*df.columns, numbered).drop("_zero").withColumn("copy", F.col("copy") + 1)
 
 
 def bag_sample(
@@ -46,7 +43,7 @@ def bag_sample(
     fraction = num_models * sample_size
     draw = uniform(F.col(id_col), f"bag{seed}")
     if with_replacement:
-        sampled = expand_copies(tx, poisson_copies(draw, fraction))
+        sampled = expand_copies(tx, draw, lambda u: poisson_copies(u, fraction))
     else:
         if fraction > 1.0:
             raise ValueError(f"cannot sample the fraction {fraction} without replacement")
@@ -92,10 +89,14 @@ def stratified_resample(
 ) -> DataFrame:
     """Poisson resampling with replacement, one rate per class; classes without a rate are dropped."""
     draw = uniform(F.col(id_col), f"strata{seed}")
-    copies = F.lit(0)
-    for label, rate in fractions.items():
-        copies = F.when(F.col("label") == F.lit(label), poisson_copies(draw, rate)).otherwise(copies)
-    return expand_copies(tx, copies)
+
+    def copies(u: Column) -> Column:
+        number = F.lit(0)
+        for label, rate in fractions.items():
+            number = F.when(F.col("label") == F.lit(label), poisson_copies(u, rate)).otherwise(number)
+        return number
+
+    return expand_copies(tx, draw, copies)
 
 
 def balancing_fractions(class_counts: Mapping[object, int], mode: str) -> dict[object, float]:

@@ -31,6 +31,7 @@ BASKETS = {"min_support": 0.005, "min_confidence": 0.3, "min_chi2": 0.0, "max_le
 BAGS, BAG_SHARE, SEED = 5, 0.4, 7
 FOLDS, FOLD_SEED = 5, 12345
 FRACTIONS = {0: 2.0, 1: 0.5}
+SUFFIX = "Brand#3"
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -315,7 +316,7 @@ def tree_transactions(spark, folder):
 def conditional_base(spark, folder):
     tx = baskets(spark, folder)
     paths = tx.groupBy("bag_id", F.col("items").alias("ranks"), "label").agg(F.count("*").alias("n"))
-    base = prefix.conditional_base(paths, F.lit("Brand#31"))
+    base = prefix.conditional_base(paths, F.lit(SUFFIX))
     return base.select(_words("ranks").alias("ranks"), "label", "n")
 
 
