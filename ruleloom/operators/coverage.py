@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruleloom.operators.match import RuleIndex, index_rules, match
-from ruleloom.staging import stage, stage_observed
+from ruleloom.staging import spread, stage, stage_observed
 
 USED, SPARE = 1, 2
 
@@ -44,11 +44,14 @@ def _right(code: Column) -> Column:
 def match_patterns(tx: DataFrame, index: RuleIndex, shared: bool = False) -> DataFrame:
     """(bag_id, codes): the distinct sets of applicable rules with their rightness.
 
-    Equal records are reduced to one before the match. The array of a record is bounded by the number of rules of its
+    Equal records are reduced to one before the match (compacted input has none). The array of a record is bounded by the number of rules of its
     bag, not by the data. With `shared` every record is held against the rules of all bags.
     """
     own = [] if shared else ["bag_id"]
-    baskets = tx.select(*own, "items", "label").distinct().withColumn("_basket", F.col("items"))
+    baskets = tx.select(*own, "items", "label")
+    if shared or "n" not in tx.columns:
+        baskets = baskets.distinct()
+    baskets = baskets.withColumn("_basket", F.col("items"))
     hits = match(baskets, index, on=own)
     code = _code(F.col("place"), F.col("label") == F.col("consequent"))
     return (
@@ -128,7 +131,8 @@ def cover(rules: DataFrame, tx: DataFrame, save_spare: bool = True, shared: bool
     )
     places = ordered.select("bag_id", "place")
     index = index_rules(ordered, ["bag_id", "place"], ["consequent"])
-    patterns = stage(match_patterns(tx, index, shared), "coverage-patterns")
+    patterns, seen = stage_observed(match_patterns(tx, index, shared), "coverage-patterns")
+    patterns = spread(patterns, seen["rows"])
     used = stage(used_rules(patterns, places), "coverage-used")
 
     marked = ordered.join(used.withColumn("_used", F.lit(True)), ["bag_id", "place"], "left")

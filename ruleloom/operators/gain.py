@@ -27,11 +27,12 @@ from ruleloom.operators.items import (
     min_count,
     rank_items,
     ranked_baskets,
+    weight,
 )
 from ruleloom.operators.match import contains_all
 from ruleloom.operators.prefix import parent_of
 from ruleloom.operators.rules import finish, keep_rules, measure
-from ruleloom.staging import stage, stage_observed
+from ruleloom.staging import spread, stage, stage_observed
 
 # Depths of the tree looked at per pass over the paths.
 DEPTHS_PER_ROUND = 6
@@ -186,10 +187,10 @@ def mine_gain(
     if presorted:
         ranks = None
         paths = (
-            tx.select("bag_id", F.col("items").alias("ranks"), "label")
+            tx.select("bag_id", F.col("items").alias("ranks"), "label", weight(tx).alias("n"))
             .where(F.size("ranks") > 0)
             .groupBy("bag_id", "ranks", "label")
-            .agg(F.count("*").alias("n"))
+            .agg(F.sum("n").alias("n"))
         )
         item_n = counts.where(F.col("item").isNotNull()).groupBy("bag_id", "item").agg(F.sum("n").alias("n"))
         limits = bag_totals(counts).select("bag_id", min_count(F.col("n_total"), min_support).alias("min_count"))
@@ -199,6 +200,7 @@ def mine_gain(
         item_n = ranks.select("bag_id", F.col("rank").alias("item"), "n")
         limits = bag_limits(ranks)
     paths, seen = stage_observed(paths, "paths", widest=F.max(F.size("ranks")))
+    paths = spread(paths, seen["rows"])
     nodes = qualified_nodes(paths, seen["widest"] or 0, limits, min_gain, max_depth)
     found = path_rules(paths, nodes, item_n)
     survivors = stage(keep_rules(measure(found, counts), min_confidence, min_chi2), "tree-survivors")

@@ -20,6 +20,19 @@ def distinct_items(items: Column) -> Column:
     )
 
 
+def weight(tx: DataFrame) -> Column:
+    """Records a row stands for: its `n` if the table is compacted, else one."""
+    return F.col("n") if "n" in tx.columns else F.lit(1).cast("bigint")
+
+
+def compact(tx: DataFrame) -> DataFrame:
+    """(bag_id, items, label, n): equal records counted together, combined before the shuffle.
+
+    Training reads its input several times; on categorical tables the compacted input is far smaller.
+    """
+    return tx.groupBy("bag_id", "items", "label").agg(F.sum(weight(tx)).alias("n"))
+
+
 def label_counts(tx: DataFrame) -> DataFrame:
     """(bag_id, item, label, n) of every item, and with item = null the class counts, in one pass.
 
@@ -28,9 +41,9 @@ def label_counts(tx: DataFrame) -> DataFrame:
     items = distinct_items(F.col("items"))
     with_total = F.concat(F.array(F.lit(None)), items)
     return (
-        tx.select("bag_id", "label", F.explode(with_total).alias("item"))
+        tx.select("bag_id", "label", weight(tx).alias("n"), F.explode(with_total).alias("item"))
         .groupBy("bag_id", "item", "label")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -136,11 +149,9 @@ def ranked_baskets(tx: DataFrame, ranks: DataFrame, by_map: bool = True, descend
 
     Records without a ranked item are gone, but they were counted in the bag's totals.
     """
-    rows = tx.select("bag_id", "items", "label")
-    if by_map:
-        rows = rows.withColumn("n", F.lit(1).cast("bigint"))
-    else:
-        rows = rows.groupBy("bag_id", "items", "label").agg(F.count("*").alias("n"))
+    rows = tx.select("bag_id", "items", "label", weight(tx).alias("n"))
+    if not by_map and "n" not in tx.columns:
+        rows = compact(tx)
     return (
         rank_encode(rows, ranks, by_map, descending)
         .groupBy("bag_id", "ranks", "label")

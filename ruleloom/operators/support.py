@@ -26,7 +26,7 @@ from ruleloom.operators.items import (
     ranked_baskets,
 )
 from ruleloom.operators.rules import finish, keep_rules, measure
-from ruleloom.staging import stage, stage_observed
+from ruleloom.staging import spread, stage, stage_observed
 
 # Baskets of up to this many ranked items have all their subsets counted at once (at most 2^7 - 1 rows per basket).
 NARROW = 7
@@ -56,6 +56,7 @@ def frequent_itemsets(
         "baskets",
         widest=F.max(F.size("ranks")),
     )
+    baskets = spread(baskets, width["rows"])
     starts = None if suffix_predicate is None else usable.where(suffix_predicate).select("bag_id", "rank")
     if (width["widest"] or 0) <= narrow:
         return _all_subsets(baskets, limits, max_length, starts), items_by_rank(ranks)
@@ -87,7 +88,8 @@ def _level_by_level(baskets: DataFrame, limits: DataFrame, max_length: int, star
     levels = []
     for _ in range(max_length):
         if levels:
-            front = stage(_from_start(_project(front, _extensions(levels[-1])), starts), "projected")
+            front, seen = stage_observed(_from_start(_project(front, _extensions(levels[-1])), starts), "projected")
+            front = spread(front, seen["rows"])
         rows = front.select(
             "bag_id", F.explode("rest").alias("x"), "itemset", "label", "n"
         ).select("bag_id", F.concat("itemset", F.array("x")).alias("itemset"), "label", "n")

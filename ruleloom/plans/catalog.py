@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ruleloom.functions.hashing import hash32
 from ruleloom.operators import coverage, evaluate, gain, items, merge, prefix, rules, sampling, scoring, support
 from ruleloom.plans import crossval, tables
-from ruleloom.plans.training import TrainingSettings, train_bags, train_ensemble
+from ruleloom.plans.training import TrainingSettings, train_bags, train_ensemble, training_input
 from ruleloom.sources import text
 from ruleloom.staging import stage, stage_observed
 
@@ -79,6 +79,14 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.one_bag(tables.line_transactions(spark, folder))
 
 
+def line_input(spark: SparkSession, folder: str) -> DataFrame:
+    return _shared(spark, folder, "line_input", lambda: training_input(lines(spark, folder)))
+
+
+def line_bag_input(spark: SparkSession, folder: str) -> DataFrame:
+    return _shared(spark, folder, "line_bag_input", lambda: training_input(line_bags(spark, folder)))
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.one_bag(tables.document_transactions(spark, folder))
 
@@ -100,7 +108,7 @@ def doc_bags(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return _shared(
-        spark, folder, "line_rules", lambda: stage(support.mine_support(lines(spark, folder), **LINES), "line-rules")
+        spark, folder, "line_rules", lambda: stage(support.mine_support(line_input(spark, folder), **LINES), "line-rules")
     )
 
 
@@ -193,7 +201,7 @@ def encode(spark, folder):
 
 @query("class_prior")
 def class_prior(spark, folder):
-    counts = stage(items.label_counts(line_bags(spark, folder)), "label-counts")
+    counts = stage(items.label_counts(line_bag_input(spark, folder)), "label-counts")
     return items.class_priors(counts).select(
         F.col("bag_id").cast("bigint").alias("bag_id"), "label", "n_class", "n_total", _six("prior").alias("prior"), "default_class",
     )
@@ -247,14 +255,14 @@ def kfold(spark, folder):
 
 @query("item_support")
 def item_support(spark, folder):
-    counts = stage(items.label_counts(line_bags(spark, folder)), "label-counts")
+    counts = stage(items.label_counts(line_bag_input(spark, folder)), "label-counts")
     ranked = items.rank_items(counts, LINES["min_support"], "support")
     return ranked.select(*[F.col(c).cast("bigint").alias(c) for c in ("bag_id", "rank", "n", "n_max", "min_count")], "item")
 
 
 @query("item_gain")
 def item_gain(spark, folder):
-    counts = stage(items.label_counts(line_bags(spark, folder)), "label-counts")
+    counts = stage(items.label_counts(line_bag_input(spark, folder)), "label-counts")
     ranked = items.rank_items(counts, LINES["min_support"], "gain")
     return ranked.select(
         *[F.col(c).cast("bigint").alias(c) for c in ("bag_id", "rank", "n")], "item",
@@ -283,7 +291,7 @@ def rank_tx(spark, folder):
 
 def _line_paths(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        tx = lines(spark, folder)
+        tx = line_input(spark, folder)
         counts = stage(items.label_counts(tx), "label-counts")
         ranks, seen = stage_observed(items.rank_items(counts, LINES["min_support"], "gain"), "ranks")
         return stage(items.ranked_baskets(tx, ranks, seen["rows"] <= items.RANK_MAP_LIMIT), "paths")
@@ -337,7 +345,7 @@ def rules_support(spark, folder):
 @query("rules_support_filtered")
 def rules_support_filtered(spark, folder):
     settings = {**LINES, "min_chi2": 3.841}
-    return _show_rules(support.mine_support(lines(spark, folder), filter_singletons=True, **settings), "rank")
+    return _show_rules(support.mine_support(line_input(spark, folder), filter_singletons=True, **settings), "rank")
 
 
 @query("rules_support_baskets")
@@ -358,12 +366,12 @@ def rules_gain(spark, folder):
 
 @query("rules_gain_bags")
 def rules_gain_bags(spark, folder):
-    return _show_rules(gain.mine_gain(line_bags(spark, folder), 0.005, 0.34, 0.0), "bag_id", "rank")
+    return _show_rules(gain.mine_gain(line_bag_input(spark, folder), 0.005, 0.34, 0.0), "bag_id", "rank")
 
 
 @query("rules_gain_presorted")
 def rules_gain_presorted(spark, folder):
-    return _show_rules(gain.mine_gain(lines(spark, folder), 0.005, 0.34, 0.0, presorted=True), "rank")
+    return _show_rules(gain.mine_gain(line_input(spark, folder), 0.005, 0.34, 0.0, presorted=True), "rank")
 
 
 @query("node_gain")
@@ -440,7 +448,7 @@ def coverage_ensemble(spark, folder):
 
 @query("coverage_lines")
 def coverage_lines(spark, folder):
-    return _show_rules(coverage.cover(line_rules(spark, folder), lines(spark, folder)), "level", "rank")
+    return _show_rules(coverage.cover(line_rules(spark, folder), line_input(spark, folder)), "level", "rank")
 
 
 def _merged(method: str) -> Query:

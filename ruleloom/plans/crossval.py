@@ -35,7 +35,7 @@ def train_folds(
         folded = folded.withColumn("rec_id", F.concat_ws("/", F.col("rec_id").cast("string"), "copy")).drop("copy")
     models = settings.num_models
     bagged = training_folds(draw_bags(folded, settings), k).withColumn("bag_id", F.col("fold") * models + F.col("bag_id"))
-    rules, bags = train_bags(stage(bagged.select("bag_id", "items", "label"), "fold-bags"), settings)
+    rules, bags = train_bags(bagged, settings)
     fold, bag = F.floor(F.col("bag_id") / models).cast("int"), (F.col("bag_id") % models).cast("int")
     return tuple(t.withColumn("fold", fold).withColumn("bag_id", bag) for t in (rules, bags))
 

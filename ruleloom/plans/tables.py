@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.sources.text import equal_width, item_array
+from ruleloom.staging import spread
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def load_facts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The needed columns of a large table, over all cores even if it comes in one file."""
+    return spread(load(spark, folder, name).select(*columns))
+
+
+LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+)
+
+
 def _line_facts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line with its part's type. The line's key columns together identify it."""
-    lines = load(spark, folder, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    lines = load_facts(spark, folder, "lineitem", *LINE_COLUMNS).withColumnRenamed("l_partkey", "p_partkey")
     parts = load(spark, folder, "part").select("p_partkey", "p_type")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     key = F.concat_ws(":", "l_orderkey", "l_linenumber", "p_partkey", "l_suppkey", cents)
@@ -68,7 +80,7 @@ def ragged_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents: language, source and shape of the text, class = quality (0 or 1)."""
-    documents = load(spark, folder, "documents")
+    documents = load_facts(spark, folder, "documents", "doc_id", "text", "lang", "source", "n_chars")
     labels = load(spark, folder, "labels").select("doc_id", F.col("quality").cast("bigint").alias("label"))
     text = F.col("text")
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))

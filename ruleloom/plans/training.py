@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators.coverage import cover
 from ruleloom.operators.gain import mine_gain
-from ruleloom.operators.items import bag_totals, label_counts
+from ruleloom.operators.items import bag_totals, compact, label_counts
 from ruleloom.operators.sampling import bag_by_partition, bag_sample, check_bagging
 from ruleloom.operators.support import mine_support
-from ruleloom.staging import stage
+from ruleloom.staging import spread, stage, stage_observed
 
 
 @dataclass(frozen=True)
@@ -66,18 +66,24 @@ def mine(bagged: DataFrame, settings: TrainingSettings, counts: DataFrame | None
     )
 
 
+def training_input(bagged: DataFrame) -> DataFrame:
+    """The compacted sample, staged: training reads it several times, and the bags must not change in between."""
+    table, seen = stage_observed(compact(bagged), "bags")
+    return spread(table, seen["rows"])
+
+
 def train_bags(bagged: DataFrame, settings: TrainingSettings) -> tuple[DataFrame, DataFrame]:
     """(rules, bags) of transactions that already carry a bag_id. `bags` has bag_id, n_total, default_class."""
     settings.check()
-    counts = stage(label_counts(bagged), "label-counts")
-    rules = mine(bagged, settings, counts)
+    sample = training_input(bagged)
+    counts = stage(label_counts(sample), "label-counts")
+    rules = mine(sample, settings, counts)
     if settings.with_coverage:
-        rules = cover(rules, bagged, settings.save_spare)
+        rules = cover(rules, sample, settings.save_spare)
     bags = bag_totals(counts).select("bag_id", "n_total", "default_class")
     return stage(rules, "model-rules"), stage(bags, "model-bags")
 
 
 def train_ensemble(tx: DataFrame, settings: TrainingSettings) -> tuple[DataFrame, DataFrame]:
-    """Sample `tx` into bags and train them all. The sample is staged, as training reads it several times."""
-    bagged = stage(draw_bags(tx, settings).select("bag_id", "items", "label"), "bags")
-    return train_bags(bagged, settings)
+    """Sample `tx` into bags and train them all."""
+    return train_bags(draw_bags(tx, settings), settings)

@@ -46,3 +46,14 @@ def stage_observed(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame
     seen = Observation()
     table = stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in facts.items()]), name)
     return table, seen.get
+
+
+def spread(table: DataFrame, rows: int | None = None, rows_per_task: int = 2000) -> DataFrame:
+    """Use all cores on a table read from few files, as far as its rows are worth a task.
+
+    Tables with at least as many partitions as cores, which is every large one, are left as they are. For tables read
+    straight from files only: counting partitions must not run anything.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    wanted = cores if rows is None else min(cores, -(-rows // rows_per_task))
+    return table.repartition(wanted) if table.rdd.getNumPartitions() < wanted else table
