@@ -26,6 +26,8 @@ from ruleloom.operators.match import RuleIndex, index_rules, match
 from ruleloom.staging import spread, stage, stage_observed
 
 USED, SPARE = 1, 2
+# The states of this many rules, one number each, are broadcast to the patterns; more are joined by shuffle.
+STATE_LIMIT = 5_000_000
 
 
 def _code(place: Column, right: Column) -> Column:
@@ -62,13 +64,14 @@ def match_patterns(tx: DataFrame, index: RuleIndex, shared: bool = False) -> Dat
     )
 
 
-def _states(places: DataFrame, rows: DataFrame) -> DataFrame:
+def _states(places: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
     """(bag_id, states): one number per rule of the bag in rule order, 0 where `rows` has none."""
     entry = F.struct("place", F.coalesce("state", F.lit(0)).alias("state"))
     filled = places.join(rows, ["bag_id", "place"], "left").groupBy("bag_id")
-    return filled.agg(F.array_sort(F.collect_list(entry)).alias("known")).select(
+    states = filled.agg(F.array_sort(F.collect_list(entry)).alias("known")).select(
         "bag_id", F.transform("known", lambda e: e["state"]).alias("states")
     )
+    return F.broadcast(states) if few else states
 
 
 def _state(code: Column) -> Column:
@@ -92,11 +95,11 @@ def _round_facts(open_patterns: DataFrame) -> DataFrame:
     )
 
 
-def _next_round(still_open: DataFrame, places: DataFrame) -> DataFrame:
+def _next_round(still_open: DataFrame, places: DataFrame, few: bool) -> DataFrame:
     """The patterns left open, reduced to the rules that are still undecided in them."""
     possible = F.filter("codes", lambda c: _state(c) > 0)
     return (
-        still_open.join(_states(places, _round_facts(still_open)), "bag_id")
+        still_open.join(_states(places, _round_facts(still_open), few), "bag_id")
         .withColumn("codes", possible)
         .withColumn("codes", _before_used(F.col("codes")))
         .where(F.size("codes") > 0)
@@ -105,11 +108,11 @@ def _next_round(still_open: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def used_rules(patterns: DataFrame, places: DataFrame) -> DataFrame:
+def used_rules(patterns: DataFrame, places: DataFrame, few: bool = True) -> DataFrame:
     """(bag_id, place) of the used rules; rounds until no pattern is open."""
     rounds, still_open, seen = [patterns], patterns, {"rows": 1}
     while seen["rows"]:
-        still_open, seen = stage_observed(_next_round(still_open, places), "coverage-open")
+        still_open, seen = stage_observed(_next_round(still_open, places, few), "coverage-open")
         rounds.append(still_open)
     first = F.col("codes")[0]
     return (
@@ -131,16 +134,17 @@ def cover(rules: DataFrame, tx: DataFrame, save_spare: bool = True, shared: bool
     )
     places = ordered.select("bag_id", "place")
     index = index_rules(ordered, ["bag_id", "place"], ["consequent"])
+    few = index.items <= STATE_LIMIT
     patterns, seen = stage_observed(match_patterns(tx, index, shared), "coverage-patterns")
     patterns = spread(patterns, seen["rows"])
-    used = stage(used_rules(patterns, places), "coverage-used")
+    used = stage(used_rules(patterns, places, few), "coverage-used")
 
     marked = ordered.join(used.withColumn("_used", F.lit(True)), ["bag_id", "place"], "left")
     level = F.when(F.col("_used"), USED).otherwise(SPARE)
     split = marked.withColumn("level", level).drop("_used")
     if not save_spare:
         return split.where(F.col("level") == USED).drop("place")
-    states = _states(places, used.withColumn("state", F.lit(2)))
+    states = _states(places, used.withColumn("state", F.lit(2)), few)
     harmful = (
         patterns.join(states, "bag_id")
         .select("bag_id", F.explode(_before_used(F.col("codes"))).alias("code"))

@@ -29,7 +29,7 @@ from ruleloom.operators.items import (
     ranked_baskets,
     weight,
 )
-from ruleloom.operators.match import contains_all
+from ruleloom.operators.match import RuleIndex, match
 from ruleloom.operators.prefix import parent_of
 from ruleloom.operators.rules import finish, keep_rules, measure
 from ruleloom.staging import spread, stage, stage_observed
@@ -150,11 +150,12 @@ def path_rules(paths: DataFrame, nodes: DataFrame, item_n: DataFrame) -> DataFra
         .withColumn("others", F.array_remove("prefix", F.col("anchor"))),
         "tree-rules",
         longest=F.max(F.size("others")),
+        items=F.sum(F.size("others") + 1),
     )
+    index = RuleIndex(wanted, seen["longest"] or 0, seen["items"] or 0)
+    records = paths.select("bag_id", F.col("ranks").alias("items"), "label", "n")
     return (
-        paths.select("bag_id", "ranks", "label", "n", F.explode("ranks").alias("anchor"))
-        .join(wanted, ["bag_id", "anchor"])
-        .where(contains_all(F.col("ranks"), F.col("others"), seen["longest"] or 0))
+        match(records, index, on=["bag_id"])
         .groupBy("bag_id", "prefix", "consequent")
         .agg(
             F.sum("n").alias("n_ant"),

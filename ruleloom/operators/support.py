@@ -10,6 +10,7 @@ to frequent extensions and equal rows are added up, so that data and lineage bot
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,14 @@ from ruleloom.operators.items import (
 from ruleloom.operators.rules import finish, keep_rules, measure
 from ruleloom.staging import spread, stage, stage_observed
 
-# Baskets of up to this many ranked items have all their subsets counted at once (at most 2^7 - 1 rows per basket).
-NARROW = 7
+# All subsets of a basket are counted at once if none is wider than this and the mean number of subsets is bounded.
+NARROW = 16
+MEAN_SUBSETS = 64
+
+
+def subset_counts(widest: int, max_length: int) -> list[int]:
+    """Number of subsets of 1 to max_length items of a basket of 0, 1, ... widest items."""
+    return [sum(comb(w, k) for k in range(1, min(w, max_length) + 1)) for w in range(widest + 1)]
 
 
 def frequent_itemsets(
@@ -55,10 +62,11 @@ def frequent_itemsets(
         ranked_baskets(tx, usable, seen["rows"] <= map_limit, descending=True),
         "baskets",
         widest=F.max(F.size("ranks")),
+        subsets=F.sum(F.get(F.array(*map(F.lit, subset_counts(narrow, max_length))), F.size("ranks"))),
     )
     baskets = spread(baskets, width["rows"])
     starts = None if suffix_predicate is None else usable.where(suffix_predicate).select("bag_id", "rank")
-    if (width["widest"] or 0) <= narrow:
+    if (width["widest"] or 0) <= narrow and (width["subsets"] or 0) <= MEAN_SUBSETS * width["rows"]:
         return _all_subsets(baskets, limits, max_length, starts), items_by_rank(ranks)
     return _level_by_level(baskets, limits, max_length, starts), items_by_rank(ranks)
 
@@ -73,11 +81,13 @@ def _from_start(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
 
 def _all_subsets(baskets: DataFrame, limits: DataFrame, max_length: int, starts: DataFrame | None) -> DataFrame:
     empty = F.array(F.array().cast("array<int>"))
-    subsets = F.aggregate(
-        "ranks", empty, lambda sets, x: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(x))))
-    )
-    wanted = F.filter(subsets, lambda s: (F.size(s) > 0) & (F.size(s) <= max_length))
-    rows = baskets.select("bag_id", F.explode(wanted).alias("itemset"), "label", "n")
+
+    def grow(sets: Column, x: Column) -> Column:
+        open_sets = F.filter(sets, lambda s: F.size(s) < max_length)
+        return F.concat(sets, F.transform(open_sets, lambda s: F.concat(s, F.array(x))))
+
+    subsets = F.filter(F.aggregate("ranks", empty, grow), lambda s: F.size(s) > 0)
+    rows = baskets.select("bag_id", F.explode(subsets).alias("itemset"), "label", "n")
     return _frequent(_from_start(rows, starts), limits)
 
 

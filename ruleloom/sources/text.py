@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators.indexing import global_index
 
+# Dictionaries of up to this many entries are looked up as maps.
+MAP_LIMIT = 5_000
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
@@ -41,8 +44,19 @@ def build_dictionary(records: DataFrame) -> DataFrame:
     return global_index(values, [F.desc("pos"), F.asc("value")], "item_id")
 
 
-def encode(records: DataFrame, dictionary: DataFrame, id_col: str = "rec_id") -> DataFrame:
-    """Records as (id, ids array<bigint>), the ids in column order."""
+def encode(records: DataFrame, dictionary: DataFrame, id_col: str = "rec_id", map_limit: int = MAP_LIMIT) -> DataFrame:
+    """Records as (id, ids array<bigint>), the ids in column order.
+
+    A small dictionary is looked up in place, as one map per column; a large one is joined field by field.
+    """
+    if dictionary.limit(map_limit + 1).count() <= map_limit:
+        columns = dictionary.groupBy("pos").agg(
+            F.map_from_entries(F.collect_list(F.struct("value", "item_id"))).alias("ids")
+        )
+        maps = columns.agg(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("ids").alias("ids")))).alias("maps"))
+        by_column = maps.select(F.transform("maps", lambda m: F.map_from_entries(m["ids"])).alias("maps"))
+        looked_up = F.transform("fields", lambda v, i: F.element_at(F.get("_maps", i), v))
+        return records.withColumn("_maps", by_column.scalar()).select(id_col, looked_up.alias("ids"))
     cells = records.select(id_col, F.posexplode("fields").alias("pos", "value"))
     return (
         cells.join(dictionary, ["pos", "value"])
