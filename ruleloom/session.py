@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "ruleloom") -> SparkSession:
+def local_session(
+    cores: int | str = 8, shuffle_partitions: int = 8, app: str = "ruleloom", jvm_options: str = ""
+) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -15,6 +17,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.driver.extraJavaOptions", jvm_options)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
