@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.operators.evaluate import accuracy, accuracy_curve, auc, best_threshold, describe, threshold_predict
+from ruleloom.operators.items import compact
 from ruleloom.operators.merge import merge_rules
 from ruleloom.operators.sampling import kfold, stratified_resample, training_folds
 from ruleloom.operators.scoring import VoteSettings, ensemble_predict, probabilities
@@ -34,9 +35,13 @@ def train_folds(
         folded = stratified_resample(folded, fractions, settings.seed)
         folded = folded.withColumn("rec_id", F.concat_ws("/", F.col("rec_id").cast("string"), "copy")).drop("copy")
     models = settings.num_models
-    bagged = training_folds(draw_bags(folded, settings), k).withColumn("bag_id", F.col("fold") * models + F.col("bag_id"))
-    rules, bags = train_bags(bagged, settings)
     fold, bag = F.floor(F.col("bag_id") / models).cast("int"), (F.col("bag_id") % models).cast("int")
+    together = F.col("fold") * models + F.col("bag")
+    # Equal records of the same fold and bag are counted first, so that the copies for the folds are few.
+    drawn = draw_bags(folded, settings).withColumn("bag_id", F.col("fold") * models + F.col("bag_id"))
+    counted = compact(drawn).withColumn("fold", fold).withColumn("bag", bag)
+    bagged = training_folds(counted, k).withColumn("bag_id", together).drop("fold", "bag")
+    rules, bags = train_bags(bagged, settings)
     return tuple(t.withColumn("fold", fold).withColumn("bag_id", bag) for t in (rules, bags))
 
 
