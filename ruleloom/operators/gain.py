@@ -16,17 +16,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.functions.metrics import gain, gain_exceeds, square
+from ruleloom.functions.metrics import gain, gain_exceeds
 from ruleloom.operators.items import (
     RANK_MAP_LIMIT,
     bag_limits,
     bag_totals,
+    class_list,
+    class_sums,
     decode,
     items_by_rank,
     label_counts,
     min_count,
     rank_items,
     ranked_baskets,
+    sums_largest,
+    sums_majority,
+    sums_squares,
+    sums_total,
     weight,
 )
 from ruleloom.operators.match import RuleIndex, match
@@ -38,40 +44,43 @@ from ruleloom.staging import spread, stage, stage_observed
 DEPTHS_PER_ROUND = 6
 
 
-def node_table(paths: DataFrame, first_depth: int = 0, last_depth: int | None = None) -> DataFrame:
+def node_table(
+    paths: DataFrame, classes: list, first_depth: int = 0, last_depth: int | None = None
+) -> DataFrame:
     """(bag_id, prefix, n, n_max, squares, label) of the nodes in a range of depths; label is the node's majority.
 
     Ties between classes go to the smallest label. Depth 0 is the root: it counts the records with a ranked item only.
     """
     last = F.size("ranks") if last_depth is None else F.least(F.size("ranks"), F.lit(last_depth))
     prefixes = F.transform(F.sequence(F.lit(first_depth), last), lambda k: F.slice(F.col("ranks"), F.lit(1), k))
-    return (
+    sums = (
         paths.where(F.size("ranks") >= first_depth)
         .select("bag_id", "label", "n", F.explode(prefixes).alias("prefix"))
-        .groupBy("bag_id", "prefix", "label")
-        .agg(F.sum("n").alias("n"))
         .groupBy("bag_id", "prefix")
-        .agg(
-            F.sum("n").alias("n"),
-            F.max("n").alias("n_max"),
-            F.sum(square(F.col("n"))).cast("decimal(38,0)").alias("squares"),
-            F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"),
-        )
+        .agg(*class_sums(classes))
+    )
+    return sums.select(
+        "bag_id",
+        "prefix",
+        sums_total(classes).alias("n"),
+        sums_largest(classes).alias("n_max"),
+        sums_squares(classes).alias("squares"),
+        sums_majority(classes).alias("label"),
     )
 
 
-def node_gain(nodes: DataFrame, parents: DataFrame, limits: DataFrame, min_gain: float = 0.0) -> DataFrame:
+def node_gain(nodes: DataFrame, parents: DataFrame, min_gain: float = 0.0) -> DataFrame:
     """Adds gain over the parent, `passes` (gain and minimum class count) and `pure` to each node.
 
-    `parents` must contain every node's parent.
+    `nodes` have their bag's min_count, `parents` must contain every node's parent.
     """
     above = parents.select(
         "bag_id", F.col("prefix").alias("parent"), F.col("n").alias("n_parent"), F.col("squares").alias("sq_parent")
     )
-    joined = nodes.where(F.size("prefix") > 0).withColumn("parent", parent_of(F.col("prefix"))).join(above, ["bag_id", "parent"])
+    below = nodes.where(F.size("prefix") > 0).withColumn("parent", parent_of(F.col("prefix")))
     pair = [F.col(c) for c in ("n", "squares", "n_parent", "sq_parent")]
     return (
-        joined.join(F.broadcast(limits), "bag_id")
+        below.join(above, ["bag_id", "parent"])
         .withColumn("gain", gain(*pair))
         .withColumn("passes", gain_exceeds(*pair, min_gain) & (F.col("n_max") >= F.col("min_count")))
         .withColumn("pure", F.col("n_max") == F.col("n"))
@@ -79,7 +88,12 @@ def node_gain(nodes: DataFrame, parents: DataFrame, limits: DataFrame, min_gain:
 
 
 def qualified_nodes(
-    paths: DataFrame, widest: int, limits: DataFrame, min_gain: float = 0.0, max_depth: int | None = None
+    paths: DataFrame,
+    widest: int,
+    limits: DataFrame,
+    classes: list,
+    min_gain: float = 0.0,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Qualified nodes, found in rounds of a few depths below the nodes that are still open."""
     deepest_level = widest if max_depth is None else min(widest, max_depth)
@@ -87,11 +101,11 @@ def qualified_nodes(
     while True:
         last = min(depth + DEPTHS_PER_ROUND, deepest_level)
         # A node below the minimum count can neither qualify nor lead to one that does; the root is only a parent.
-        nodes = node_table(paths, depth + 1 if depth else 0, last).join(F.broadcast(limits), "bag_id")
-        nodes = nodes.where((F.col("n_max") >= F.col("min_count")) | (F.size("prefix") == 0)).drop("min_count")
-        nodes = stage(nodes, "tree-nodes")
-        judged = node_gain(nodes, nodes if ends is None else nodes.unionByName(ends), limits, min_gain)
-        chain = _all_ancestors_open(judged, depth)
+        nodes = node_table(paths, classes, depth + 1 if depth else 0, last).join(F.broadcast(limits), "bag_id")
+        nodes = stage(nodes.where((F.col("n_max") >= F.col("min_count")) | (F.size("prefix") == 0)), "tree-nodes")
+        judged = node_gain(nodes, nodes if ends is None else nodes.unionByName(ends), min_gain)
+        passing = stage(judged.where("passes").select(*nodes.columns, "pure"), "tree-passing")
+        chain = _all_ancestors_open(passing, depth)
         if last >= deepest_level:
             return reduce(DataFrame.unionByName, [*found, chain])
         chain = stage(chain, "tree-qualified")
@@ -111,28 +125,24 @@ def _below(paths: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
     return longer.join(heads, ["bag_id", "head"], "left_semi").drop("head")
 
 
-def _all_ancestors_open(judged: DataFrame, depth: int) -> DataFrame:
+def _all_ancestors_open(passing: DataFrame, depth: int) -> DataFrame:
     """Passing nodes whose ancestors in this round all pass and are not pure."""
-    passing = judged.where("passes")
     gates = passing.where(~F.col("pure")).select("bag_id", F.col("prefix").alias("gate"))
-    above = F.filter(
-        F.transform(
-            F.sequence(F.lit(depth), F.size("prefix") - 1), lambda k: F.slice(F.col("prefix"), F.lit(1), k)
-        ),
-        lambda p: F.size(p) > depth,
+    lengths = F.sequence(F.lit(depth), F.size("prefix") - 1)
+    above = F.transform(
+        F.filter(lengths, lambda k: k > depth), lambda k: F.slice(F.col("prefix"), F.lit(1), k)
     )
-    needed = F.size("prefix") - F.lit(depth + 1)
     climbed = (
         passing.select("bag_id", "prefix", F.explode(above).alias("gate"))
         .join(gates, ["bag_id", "gate"])
         .groupBy("bag_id", "prefix")
         .agg(F.count("*").alias("open"))
     )
-    columns = ["bag_id", "prefix", "n", "n_max", "squares", "label", "gain", "pure"]
+    needed = F.size("prefix") - F.lit(depth + 1)
     return (
         passing.join(climbed, ["bag_id", "prefix"], "left")
         .where(F.coalesce(F.col("open"), F.lit(0)) == needed)
-        .select(*columns)
+        .drop("open")
     )
 
 
@@ -202,7 +212,7 @@ def mine_gain(
         limits = bag_limits(ranks)
     paths, seen = stage_observed(paths, "paths", widest=F.max(F.size("ranks")))
     paths = spread(paths, seen["rows"])
-    nodes = qualified_nodes(paths, seen["widest"] or 0, limits, min_gain, max_depth)
+    nodes = qualified_nodes(paths, seen["widest"] or 0, limits, class_list(counts), min_gain, max_depth)
     found = path_rules(paths, nodes, item_n)
     survivors = stage(keep_rules(measure(found, counts), min_confidence, min_chi2), "tree-survivors")
     rules = deepest(survivors)

@@ -52,6 +52,36 @@ def class_counts(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("item").isNull()).select("bag_id", "label", F.col("n").alias("n_class"))
 
 
+def class_list(counts: DataFrame) -> list:
+    """All classes in rising order: one value per class comes to the driver."""
+    return sorted(r["label"] for r in class_counts(counts).select("label").distinct().collect())
+
+
+def class_sums(classes: list) -> list[Column]:
+    """Records per class as columns _c0, _c1, ...: classes are few, so one aggregation by group counts them all."""
+    return [F.sum(F.when(F.col("label") == F.lit(c), F.col("n")).otherwise(0)).alias(f"_c{i}") for i, c in enumerate(classes)]
+
+
+def sums_total(classes: list) -> Column:
+    return sum((F.col(f"_c{i}") for i in range(1, len(classes))), F.col("_c0"))
+
+
+def sums_largest(classes: list) -> Column:
+    columns = [F.col(f"_c{i}") for i in range(len(classes))]
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
+def sums_squares(classes: list) -> Column:
+    squares = [square(F.col(f"_c{i}")) for i in range(len(classes))]
+    return sum(squares[1:], squares[0]).cast("decimal(38,0)")
+
+
+def sums_majority(classes: list) -> Column:
+    """The class with most records, the smallest on ties."""
+    largest = sums_largest(classes)
+    return F.coalesce(*[F.when(F.col(f"_c{i}") == largest, F.lit(c)) for i, c in enumerate(classes)])
+
+
 def bag_totals(counts: DataFrame) -> DataFrame:
     """(bag_id, n_total, squares, default_class): size, sum of squared class counts, majority class."""
     return (

@@ -19,12 +19,16 @@ from ruleloom.operators.items import (
     RANK_MAP_LIMIT,
     bag_limits,
     class_counts,
+    class_list,
+    class_sums,
     decode,
     items_by_rank,
     label_counts,
     min_count,
     rank_items,
     ranked_baskets,
+    sums_largest,
+    sums_total,
 )
 from ruleloom.operators.rules import finish, keep_rules, measure
 from ruleloom.staging import spread, stage, stage_observed
@@ -55,6 +59,7 @@ def frequent_itemsets(
     tested on that rarest item only.
     """
     counts = stage(label_counts(tx), "label-counts") if counts is None else counts
+    classes = class_list(counts)
     ranks, seen = stage_observed(rank_items(counts, min_support, "support"), "ranks")
     usable = ranks.where(F.col("n_max") >= F.col("min_count"))
     limits = bag_limits(ranks)
@@ -67,8 +72,8 @@ def frequent_itemsets(
     baskets = spread(baskets, width["rows"])
     starts = None if suffix_predicate is None else usable.where(suffix_predicate).select("bag_id", "rank")
     if (width["widest"] or 0) <= narrow and (width["subsets"] or 0) <= MEAN_SUBSETS * width["rows"]:
-        return _all_subsets(baskets, limits, max_length, starts), items_by_rank(ranks)
-    return _level_by_level(baskets, limits, max_length, starts), items_by_rank(ranks)
+        return _all_subsets(baskets, limits, classes, max_length, starts), items_by_rank(ranks)
+    return _level_by_level(baskets, limits, classes, max_length, starts), items_by_rank(ranks)
 
 
 def _from_start(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
@@ -79,7 +84,9 @@ def _from_start(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
     return rows.withColumn("head", F.slice("itemset", 1, 1)).join(heads, ["bag_id", "head"], "left_semi").drop("head")
 
 
-def _all_subsets(baskets: DataFrame, limits: DataFrame, max_length: int, starts: DataFrame | None) -> DataFrame:
+def _all_subsets(
+    baskets: DataFrame, limits: DataFrame, classes: list, max_length: int, starts: DataFrame | None
+) -> DataFrame:
     empty = F.array(F.array().cast("array<int>"))
 
     def grow(sets: Column, x: Column) -> Column:
@@ -88,10 +95,12 @@ def _all_subsets(baskets: DataFrame, limits: DataFrame, max_length: int, starts:
 
     subsets = F.filter(F.aggregate("ranks", empty, grow), lambda s: F.size(s) > 0)
     rows = baskets.select("bag_id", F.explode(subsets).alias("itemset"), "label", "n")
-    return _frequent(_from_start(rows, starts), limits)
+    return _frequent(_from_start(rows, starts), limits, classes)
 
 
-def _level_by_level(baskets: DataFrame, limits: DataFrame, max_length: int, starts: DataFrame | None) -> DataFrame:
+def _level_by_level(
+    baskets: DataFrame, limits: DataFrame, classes: list, max_length: int, starts: DataFrame | None
+) -> DataFrame:
     front = baskets.select(
         "bag_id", F.array().cast("array<int>").alias("itemset"), F.col("ranks").alias("rest"), "label", "n"
     )
@@ -103,27 +112,27 @@ def _level_by_level(baskets: DataFrame, limits: DataFrame, max_length: int, star
         rows = front.select(
             "bag_id", F.explode("rest").alias("x"), "itemset", "label", "n"
         ).select("bag_id", F.concat("itemset", F.array("x")).alias("itemset"), "label", "n")
-        found, seen = stage_observed(_frequent(rows, limits), "itemsets")
+        found, seen = stage_observed(_frequent(rows, limits, classes), "itemsets")
         levels.append(found)
         if not seen["rows"]:
             break
     return _from_start(reduce(DataFrame.unionByName, levels), starts)
 
 
-def _frequent(rows: DataFrame, limits: DataFrame) -> DataFrame:
+def _frequent(rows: DataFrame, limits: DataFrame, classes: list) -> DataFrame:
     """Class counts of each itemset whose largest class count reaches the bag's minimum."""
-    per_class = rows.groupBy("bag_id", "itemset", "label").agg(F.sum("n").alias("n"))
     sets = (
-        per_class.groupBy("bag_id", "itemset")
-        .agg(
-            F.collect_list(F.struct("label", "n")).alias("classes"),
-            F.sum("n").alias("n_ant"),
-            F.max("n").alias("n_max"),
-        )
+        rows.groupBy("bag_id", "itemset")
+        .agg(*class_sums(classes))
+        .withColumn("n_ant", sums_total(classes))
+        .withColumn("n_max", sums_largest(classes))
         .join(F.broadcast(limits), "bag_id")
         .where(F.col("n_max") >= F.col("min_count"))
     )
-    return sets.select("bag_id", "itemset", F.inline("classes").alias("label", "n_hit"), "n_ant", "n_max")
+    per_class = F.array(
+        *[F.struct(F.lit(c).alias("label"), F.col(f"_c{i}").alias("n_hit")) for i, c in enumerate(classes)]
+    )
+    return sets.select("bag_id", "itemset", "n_ant", "n_max", F.inline(per_class)).where(F.col("n_hit") > 0)
 
 
 def _extensions(found: DataFrame) -> DataFrame:

@@ -377,11 +377,9 @@ def rules_gain_presorted(spark, folder):
 @query("node_gain")
 def node_gain(spark, folder):
     paths = _line_paths(spark, folder)
-    nodes = stage(gain.node_table(paths), "tree-nodes")
-    total = tables.line_transactions(spark, folder).groupBy(F.pmod(F.hash("rec_id"), F.lit(1)).alias("bag_id")).agg(
-        items.min_count(F.count("*"), 0.001).alias("min_count")
-    )
-    judged = gain.node_gain(nodes, nodes, total)
+    limits = lines(spark, folder).groupBy("bag_id").agg(items.min_count(F.count("*"), 0.001).alias("min_count"))
+    nodes = stage(gain.node_table(paths, LINE_CLASSES).join(F.broadcast(limits), "bag_id"), "tree-nodes")
+    judged = gain.node_gain(nodes, nodes)
     return judged.select(
         _words("prefix").alias("prefix"), "n", "n_max", F.round("gain", 9).alias("gain"),
         F.col("passes").cast("bigint").alias("passes"), F.col("pure").cast("bigint").alias("pure"),

@@ -51,7 +51,7 @@ def line_transactions(spark: SparkSession, folder: str) -> DataFrame:
         "d": F.col("discount_pct"),
         "m": F.col("ship_month"),
     }
-    return facts.select("rec_id", item_array(items).alias("items"), F.col("l_returnflag").alias("label"))
+    return facts.select("rec_id", item_array(items, complete=True).alias("items"), F.col("l_returnflag").alias("label"))
 
 
 def line_text(spark: SparkSession, folder: str) -> DataFrame:

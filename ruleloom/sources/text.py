@@ -89,9 +89,10 @@ def to_transactions(encoded: DataFrame, num_classes: int, id_col: str = "rec_id"
     return encoded.select(id_col, items.alias("items"), label.alias("label"))
 
 
-def item_array(columns: dict[str, Column]) -> Column:
-    """One "name=value" item per column; a null value gives no item."""
-    return F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in columns.items()]))
+def item_array(columns: dict[str, Column], complete: bool = False) -> Column:
+    """One "name=value" item per column; a null value gives no item. `complete` says that there are no nulls."""
+    items = F.array(*[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in columns.items()])
+    return items if complete else F.array_compact(items)
 
 
 def equal_width(value: Column, width: float) -> Column:
