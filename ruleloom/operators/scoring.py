@@ -1,7 +1,6 @@
 """Classify records with rule tables: first match, weighted votes, majority of bags.
 
-All of it is one match join and one aggregation per record (two for ensembles); every aggregate is combined before the
-shuffle, so a record costs one small row however many rules apply to it.
+All of it is one match join and one shuffle of one small row per record, however many rules and bags apply to it.
 """
 
 from __future__ import annotations
@@ -81,6 +80,15 @@ def matches(
     return match(tx.select(*id_cols, *[m for m in model if m not in id_cols], "items"), index, on=model, how=how)
 
 
+def bag_matches(tx: DataFrame, index: RuleIndex, id_cols: Sequence[str], model: Sequence[str] = ()) -> DataFrame:
+    """Matches to be grouped by record and bag, then by record.
+
+    Records are spread by id before they meet the broadcast rules: one shuffle of a row per record, after which
+    both groupings are local, instead of a shuffle of a row per record and bag.
+    """
+    return matches(tx.repartition(*id_cols) if index.small else tx, index, id_cols, model)
+
+
 def rule_matches(tx: DataFrame, rules: DataFrame, classes: Sequence[object], id_col: str = "rec_id") -> DataFrame:
     """(id, bag_id, level, rank) of every rule that applies to a record."""
     index = scoring_index(rules, classes)
@@ -212,7 +220,7 @@ def ensemble_predict(
 ) -> DataFrame:
     """Majority of the bags' first matches. Bags without a match abstain; if all do, the default class."""
     index = scoring_index(rules, classes, model=model)
-    per_bag = matches(tx, index, id_cols, model).groupBy(*id_cols, "bag_id").agg(_first_class())
+    per_bag = bag_matches(tx, index, id_cols, model).groupBy(*id_cols, "bag_id").agg(_first_class())
     k = range(len(classes))
     tallies = per_bag.groupBy(*id_cols).agg(*[_count_class(i) for i in k])
     winner = _majority([F.col(f"_t{i}") for i in k], classes)
@@ -234,7 +242,7 @@ def ensemble_majority(
     defaults = bags.select("bag_id", class_index(F.col("default_class"), classes).alias("di"))
     counted = {r["di"]: r["count"] for r in defaults.groupBy("di").count().collect()}
     index = scoring_index(rules, classes)
-    per_bag = matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(_first_class())
+    per_bag = bag_matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(_first_class())
     moved = per_bag.join(F.broadcast(defaults), "bag_id", "left")
     tallies = moved.groupBy(*id_cols).agg(
         *[(F.count(F.when(F.col("ci") == i, 1)) - F.count(F.when(F.col("di") == i, 1))).alias(f"_t{i}") for i in k]
@@ -246,7 +254,7 @@ def ensemble_majority(
 def _bag_probabilities(tx, rules, classes, settings, default_proba, id_cols) -> DataFrame:
     """Probabilities of every bag with a vote, and one row with bag_id null for a record none votes on."""
     index = scoring_index(rules, classes, (1,))
-    votes = matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(*_vote_aggregates(classes, settings))
+    votes = bag_matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(*_vote_aggregates(classes, settings))
     return _with_probability(votes, classes, settings, default_proba)
 
 
