@@ -386,13 +386,13 @@ def _fold_predictions() -> Ctes:
     ]
 
 
-def _fold_scores() -> Ctes:
+def _scores(voting: str) -> Ctes:
+    """Scores of the held-out records by each fold's merged model, and their curves."""
     return [
-        *_fold_rules(),
         *_merged("max", "fold_rules", "fold,"),
         ("prior", "SELECT [1 - avg(label), avg(label)] AS p FROM all_tx"),
         *_proba(
-            "max", "confidence", "none", [0, 1], "(SELECT p FROM prior)", "rec_id, label, own_fold",
+            voting, "confidence", "none", [0, 1], "(SELECT p FROM prior)", "rec_id, label, own_fold",
             "merged", "all_tx", "t.own_fold = r.fold",
         ),
         ("scored", "SELECT rec_id, label, own_fold AS fold, round(p[2], 9) AS score FROM probs"),
@@ -400,12 +400,53 @@ def _fold_scores() -> Ctes:
             GROUP BY ALL"""),
         ("curve", """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER f AS np, sum(neg) OVER f AS nn
             FROM points WINDOW w AS (PARTITION BY fold ORDER BY score DESC), f AS (PARTITION BY fold)"""),
+        ("areas", """SELECT fold, sum(neg * (tp - pos / 2.0::DOUBLE)) / (any_value(np) * any_value(nn)::DOUBLE) AS auc
+            FROM curve GROUP BY fold"""),
         ("steps", "SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS threshold"),
         ("accuracies", """SELECT fold, threshold, avg(CAST((score >= threshold) = (label = 1) AS INT)) AS accuracy
             FROM scored, steps GROUP BY ALL"""),
+        ("best_step", """SELECT threshold, avg(accuracy) AS mean, stddev_pop(accuracy) AS stddev FROM accuracies
+            GROUP BY threshold ORDER BY round(avg(accuracy), 12) DESC, threshold LIMIT 1"""),
     ]
 
 
+def _fold_scores() -> Ctes:
+    return [*_fold_rules(), *_scores("max")]
+
+
+def _grid_point(mode: str, voting: str) -> str:
+    """One point of the grid: classes resampled to equal size, gain rules of 2 bags per fold, merged, scored."""
+    goal = {"over": "max(n)", "under": "min(n)"}[mode]
+    fold = f"{_hash('rec_id', f'fold{c.FOLD_SEED}')} % {c.FOLDS}"
+    base = [(n, s) if n != "tx" else ("plain_tx", s) for n, s in DOCS]
+    ctes: Ctes = [
+        *base,
+        ("all_tx", f"SELECT *, {fold} AS own_fold, {_draw('rec_id', f'strata{c.SEED}')} AS u FROM plain_tx"),
+        ("sizes", "SELECT label, count(*) AS n FROM all_tx GROUP BY ALL"),
+        ("rates", f"SELECT label, (SELECT {goal} FROM sizes)::DOUBLE / n AS rate FROM sizes"),
+        ("pmf", """SELECT label, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates,
+            (SELECT unnest(range(0, 60)) AS k)"""),
+        ("cdf", "SELECT label, k, sum(p) OVER (PARTITION BY label ORDER BY k) AS t FROM pmf"),
+        ("times", """SELECT t.rec_id, count(*) AS copies FROM all_tx t JOIN cdf c ON c.label = t.label AND c.t <= t.u
+            GROUP BY ALL"""),
+        ("resampled", """SELECT rec_id || '/' || unnest(range(1, copies + 1)) AS rec_id, label, items, own_fold
+            FROM all_tx JOIN times USING (rec_id)"""),
+        ("tx", f"""SELECT f.f * 2 + {_hash("r.rec_id || '/1'", f'deal{c.SEED}')} % 2 AS bag_id, r.rec_id, 1 AS copy, label, items
+            FROM resampled r JOIN (SELECT unnest(range(0, {c.FOLDS})) AS f) f ON f.f <> r.own_fold
+            WHERE {_draw('r.rec_id', f'bag{c.SEED}')} < {2 * 0.5!r}"""),
+        *_gain_rules(c.DOCS_GAIN),
+        ("fold_rules", "SELECT * REPLACE (bag_id % 2 AS bag_id), bag_id // 2 AS fold FROM rules"),
+        *_scores(voting),
+    ]
+    head = f"'{mode}sampling' AS sampling, '{voting}' AS voting, 'none' AS weight"
+    numbers = "round({0}, 6) AS mean, round({1}, 6) AS stddev"
+    final = f"""SELECT {head}, 'auc' AS measure, {numbers.format('avg(auc)', 'stddev_pop(auc)')} FROM areas
+        UNION ALL SELECT {head}, 'accuracy', {numbers.format('avg(accuracy)', 'stddev_pop(accuracy)')} FROM accuracies
+        WHERE threshold = 0.6::DOUBLE
+        UNION ALL SELECT {head}, 'accuracy at ' || printf('%.1f', threshold), {numbers.format('mean', 'stddev')} FROM best_step"""
+    return f"SELECT * FROM ({_statement(ctes, final)})"
+
+
 # --- statements --------------------------------------------------------------------------------------------------
 
 
@@ -670,17 +711,13 @@ def statements() -> dict[str, str]:
            FROM curve UNION ALL SELECT DISTINCT fold, e.part, NULL::DOUBLE, e.v, e.v FROM points,
            (SELECT unnest([0, 2])::BIGINT AS part, unnest([0.0, 1.0])::DOUBLE AS v) e""",
     )
-    sql["auc"] = _statement(
-        scores,
-        """SELECT fold, round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (any_value(np) * any_value(nn)::DOUBLE), 6) AS auc FROM curve
-           GROUP BY fold""",
-    )
+    sql["auc"] = _statement(scores, "SELECT fold, round(auc, 6) AS auc FROM areas")
     sql["accuracy_curve"] = _statement(
         scores, "SELECT fold, round(threshold, 1) AS threshold, round(accuracy, 6) AS accuracy FROM accuracies"
     )
     sql["best_threshold"] = _statement(
         scores,
-        """SELECT round(threshold, 1) AS threshold, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS stddev
-           FROM accuracies GROUP BY accuracies.threshold ORDER BY round(avg(accuracy), 12) DESC, threshold LIMIT 1""",
+        "SELECT round(threshold, 1) AS threshold, round(mean, 6) AS mean, round(stddev, 6) AS stddev FROM best_step",
     )
+    sql["grid"] = " UNION ALL ".join(_grid_point(m, v) for m in ("over", "under") for v in ("max", "min"))
     return sql
