@@ -83,7 +83,7 @@ def sums_majority(classes: list) -> Column:
 
 
 def bag_totals(counts: DataFrame) -> DataFrame:
-    """(bag_id, n_total, squares, default_class): size, sum of squared class counts, majority class."""
+    """(bag_id, n_total, squares, default_class, classes): size, sum of squared class counts, majority, all classes."""
     return (
         class_counts(counts)
         .groupBy("bag_id")
@@ -91,6 +91,7 @@ def bag_totals(counts: DataFrame) -> DataFrame:
             F.sum("n_class").alias("n_total"),
             F.sum(square(F.col("n_class"))).cast("decimal(38,0)").alias("squares"),
             F.min_by("label", F.struct(-F.col("n_class"), F.col("label"))).alias("default_class"),
+            F.array_sort(F.collect_set("label")).alias("classes"),
         )
     )
 

@@ -55,7 +55,7 @@ class _RuleParams(Params):
         self._declare("itemsCol", "item array column", TypeConverters.toString, "items")
         self._declare("labelCol", "class column", TypeConverters.toString, "label")
         self._declare("withWeight", "bags vote by probability instead of first match", TypeConverters.toBoolean, False)
-        self._declare("classes", "all classes in order; empty: those in the data, sorted", TypeConverters.toList, [])
+        self._declare("classes", "all classes in order; empty: those in the bags, sorted", TypeConverters.toList, [])
         self._declare("preferredClass", "list of at most one class predicted by default", TypeConverters.toList, [])
         self._declare("preferredProba", "default probabilities in class order", TypeConverters.toListFloat, [])
 
@@ -88,7 +88,8 @@ class RuleEstimator(Estimator, _RuleParams):
         rules, bags = train_ensemble(tx, self.settings())
         classes = self.value("classes")
         if not classes:
-            classes = sorted(r["label"] for r in tx.select("label").distinct().collect())
+            seen = bags.select(F.explode("classes").alias("c")).distinct().collect()
+            classes = sorted(r["c"] for r in seen)
         model = RuleModel(rules, bags, classes)
         self._copyValues(model)
         return model

@@ -73,14 +73,14 @@ def training_input(bagged: DataFrame) -> DataFrame:
 
 
 def train_bags(bagged: DataFrame, settings: TrainingSettings) -> tuple[DataFrame, DataFrame]:
-    """(rules, bags) of transactions that already carry a bag_id. `bags` has bag_id, n_total, default_class."""
+    """(rules, bags) of transactions that already carry a bag_id. `bags` has bag_id, n_total, default_class, classes."""
     settings.check()
     sample = training_input(bagged)
     counts = stage(label_counts(sample), "label-counts")
     rules = mine(sample, settings, counts)
     if settings.with_coverage:
         rules = cover(rules, sample, settings.save_spare)
-    bags = bag_totals(counts).select("bag_id", "n_total", "default_class")
+    bags = bag_totals(counts).drop("squares")
     return stage(rules, "model-rules"), stage(bags, "model-bags")
 
 

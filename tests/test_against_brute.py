@@ -129,9 +129,17 @@ def test_match_by_broadcast_and_by_salted_shuffle(sets, tx, mined, limit):
     assert sorted(map(tuple, rows)) == sorted(want)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-@pytest.mark.parametrize("metric", ["support", "confidence"])
-@pytest.mark.parametrize(("voting", "weight"), [("max", "none"), ("mean", "numRules"), ("min", "none")])
+@pytest.mark.parametrize(
+    ("voting", "metric", "weight", "limit"),
+    [
+        ("max", "confidence", "none", 10**6),
+        ("max", "confidence", "none", 0),
+        ("max", "support", "none", 10**6),
+        ("mean", "confidence", "numRules", 10**6),
+        ("mean", "support", "numRules", 0),
+        ("min", "confidence", "none", 10**6),
+    ],
+)
 def test_probabilities(sets, tx, mined, voting, metric, weight, limit):
     classes, default = [0, 1, 2], [0.2, 0.5, 0.3]
     model = mined.withColumn("model", F.col("bag_id"))
