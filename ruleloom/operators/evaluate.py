@@ -78,7 +78,10 @@ def _class_totals(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def roc(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
-    """ROC points at every distinct score, from (0, 0) to (1, 1); `score` is null at both ends."""
+    """ROC points at every distinct score, from (0, 0) to (1, 1); `score` is null at both ends.
+
+    The rate of a class without records is 0.
+    """
     totals = _class_totals(scored, by)
     curve = (
         _cumulative(scored, by)
@@ -87,8 +90,8 @@ def roc(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
             *by,
             F.lit(1).alias("part"),
             "score",
-            F.try_divide("fp", "negatives").alias("fpr"),
-            F.try_divide("tp", "positives").alias("tpr"),
+            F.coalesce(F.try_divide("fp", "negatives"), F.lit(0.0)).alias("fpr"),
+            F.coalesce(F.try_divide("tp", "positives"), F.lit(0.0)).alias("tpr"),
         )
     )
     ends = F.inline(
@@ -108,13 +111,14 @@ def roc(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
 
 
 def auc(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
-    """Area under the ROC curve by trapezoids: each score adds its negatives times the mean true positives."""
+    """Area under the ROC curve by trapezoids: each score adds its negatives times the mean true positives.
+
+    Without positives the curve runs along the bottom, area 0; without negatives along the top, area 1.
+    """
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return (
-        _cumulative(scored, by)
-        .groupBy(*by)
-        .agg(F.try_divide(area, F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
-    )
+    positives, negatives = F.sum("pos"), F.sum("neg").cast("double")
+    share = F.when(positives == 0, 0.0).when(negatives == 0, 1.0).otherwise(F.try_divide(area, positives * negatives))
+    return _cumulative(scored, by).groupBy(*by).agg(share.alias("auc"))
 
 
 def threshold_predict(scored: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFrame:

@@ -400,7 +400,8 @@ def _scores(voting: str) -> Ctes:
             GROUP BY ALL"""),
         ("curve", """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER f AS np, sum(neg) OVER f AS nn
             FROM points WINDOW w AS (PARTITION BY fold ORDER BY score DESC), f AS (PARTITION BY fold)"""),
-        ("areas", """SELECT fold, sum(neg * (tp - pos / 2.0::DOUBLE)) / (any_value(np) * any_value(nn)::DOUBLE) AS auc
+        ("areas", """SELECT fold, CASE WHEN any_value(np) = 0 THEN 0.0 WHEN any_value(nn) = 0 THEN 1.0 ELSE
+            sum(neg * (tp - pos / 2.0::DOUBLE)) / (any_value(np) * any_value(nn)::DOUBLE) END AS auc
             FROM curve GROUP BY fold"""),
         ("steps", "SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS threshold"),
         ("accuracies", """SELECT fold, threshold, avg(CAST((score >= threshold) = (label = 1) AS INT)) AS accuracy
@@ -707,7 +708,8 @@ def statements() -> dict[str, str]:
     scores = _fold_scores()
     sql["roc"] = _statement(
         scores,
-        """SELECT fold, 1::BIGINT AS part, round(score, 6) AS score, round(fp::DOUBLE / nn, 6) AS fpr, round(tp::DOUBLE / np, 6) AS tpr
+        """SELECT fold, 1::BIGINT AS part, round(score, 6) AS score, 
+           CASE WHEN nn = 0 THEN 0 ELSE round(fp::DOUBLE / nn, 6) END AS fpr, CASE WHEN np = 0 THEN 0 ELSE round(tp::DOUBLE / np, 6) END AS tpr
            FROM curve UNION ALL SELECT DISTINCT fold, e.part, NULL::DOUBLE, e.v, e.v FROM points,
            (SELECT unnest([0, 2])::BIGINT AS part, unnest([0.0, 1.0])::DOUBLE AS v) e""",
     )

@@ -26,6 +26,14 @@ def test_area_agrees_with_the_builtin_evaluator(scored):
     assert evaluate.auc(scored, ()).first()["auc"] == pytest.approx(builtin.evaluate(scored), abs=1e-12)
 
 
+def test_curves_of_a_single_class(spark):
+    rows = [(0, 0, 0.3), (0, 0, 0.8), (1, 1, 0.3), (1, 1, 0.8)]
+    one_sided = spark.createDataFrame(rows, "fold int, label int, score double")
+    assert {r["fold"]: r["auc"] for r in evaluate.auc(one_sided).collect()} == {0: 0.0, 1: 1.0}
+    points = evaluate.roc(one_sided).where("part = 1").collect()
+    assert all((r["tpr"] if r["fold"] == 0 else r["fpr"]) == 0.0 for r in points)
+
+
 def test_roc_runs_from_corner_to_corner(scored):
     rows = evaluate.roc(scored).where("fold = 0").orderBy("part", "fpr", "tpr").collect()
     assert (rows[0]["fpr"], rows[0]["tpr"]) == (0.0, 0.0) and (rows[-1]["fpr"], rows[-1]["tpr"]) == (1.0, 1.0)
