@@ -27,15 +27,16 @@ _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=_U)
 _BASE = _U(int(_RNG.integers(1, 2**63)) * 2 + 1)
 _POSITION = _RNG.integers(1, 2**63, 64, dtype=_U) * _U(2) + _U(1)
-_POWERS = np.ones(1, _U)
+#: Powers of _BASE and of its inverse, as many as the longest piece so far has bytes.
+_POWERS = [np.ones(1, _U), np.ones(1, _U)]
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
         with np.errstate(over="ignore"):
-            _POWERS = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(max(n, CHUNK + 1) - 1, _BASE)]))
-    return _POWERS[:n]
+            for k, base in enumerate((_BASE, _U(pow(int(_BASE), -1, 2**64)))):
+                _POWERS[k] = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(max(n, CHUNK + 1) - 1, base)]))
+    return _POWERS
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -104,10 +105,10 @@ class Words:
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[start:end] for each span: a polynomial with random byte values, the length mixed in."""
     with np.errstate(over="ignore"):
-        table = _powers(len(data) + 1)
-        total = np.concatenate([[_U(0)], np.cumsum(_BYTE[data] * table[: len(data)], dtype=_U)])
-        # The highest power instead of the inverse of the lowest makes equal spans equal.
-        return (total[end] - total[start]) * table[len(data) - start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
+        power, inverse = _powers(len(data) + 1)
+        total = np.concatenate([[_U(0)], np.cumsum(_BYTE[data] * power[: len(data)], dtype=_U)])
+        # Brought back to the begin of the span, equal bytes have equal hashes wherever they stand.
+        return (total[end] - total[start]) * inverse[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
 
 
 def runs(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
