@@ -1,20 +1,12 @@
 """Near duplicates against all pairs on full sets."""
 
 import random
-import re
 
 import pytest
 
 from ruleloom.llm import op2_neardup
 from ruleloom.llm.components import components
-
-
-def shingle_set(text, width=5):
-    text = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    if len(words) < width:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+from tests_llm_plain import shingle_set
 
 
 def brute(rows, percent):
