@@ -14,8 +14,8 @@ HASH_RANGE = 2**32
 
 
 def hash32(key: Column, salt: str) -> Column:
-    """First eight hex digits of md5("key:salt") as a number in [0, 2^32)."""
-    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{salt}")))
+    """First eight hex digits of md5("key:salt") as a number in [0, 2^32); a null key draws like an empty one."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{salt}")))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest count whose pairwise products of squares still fit a 38-digit decimal.
+# Largest count whose pairwise products of squares still fit a 38-digit decimal; beyond it fractions are compared digit
+# by digit, which gives the same answer.
 EXACT_LIMIT = 2_000_000_000
+# Decimal digits of a fraction compared at once, and how often. All of them fit up to 10^13 records, and two different
+# fractions of such counts differ within them.
+DIGITS, STEPS = 12, 5
 
 
 def big(col: Column) -> Column:
@@ -59,13 +63,24 @@ def gain(n: Column, squares: Column, n_parent: Column, squares_parent: Column) -
 
 
 def gain_exceeds(n: Column, squares: Column, n_parent: Column, squares_parent: Column, least: float) -> Column:
-    """gain > least; for least = 0 an exact integer comparison as long as it fits the decimal range."""
-    rounded = gain(n, squares, n_parent, squares_parent) > least
+    """gain > least; for least = 0 an exact comparison of the two fractions squares / n^2, at any size."""
     if least != 0.0:
-        return rounded
+        return gain(n, squares, n_parent, squares_parent) > least
     ours = squares.cast("decimal(38,0)") * (big(n_parent) * big(n_parent)).cast("decimal(38,0)")
     theirs = squares_parent.cast("decimal(38,0)") * (big(n) * big(n)).cast("decimal(38,0)")
-    return F.when(n_parent <= EXACT_LIMIT, ours > theirs).otherwise(rounded)
+    by_digits = _digits(squares, n) > _digits(squares_parent, n_parent)
+    return F.when(n_parent <= EXACT_LIMIT, ours > theirs).otherwise(by_digits)
+
+
+def _digits(squares: Column, n: Column) -> Column:
+    """squares / n^2 as its whole part and groups of decimals, by long division; structs of it compare like the fractions."""
+    below = square(n)
+    rest = squares.cast("decimal(38,0)")
+    parts = [F.call_function("div", rest, below)]
+    for _ in range(STEPS):
+        rest = (F.pmod(rest, below) * F.lit(10**DIGITS).cast("decimal(13,0)")).cast("decimal(38,0)")
+        parts.append(F.call_function("div", rest, below))
+    return F.struct(*[p.alias(f"d{i}") for i, p in enumerate(parts)])
 
 
 def square(n: Column) -> Column:

@@ -24,11 +24,14 @@ from ruleloom.operators.items import (
     class_list,
     class_sums,
     decode,
+    distinct_items,
+    item_counts,
     items_by_rank,
     label_counts,
     min_count,
     rank_items,
     ranked_baskets,
+    stage_ranks,
     sums_largest,
     sums_majority,
     sums_squares,
@@ -198,16 +201,16 @@ def mine_gain(
     if presorted:
         ranks = None
         paths = (
-            tx.select("bag_id", F.col("items").alias("ranks"), "label", weight(tx).alias("n"))
+            tx.select("bag_id", distinct_items(F.col("items")).alias("ranks"), "label", weight(tx).alias("n"))
             .where(F.size("ranks") > 0)
             .groupBy("bag_id", "ranks", "label")
             .agg(F.sum("n").alias("n"))
         )
-        item_n = counts.where(F.col("item").isNotNull()).groupBy("bag_id", "item").agg(F.sum("n").alias("n"))
+        item_n = item_counts(counts).groupBy("bag_id", "item").agg(F.sum("n").alias("n"))
         limits = bag_totals(counts).select("bag_id", min_count(F.col("n_total"), min_support).alias("min_count"))
     else:
-        ranks, seen = stage_observed(rank_items(counts, min_support, "gain"), "ranks")
-        paths = ranked_baskets(tx, ranks, seen["rows"] <= map_limit)
+        ranks, by_map = stage_ranks(rank_items(counts, min_support, "gain"), map_limit)
+        paths = ranked_baskets(tx, ranks, by_map)
         item_n = ranks.select("bag_id", F.col("rank").alias("item"), "n")
         limits = bag_limits(ranks)
     paths, seen = stage_observed(paths, "paths", widest=F.max(F.size("ranks")))

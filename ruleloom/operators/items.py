@@ -7,15 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruleloom.functions.metrics import gain, gain_exceeds, gini, square
+from ruleloom.staging import stage_observed
 
-# A bag ranks at most (mean items per record) / (minimum support) items. Up to this many in all bags together,
-# the ranking travels to the records as one broadcast map per bag; beyond it the items are joined one by one.
-RANK_MAP_LIMIT = 20_000
+# Up to this many ranked items in a bag, the ranking travels to the records as one broadcast map per bag, which is searched
+# entry by entry; beyond it the items are joined one by one. The result is the same.
+RANK_MAP_LIMIT = 100
 
 
 def distinct_items(items: Column) -> Column:
-    """The items themselves; a record with a repeated item is an error."""
-    return F.when(F.size(items) == F.size(F.array_distinct(items)), items).otherwise(
+    """The items themselves, null items left out; a record with a repeated item is an error, one without items has none."""
+    given = F.coalesce(F.array_compact(items), F.array())
+    return F.when(F.size(given) == F.size(F.array_distinct(given)), given).otherwise(
         F.raise_error(F.concat(F.lit("items of a record must be unique: "), F.to_json(items)))
     )
 
@@ -34,22 +36,28 @@ def compact(tx: DataFrame) -> DataFrame:
 
 
 def label_counts(tx: DataFrame) -> DataFrame:
-    """(bag_id, item, label, n) of every item, and with item = null the class counts, in one pass.
+    """(bag_id, is_class, item, label, n) of every item, and where is_class the class counts, in one pass.
 
     The counts are combined before the shuffle, so a frequent item costs one row per task.
     """
     items = distinct_items(F.col("items"))
-    with_total = F.concat(F.array(F.lit(None)), items)
+    each = F.transform(items, lambda i: F.struct(F.lit(False).alias("is_class"), i.alias("item")))
+    total = F.struct(F.lit(True).alias("is_class"), F.get(items, F.lit(-1)).alias("item"))
     return (
-        tx.select("bag_id", "label", weight(tx).alias("n"), F.explode(with_total).alias("item"))
-        .groupBy("bag_id", "item", "label")
+        tx.select("bag_id", "label", weight(tx).alias("n"), F.explode(F.concat(F.array(total), each)).alias("of"))
+        .groupBy("bag_id", "of.is_class", "of.item", "label")
         .agg(F.sum("n").alias("n"))
     )
 
 
+def item_counts(counts: DataFrame) -> DataFrame:
+    """(bag_id, item, label, n) from staged label counts."""
+    return counts.where(~F.col("is_class")).drop("is_class")
+
+
 def class_counts(counts: DataFrame) -> DataFrame:
     """(bag_id, label, n_class) from staged label counts."""
-    return counts.where(F.col("item").isNull()).select("bag_id", "label", F.col("n").alias("n_class"))
+    return counts.where("is_class").select("bag_id", "label", F.col("n").alias("n_class"))
 
 
 def class_list(counts: DataFrame) -> list:
@@ -106,7 +114,7 @@ def item_stats(counts: DataFrame) -> DataFrame:
     """Per bag and item: n, n_max (largest class count), squares, gain, and the bag's totals."""
     totals = bag_totals(counts).select("bag_id", "n_total", F.col("squares").alias("all_squares"))
     stats = (
-        counts.where(F.col("item").isNotNull())
+        item_counts(counts)
         .groupBy("bag_id", "item")
         .agg(
             F.sum("n").alias("n"),
@@ -141,6 +149,12 @@ def rank_items(counts: DataFrame, min_support: float, strategy: str) -> DataFram
     return frequent.withColumn("rank", F.row_number().over(W.partitionBy("bag_id").orderBy(*order)) - 1)
 
 
+def stage_ranks(ranks: DataFrame, map_limit: int = RANK_MAP_LIMIT) -> tuple[DataFrame, bool]:
+    """The staged ranking, and whether every bag's part of it is small enough for a map."""
+    table, seen = stage_observed(ranks, "ranks", last=F.max("rank"))
+    return table, (-1 if seen["last"] is None else seen["last"]) < map_limit
+
+
 def bag_limits(ranks: DataFrame) -> DataFrame:
     """(bag_id, min_count) of the bags that rank any item."""
     return ranks.groupBy("bag_id").agg(F.max("min_count").alias("min_count"))

@@ -1,11 +1,13 @@
 """Classify records with rule tables: first match, weighted votes, majority of bags.
 
-All of it is one match join and one shuffle of one small row per record, however many rules and bags apply to it.
+Equal item sets are scored once: one match join and one shuffle of one small row per distinct set, however many rules and
+bags apply to it. The results are joined back on the items, so every record keeps its row, whatever its id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,13 +53,44 @@ def uniform_proba(classes: Sequence[object]) -> list[float]:
     return [1.0 / len(classes)] * len(classes)
 
 
+def class_array(classes: Sequence[object]) -> Column:
+    """The classes as one literal, however many there are."""
+    kinds = {type(c) for c in classes}
+    if kinds == {str}:
+        return F.from_json(F.lit(json.dumps(list(classes))), "array<string>")
+    if kinds == {int}:
+        kind = "int" if all(-(2**31) <= c < 2**31 for c in classes) else "bigint"
+        return F.from_json(F.lit(json.dumps(list(classes))), f"array<{kind}>")
+    return F.array(*[F.lit(c) for c in classes])
+
+
 def class_index(label: Column, classes: Sequence[object]) -> Column:
     """0-based position of a label among the classes, -1 if it is none of them."""
-    return (F.array_position(F.array(*[F.lit(c) for c in classes]), label) - 1).cast("int")
+    return (F.array_position(class_array(classes), label) - 1).cast("int")
 
 
 def class_at(index: Column, classes: Sequence[object]) -> Column:
-    return F.get(F.array(*[F.lit(c) for c in classes]), index)
+    return F.get(class_array(classes), index)
+
+
+def per_item_set(
+    tx: DataFrame, id_cols: Sequence[str], model: Sequence[str], score: Callable[[DataFrame, list[str]], DataFrame]
+) -> DataFrame:
+    """`score` the distinct item sets of `tx` (of each model) and give every row of `tx` its result.
+
+    score(sets, keys) gets rows with `keys` and items, and returns one row for each. Rows are kept as they are: equal and
+    null ids, and null items, keep their rows.
+    """
+    keys = ["set_of_items", *model]
+    sets = tx.select(*model, F.col("items").alias("set_of_items"), "items").distinct()
+    scored = score(sets, keys)
+    wanted = [c for c in scored.columns if c not in keys]
+    left = tx.select(*id_cols, F.col("items").alias("set_of_items"), *[m for m in model if m not in id_cols]).alias("l")
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    kept = [F.col(f"l.{c}") for c in id_cols] + [F.col(f"r.{c}") for c in wanted]
+    return left.join(scored.alias("r"), same, "left").select(*kept)
 
 
 def scoring_index(
@@ -98,14 +131,15 @@ def rule_matches(tx: DataFrame, rules: DataFrame, classes: Sequence[object], id_
 # --- first match -----------------------------------------------------------------------------------------------
 
 
-def _first_key() -> Column:
-    """Level, rank and class in one number: its minimum is the first match, with its class in the low bits."""
-    level, rank, ci = (F.col(c).cast("bigint") for c in ("level", "rank", "ci"))
-    return F.shiftleft(level, 56) + F.shiftleft(rank, 16) + ci
-
+def _first_class(n_classes: int) -> Column:
+    """The class number of the first match: level, rank and class in one number, its minimum, the class in the low bits.
 
-def _first_class() -> Column:
-    return F.min(_first_key()).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("ci")
+    The class takes as many bits as there are classes, the rank has the others up to bit 56.
+    """
+    bits = max(1, (n_classes - 1).bit_length())
+    level, rank, ci = (F.col(c).cast("bigint") for c in ("level", "rank", "ci"))
+    key = F.shiftleft(level, 56) + F.shiftleft(rank, bits) + ci
+    return F.min(key).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("ci")
 
 
 def first_match(
@@ -117,10 +151,13 @@ def first_match(
     model: Sequence[str] = (),
 ) -> DataFrame:
     """`prediction` of the first applying rule, level 1 before level 2; without any, the default class."""
-    best = (
-        matches(tx, scoring_index(rules, classes, model=model), id_cols, model).groupBy(*id_cols).agg(_first_class())
-    )
-    return best.select(*id_cols, F.coalesce(class_at(F.col("ci"), classes), F.lit(default_class)).alias("prediction"))
+    index = scoring_index(rules, classes, model=model)
+
+    def score(sets: DataFrame, keys: list[str]) -> DataFrame:
+        best = matches(sets, index, keys, model).groupBy(*keys).agg(_first_class(len(classes)))
+        return best.select(*keys, F.coalesce(class_at(F.col("ci"), classes), F.lit(default_class)).alias("prediction"))
+
+    return per_item_set(tx, id_cols, model, score)
 
 
 # --- votes -----------------------------------------------------------------------------------------------------
@@ -180,8 +217,13 @@ def probabilities(
     """`probability` array by the votes of the applying level-1 rules; without any, the default probabilities."""
     settings = settings or VoteSettings()
     index = scoring_index(rules, classes, (1,), model, broadcast_items)
-    votes = matches(tx, index, id_cols, model).groupBy(*id_cols).agg(*_vote_aggregates(classes, settings))
-    return _with_probability(votes, classes, settings, default_proba or uniform_proba(classes))
+    default = default_proba or uniform_proba(classes)
+
+    def score(sets: DataFrame, keys: list[str]) -> DataFrame:
+        votes = matches(sets, index, keys, model).groupBy(*keys).agg(*_vote_aggregates(classes, settings))
+        return _with_probability(votes, classes, settings, default)
+
+    return per_item_set(tx, id_cols, model, score)
 
 
 def vote_predict(scored: DataFrame, classes: Sequence[object]) -> DataFrame:
@@ -220,11 +262,15 @@ def ensemble_predict(
 ) -> DataFrame:
     """Majority of the bags' first matches. Bags without a match abstain; if all do, the default class."""
     index = scoring_index(rules, classes, model=model)
-    per_bag = bag_matches(tx, index, id_cols, model).groupBy(*id_cols, "bag_id").agg(_first_class())
     k = range(len(classes))
-    tallies = per_bag.groupBy(*id_cols).agg(*[_count_class(i) for i in k])
-    winner = _majority([F.col(f"_t{i}") for i in k], classes)
-    return tallies.select(*id_cols, F.coalesce(winner, F.lit(default_class)).alias("prediction"))
+
+    def score(sets: DataFrame, keys: list[str]) -> DataFrame:
+        per_bag = bag_matches(sets, index, keys, model).groupBy(*keys, "bag_id").agg(_first_class(len(classes)))
+        tallies = per_bag.groupBy(*keys).agg(*[_count_class(i) for i in k])
+        winner = _majority([F.col(f"_t{i}") for i in k], classes)
+        return tallies.select(*keys, F.coalesce(winner, F.lit(default_class)).alias("prediction"))
+
+    return per_item_set(tx, id_cols, model, score)
 
 
 def ensemble_majority(
@@ -242,18 +288,19 @@ def ensemble_majority(
     defaults = bags.select("bag_id", class_index(F.col("default_class"), classes).alias("di"))
     counted = {r["di"]: r["count"] for r in defaults.groupBy("di").count().collect()}
     index = scoring_index(rules, classes)
-    per_bag = bag_matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(_first_class())
-    moved = per_bag.join(F.broadcast(defaults), "bag_id", "left")
-    tallies = moved.groupBy(*id_cols).agg(
-        *[(F.count(F.when(F.col("ci") == i, 1)) - F.count(F.when(F.col("di") == i, 1))).alias(f"_t{i}") for i in k]
-    )
+    moves = [(F.count(F.when(F.col("ci") == i, 1)) - F.count(F.when(F.col("di") == i, 1))).alias(f"_t{i}") for i in k]
     votes = [F.col(f"_t{i}") + F.lit(counted.get(i, 0)) for i in k]
-    return tallies.select(*id_cols, _majority(votes, classes).alias("prediction"))
 
+    def score(sets: DataFrame, keys: list[str]) -> DataFrame:
+        per_bag = bag_matches(sets, index, keys).groupBy(*keys, "bag_id").agg(_first_class(len(classes)))
+        tallies = per_bag.join(F.broadcast(defaults), "bag_id", "left").groupBy(*keys).agg(*moves)
+        return tallies.select(*keys, _majority(votes, classes).alias("prediction"))
 
-def _bag_probabilities(tx, rules, classes, settings, default_proba, id_cols) -> DataFrame:
+    return per_item_set(tx, id_cols, (), score)
+
+
+def _bag_probabilities(tx, index, classes, settings, default_proba, id_cols) -> DataFrame:
     """Probabilities of every bag with a vote, and one row with bag_id null for a record none votes on."""
-    index = scoring_index(rules, classes, (1,))
     votes = bag_matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(*_vote_aggregates(classes, settings))
     return _with_probability(votes, classes, settings, default_proba)
 
@@ -269,16 +316,21 @@ def ensemble_proba(
 ) -> DataFrame:
     """Sum of the bags' probabilities, normalised. Bags without a vote add the default probabilities."""
     default = list(default_proba or uniform_proba(classes))
-    per_bag = _bag_probabilities(tx, rules, classes, settings or VoteSettings(), default, id_cols)
+    index = scoring_index(rules, classes, (1,))
     k = range(len(classes))
     voted = F.col("bag_id").isNotNull()
-    sums = per_bag.groupBy(*id_cols).agg(
-        F.count(F.when(voted, 1)).alias("_bags"),
-        *[F.coalesce(F.sum(F.when(voted, F.get("probability", F.lit(i)))), F.lit(0.0)).alias(f"_p{i}") for i in k],
-    )
-    sums = sums.withColumns({f"_p{i}": F.col(f"_p{i}") + (num_bags - F.col("_bags")) * default[i] for i in k})
-    total = sum((F.col(f"_p{i}") for i in k), F.lit(0.0))
-    return sums.select(*id_cols, F.array(*[F.col(f"_p{i}") / total for i in k]).alias("probability"))
+
+    def score(sets: DataFrame, keys: list[str]) -> DataFrame:
+        per_bag = _bag_probabilities(sets, index, classes, settings or VoteSettings(), default, keys)
+        sums = per_bag.groupBy(*keys).agg(
+            F.count(F.when(voted, 1)).alias("_bags"),
+            *[F.coalesce(F.sum(F.when(voted, F.get("probability", F.lit(i)))), F.lit(0.0)).alias(f"_p{i}") for i in k],
+        )
+        sums = sums.withColumns({f"_p{i}": F.col(f"_p{i}") + (num_bags - F.col("_bags")) * default[i] for i in k})
+        total = sum((F.col(f"_p{i}") for i in k), F.lit(0.0))
+        return sums.select(*keys, F.array(*[F.col(f"_p{i}") / total for i in k]).alias("probability"))
+
+    return per_item_set(tx, id_cols, (), score)
 
 
 def ensemble_weighted(
@@ -293,13 +345,16 @@ def ensemble_weighted(
     """Majority in which every bag votes for its most probable class, so none abstains."""
     default = list(default_proba or uniform_proba(classes))
     fallback = default.index(max(default))
-    per_bag = _bag_probabilities(tx, rules, classes, settings or VoteSettings(), default, id_cols)
-    voted = per_bag.withColumn(
-        "ci", F.when(F.col("bag_id").isNotNull(), most_probable(F.col("probability")))
-    )
+    index = scoring_index(rules, classes, (1,))
     k = range(len(classes))
-    tallies = voted.groupBy(*id_cols).agg(F.count("bag_id").alias("_bags"), *[_count_class(i) for i in k])
     votes = [
         F.col(f"_t{i}") + (F.lit(num_bags) - F.col("_bags") if i == fallback else F.lit(0)) for i in k
     ]
-    return tallies.select(*id_cols, _majority(votes, classes).alias("prediction"))
+
+    def score(sets: DataFrame, keys: list[str]) -> DataFrame:
+        per_bag = _bag_probabilities(sets, index, classes, settings or VoteSettings(), default, keys)
+        ci = F.when(F.col("bag_id").isNotNull(), most_probable(F.col("probability")))
+        tallies = per_bag.withColumn("ci", ci).groupBy(*keys).agg(F.count("bag_id").alias("_bags"), *[_count_class(i) for i in k])
+        return tallies.select(*keys, _majority(votes, classes).alias("prediction"))
+
+    return per_item_set(tx, id_cols, (), score)

@@ -27,6 +27,7 @@ from ruleloom.operators.items import (
     min_count,
     rank_items,
     ranked_baskets,
+    stage_ranks,
     sums_largest,
     sums_total,
 )
@@ -60,11 +61,11 @@ def frequent_itemsets(
     """
     counts = stage(label_counts(tx), "label-counts") if counts is None else counts
     classes = class_list(counts)
-    ranks, seen = stage_observed(rank_items(counts, min_support, "support"), "ranks")
+    ranks, by_map = stage_ranks(rank_items(counts, min_support, "support"), map_limit)
     usable = ranks.where(F.col("n_max") >= F.col("min_count"))
     limits = bag_limits(ranks)
     baskets, width = stage_observed(
-        ranked_baskets(tx, usable, seen["rows"] <= map_limit, descending=True),
+        ranked_baskets(tx, usable, by_map, descending=True),
         "baskets",
         widest=F.max(F.size("ranks")),
         subsets=F.sum(F.get(F.array(*map(F.lit, subset_counts(narrow, max_length))), F.size("ranks"))),

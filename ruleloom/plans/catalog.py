@@ -15,7 +15,7 @@ from ruleloom.operators import coverage, evaluate, gain, items, merge, prefix, r
 from ruleloom.plans import crossval, tables
 from ruleloom.plans.training import TrainingSettings, train_bags, train_ensemble, training_input
 from ruleloom.sources import text
-from ruleloom.staging import stage, stage_observed
+from ruleloom.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +27,7 @@ BINARY = [0, 1]
 LINES = {"min_support": 0.01, "min_confidence": 0.34, "min_chi2": 0.0}
 DOCS = {"min_support": 0.1, "min_confidence": 0.5, "min_chi2": 0.0}
 DOCS_GAIN = {"min_support": 0.02, "min_confidence": 0.5, "min_chi2": 0.0}
-BASKETS = {"min_support": 0.005, "min_confidence": 0.3, "min_chi2": 0.0, "max_length": 3}
+BASKETS = {"min_support": 0.005, "min_confidence": 0.3, "min_chi2": 0.0, "max_length": 10}
 BAGS, BAG_SHARE, SEED = 5, 0.4, 7
 FOLDS, FOLD_SEED = 5, 12345
 FRACTIONS = {0: 2.0, 1: 0.5}
@@ -123,20 +123,16 @@ def doc_ensemble(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return _shared(spark, folder, "doc_ensemble", lambda: train_bags(doc_bags(spark, folder), settings))
 
 
-def held_out_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.kfold(docs(spark, folder), 3, FOLD_SEED).where(F.col("fold") == 0)
-
-
 def covered_docs(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        return stage(coverage.cover(doc_rules(spark, folder), held_out_docs(spark, folder)), "covered")
+        return stage(coverage.cover(doc_rules(spark, folder), docs(spark, folder)), "covered")
 
     return _shared(spark, folder, "covered_docs", build)
 
 
 def covered_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        data = held_out_docs(spark, folder).drop("bag_id")
+        data = docs(spark, folder).drop("bag_id")
         return stage(coverage.cover(doc_ensemble(spark, folder)[0], data, shared=True), "covered")
 
     return _shared(spark, folder, "covered_ensemble", build)
@@ -281,8 +277,8 @@ def feature_select(spark, folder):
 def rank_tx(spark, folder):
     tx = lines(spark, folder)
     counts = stage(items.label_counts(tx), "label-counts")
-    ranks, seen = stage_observed(items.rank_items(counts, LINES["min_support"], "gain"), "ranks")
-    encoded = items.rank_encode(tx, ranks, seen["rows"] <= items.RANK_MAP_LIMIT)
+    ranks, by_map = items.stage_ranks(items.rank_items(counts, LINES["min_support"], "gain"))
+    encoded = items.rank_encode(tx, ranks, by_map)
     return encoded.select("rec_id", _words("ranks").alias("ranks"))
 
 
@@ -293,8 +289,8 @@ def _line_paths(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         tx = line_input(spark, folder)
         counts = stage(items.label_counts(tx), "label-counts")
-        ranks, seen = stage_observed(items.rank_items(counts, LINES["min_support"], "gain"), "ranks")
-        return stage(items.ranked_baskets(tx, ranks, seen["rows"] <= items.RANK_MAP_LIMIT), "paths")
+        ranks, by_map = items.stage_ranks(items.rank_items(counts, LINES["min_support"], "gain"))
+        return stage(items.ranked_baskets(tx, ranks, by_map), "paths")
 
     return _shared(spark, folder, "line_paths", build)
 
@@ -389,7 +385,7 @@ def node_gain(spark, folder):
 @query("rule_metrics")
 def rule_metrics(spark, folder):
     counts = stage(items.label_counts(baskets(spark, folder)), "label-counts")
-    singles = counts.where(F.col("item").isNotNull())
+    singles = items.item_counts(counts)
     n_ant = singles.groupBy("bag_id", "item").agg(F.sum("n").alias("n_ant"))
     found = singles.join(n_ant, ["bag_id", "item"]).select(
         "bag_id", F.array("item").alias("antecedent"), F.col("label").alias("consequent"), "n_ant", F.col("n").alias("n_hit")

@@ -4,7 +4,7 @@
     python -m ruleloom.plans.cli binary  FILE NUM_MODELS SAMPLE_SIZE MIN_SUPPORT [--out DIR]
 
 `multi` reports the confusion matrix over ten folds, accuracy and rule counts of the support strategy; `binary` reports
-a grid of over- and undersampling and votes of the gain strategy. With --out the reports are also written as CSV.
+a grid of over- and undersampling and votes of the gain strategy, with model sizes, and the ROC points of every fold. With --out the reports are also written as CSV.
 """
 
 from __future__ import annotations
@@ -44,10 +44,12 @@ def multi_class(tx: DataFrame, num_classes: int, settings: TrainingSettings, k:
     }
 
 
-def binary(tx: DataFrame, settings: TrainingSettings, k: int = 10) -> dict[str, DataFrame]:
+def binary(
+    tx: DataFrame, settings: TrainingSettings, k: int = 10, preferred_proba: list[float] | None = None
+) -> dict[str, DataFrame]:
     counts, _ = crossval.class_shares(tx, [0, 1])
     samplings = {f"{mode}sampling": balancing_fractions(counts, mode) for mode in ("over", "under")}
-    return {"grid": crossval.binary_grid(tx, settings, samplings, k=k)}
+    return crossval.binary_reports(tx, settings, samplings, k=k, default_proba=preferred_proba)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -59,6 +61,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("min_support", type=float)
     parser.add_argument("--folds", type=int, default=10)
     parser.add_argument("--separator", default=",")
+    parser.add_argument("--no-shuffling", action="store_true", help="binary: bags from neighbouring partitions of the file")
+    parser.add_argument("--preferred-proba", type=float, nargs=2, help="binary: class probabilities where no rule votes")
     parser.add_argument("--out")
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("ruleloom").getOrCreate()
@@ -67,8 +71,9 @@ def main(arguments: list[str] | None = None) -> None:
     if a.task == "multi":
         reports = multi_class(tx, classes, TrainingSettings(**common), a.folds)
     else:
-        gain = TrainingSettings(strategy="gain", with_coverage=False, with_replacement=False, **common)
-        reports = binary(tx, gain, a.folds)
+        gain = TrainingSettings(strategy="gain", with_coverage=False, with_replacement=False, save_spare=False,
+                                with_shuffling=not a.no_shuffling, **common)
+        reports = binary(tx, gain, a.folds, a.preferred_proba)
     for name, report in reports.items():
         report.show(200, truncate=False)
         if a.out:

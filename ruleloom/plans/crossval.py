@@ -8,11 +8,12 @@ default classes and predictions carry the fold; no fold is a driver loop.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.operators.evaluate import accuracy, accuracy_curve, auc, best_threshold, describe, threshold_predict
+from ruleloom.operators.evaluate import accuracy, accuracy_curve, auc, best_threshold, describe, roc, threshold_predict
 from ruleloom.operators.items import compact
 from ruleloom.operators.merge import merge_rules
 from ruleloom.operators.sampling import kfold, stratified_resample, training_folds
@@ -97,7 +98,7 @@ def score_folds(
     scored = probabilities(
         held_out, light_rules, [0, 1], settings, default_proba, ("rec_id", "label", "fold"), ("fold",)
     )
-    return scored.select("rec_id", "label", "fold", F.round(F.get("probability", F.lit(1)), 9).alias("score"))
+    return scored.select("rec_id", "label", "fold", F.get("probability", F.lit(1)).alias("score"))
 
 
 def light_fold_rules(rules: DataFrame, method: str = "max") -> DataFrame:
@@ -117,7 +118,22 @@ def class_shares(tx: DataFrame, classes: Sequence[object]) -> tuple[dict[object,
     return counts, [counts.get(c, 0) / total for c in classes]
 
 
-def binary_grid(
+def model_measures(rules: DataFrame, light: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per fold of `folds`: rules of all bags, and rules and mean antecedent lengths of the merged model by level."""
+    size = F.size("antecedent")
+    complete = rules.groupBy("fold").agg(F.count("*").alias("rules"))
+    merged = light.groupBy("fold").agg(
+        *[F.count(F.when(F.col("level") == v, 1)).alias(f"light_rules_{v}") for v in (1, 2)],
+        *[F.avg(F.when(F.col("level") == v, size)).alias(f"length_{v}") for v in (1, 2)],
+    )
+    joined = folds.join(complete, "fold", "left").join(merged, "fold", "left")
+    return joined.select("fold", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in MODEL_MEASURES])
+
+
+MODEL_MEASURES = ("rules", "light_rules_1", "light_rules_2", "length_1", "length_2")
+
+
+def binary_reports(
     tx: DataFrame,
     settings: TrainingSettings,
     samplings: Mapping[str, Mapping[object, float] | None],
@@ -126,33 +142,34 @@ def binary_grid(
     metric: str = "confidence",
     k: int = 10,
     seed: int = 12345,
-) -> DataFrame:
-    """Summary of every grid point: sampling x voting x weight. Rules are mined once per sampling.
+    default_proba: Sequence[float] | None = None,
+) -> dict[str, DataFrame]:
+    """Grid sampling x voting x weight. Rules are mined once per sampling.
 
-    Rows: (sampling, voting, weight, measure, mean, stddev) for auc, accuracy, and the accuracy at the best threshold.
+    grid: (sampling, voting, weight, measure, mean, stddev) for auc, accuracy, the accuracy at the best threshold, and the
+    sizes of the models. roc: the points of every fold's curve at every grid point.
     """
-    _, shares = class_shares(tx, [0, 1])
-    result = None
+    if default_proba is None:
+        _, default_proba = class_shares(tx, [0, 1])
+    grid, curves = [], []
     for sampling, fractions in samplings.items():
         rules, _ = train_folds(tx, settings, k, seed, fractions)
         light = stage(light_fold_rules(rules), "light-rules")
         for voting in votings:
             for weight in weights:
                 vote = VoteSettings(voting, metric, weight)
-                scored = stage(score_folds(tx, light, vote, shares, k, seed), "fold-scores")
-                summary = describe(binary_measures(scored), ["auc", "accuracy"]).select("measure", "mean", "stddev")
+                scored = stage(score_folds(tx, light, vote, default_proba, k, seed), "fold-scores")
+                point = [F.lit(x).alias(n) for x, n in ((sampling, "sampling"), (voting, "voting"), (weight, "weight"))]
+                sizes = model_measures(rules, light, scored.select("fold").distinct())
                 best = best_threshold(accuracy_curve(scored)).select(
-                    F.concat(F.lit("accuracy at "), F.format_string("%.1f", "threshold")).alias("measure"),
-                    "mean",
-                    "stddev",
-                )
-                point = summary.unionByName(best).select(
-                    F.lit(sampling).alias("sampling"),
-                    F.lit(voting).alias("voting"),
-                    F.lit(weight).alias("weight"),
-                    "measure",
-                    "mean",
-                    "stddev",
+                    F.concat(F.lit("accuracy at "), F.format_string("%.1f", "threshold")).alias("measure"), "mean", "stddev"
                 )
-                result = point if result is None else result.unionByName(point)
-    return result
+                found = [describe(binary_measures(scored), ["auc", "accuracy"]), describe(sizes, MODEL_MEASURES), best]
+                grid += [f.select(*point, "measure", "mean", "stddev") for f in found]
+                curves.append(roc(scored).select(*point, "*"))
+    return {"grid": reduce(DataFrame.unionByName, grid), "roc": reduce(DataFrame.unionByName, curves)}
+
+
+def binary_grid(*arguments, **settings) -> DataFrame:
+    """The grid of `binary_reports` alone."""
+    return binary_reports(*arguments, **settings)["grid"]

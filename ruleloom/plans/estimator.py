@@ -7,6 +7,7 @@ import json
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,31 @@ class RuleEstimator(Estimator, _RuleParams):
         return model
 
 
-class RuleModel(Model, _RuleParams):
+class _ModelWriter(MLWriter):
+    """Metadata with the parameters, as other pyspark.ml stages have it, and two parquet tables."""
+
+    def __init__(self, model: RuleModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        spark = self.model.rules.sparkSession
+        DefaultParamsWriter.saveMetadata(self.model, path, spark, extraMetadata={"classes": self.model.class_list})
+        self.model.rules.write.parquet(f"{path}/rules")
+        self.model.bags.write.parquet(f"{path}/bags")
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> RuleModel:
+        spark = SparkSession.active()
+        metadata = DefaultParamsReader.loadMetadata(path, spark)
+        model = RuleModel(spark.read.parquet(f"{path}/rules"), spark.read.parquet(f"{path}/bags"), metadata["classes"])
+        model._resetUid(metadata["uid"])
+        model._set(**metadata["paramMap"])
+        return model
+
+
+class RuleModel(Model, _RuleParams, MLWritable, MLReadable):
     """Rule tables of all bags: `rules`, and `bags` with each bag's size and default class."""
 
     def __init__(self, rules: DataFrame, bags: DataFrame, classes: list) -> None:
@@ -112,16 +137,19 @@ class RuleModel(Model, _RuleParams):
     def default_proba(self) -> list[float]:
         return self.value("preferredProba") or uniform_proba(self.class_list)
 
-    def _attach(self, dataset: DataFrame, scored: DataFrame) -> DataFrame:
-        return dataset.join(scored.withColumnRenamed("rec_id", self.value("idCol")), self.value("idCol"))
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Adds `prediction` by majority of the bags."""
-        return self._attach(dataset, self.predict(dataset))
+        """Adds `prediction` by majority of the bags to every row, whatever its id: item sets are scored and joined back."""
+        items = F.col(self.value("itemsCol"))
+        sets = dataset.select(items.alias("rec_id"), items.alias("items")).distinct()
+        scored = self._predict(sets).withColumnRenamed("rec_id", "_scored_items")
+        joined = dataset.join(scored, dataset[self.value("itemsCol")].eqNullSafe(scored["_scored_items"]), "left")
+        return joined.drop("_scored_items")
 
     def predict(self, dataset: DataFrame) -> DataFrame:
         """(rec_id, prediction) by majority of the bags; without a match in any bag, the default class."""
-        tx = self._columns(dataset, "rec_id", "items")
+        return self._predict(self._columns(dataset, "rec_id", "items"))
+
+    def _predict(self, tx: DataFrame) -> DataFrame:
         if self.value("withWeight"):
             return ensemble_weighted(
                 tx, self.rules, self.bags.count(), self.class_list, default_proba=self.default_proba
@@ -160,22 +188,17 @@ class RuleModel(Model, _RuleParams):
     def write_text(self, path: str) -> None:
         write_text(self.rules, path)
 
-    def save(self, path: str) -> None:
-        """Two parquet tables and the parameters as JSON text."""
-        self.rules.write.parquet(f"{path}/rules")
-        self.bags.write.parquet(f"{path}/bags")
-        values = {p.name: self.getOrDefault(p) for p in self.params}
-        record = json.dumps({"classes": self.class_list, "params": values})
-        self.rules.sparkSession.createDataFrame([(record,)], "value string").coalesce(1).write.text(f"{path}/params")
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
 
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> RuleModel:
-        record = json.loads(spark.read.text(f"{path}/params").first()["value"])
-        model = RuleModel(
-            spark.read.parquet(f"{path}/rules"), spark.read.parquet(f"{path}/bags"), record["classes"]
-        )
-        model._set(**record["params"])
-        return model
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
+
+    @classmethod
+    def load(cls, *where) -> RuleModel:
+        """load(path), as pipelines do, or load(spark, path)."""
+        return cls.read().load(where[-1])
 
 
 class LightModel:
@@ -196,3 +219,23 @@ class LightModel:
     def covered_on(self, tx: DataFrame, save_spare: bool = True) -> LightModel:
         rules = cover(self.rules, tx, save_spare, shared=True)
         return LightModel(rules, self.classes, self.default_class, self.default_proba)
+
+    def stats(self) -> DataFrame:
+        """Rules, antecedent items and mean antecedent length per level."""
+        return model_stats(self.rules, self.rules.sparkSession.createDataFrame([(0,)], "bag_id int"))
+
+    def text(self) -> DataFrame:
+        return rules_text(self.rules)
+
+    def write_text(self, path: str) -> None:
+        write_text(self.rules, path)
+
+    def save(self, path: str) -> None:
+        self.rules.write.parquet(f"{path}/rules")
+        record = json.dumps({"classes": self.classes, "default_class": self.default_class, "default_proba": self.default_proba})
+        self.rules.sparkSession.createDataFrame([(record,)], "value string").coalesce(1).write.text(f"{path}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LightModel:
+        record = json.loads(spark.read.text(f"{path}/settings").first()["value"])
+        return LightModel(spark.read.parquet(f"{path}/rules"), record["classes"], record["default_class"], record["default_proba"])

@@ -6,7 +6,8 @@ support, confidence, chi2 (null where undefined).
 
 from __future__ import annotations
 
-from ruleloom.functions.hashing import poisson_steps
+import math
+
 from ruleloom.plans import catalog as c
 
 Ctes = list[tuple[str, str]]
@@ -25,8 +26,19 @@ def _draw(key: str, salt: str) -> str:
     return f"({_hash(key, salt)} / 4294967296.0::DOUBLE)"
 
 
+def _poisson_cdf(rate: float) -> list[float]:
+    """P(X <= 0), P(X <= 1), ... as far as 32-bit draws reach, by the recurrence of the probabilities."""
+    p, total, out, k = math.exp(-rate), 0.0, [], 0
+    while rate > 0 and total + p <= 1.0 - 2.0**-32:
+        total += p
+        out.append(total)
+        k += 1
+        p *= rate / k
+    return out
+
+
 def _copies(draw: str, rate: float) -> str:
-    return "(" + " + ".join(["0"] + [f"CAST({draw} >= {s!r}::DOUBLE AS INT)" for s in poisson_steps(rate)]) + ")"
+    return "(" + " + ".join(["0"] + [f"CAST({draw} >= {s!r}::DOUBLE AS INT)" for s in _poisson_cdf(rate)]) + ")"
 
 
 # --- transactions ------------------------------------------------------------------------------------------------
@@ -50,7 +62,7 @@ DOCS: Ctes = [
         "tx",
         """SELECT 0 AS bag_id, doc_id AS rec_id, 1 AS copy, CAST(quality AS BIGINT) AS label,
            ['lang=' || lang, 'src=' || source, 'len=' || (length(bin(n_chars + 1)) - 1),
-            'nl=' || least(5, length(text) - length(replace(text, chr(10), ''))),
+            'nl=' || (length(bin(length(text) - length(replace(text, chr(10), '')) + 1)) - 1),
             'at=' || CAST(contains(text, '@') AS INT), 'http=' || CAST(contains(text, 'http') AS INT)] AS items
            FROM documents JOIN labels USING (doc_id)""",
     )
@@ -271,10 +283,7 @@ def _coverage(data: str, source: str = "rules", on: str = "true", name: str = "c
     ]
 
 
-HELD_OUT: Ctes = [
-    ("held_out", f"""SELECT row_number() OVER () AS rid, items, label FROM tx
-        WHERE {_hash('rec_id', f'fold{c.FOLD_SEED}')} % 3 = 0"""),
-]
+JUDGED: Ctes = [("judged_docs", "SELECT row_number() OVER () AS rid, items, label FROM tx")]
 
 
 def _merged(method: str, source: str, within: str = "") -> Ctes:
@@ -395,7 +404,7 @@ def _scores(voting: str) -> Ctes:
             voting, "confidence", "none", [0, 1], "(SELECT p FROM prior)", "rec_id, label, own_fold",
             "merged", "all_tx", "t.own_fold = r.fold",
         ),
-        ("scored", "SELECT rec_id, label, own_fold AS fold, round(p[2], 9) AS score FROM probs"),
+        ("scored", "SELECT rec_id, label, own_fold AS fold, p[2] AS score FROM probs"),
         ("points", """SELECT fold, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM scored
             GROUP BY ALL"""),
         ("curve", """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER f AS np, sum(neg) OVER f AS nn
@@ -445,6 +454,15 @@ def _grid_point(mode: str, voting: str) -> str:
         UNION ALL SELECT {head}, 'accuracy', {numbers.format('avg(accuracy)', 'stddev_pop(accuracy)')} FROM accuracies
         WHERE threshold = 0.6::DOUBLE
         UNION ALL SELECT {head}, 'accuracy at ' || printf('%.1f', threshold), {numbers.format('mean', 'stddev')} FROM best_step"""
+    ctes.append(("model_sizes", """SELECT f.fold, coalesce(c.n, 0) AS rules, coalesce(m.n1, 0) AS light_rules_1,
+        coalesce(m.n2, 0) AS light_rules_2, coalesce(m.l1, 0) AS length_1, coalesce(m.l2, 0) AS length_2
+        FROM (SELECT DISTINCT own_fold AS fold FROM all_tx) f
+        LEFT JOIN (SELECT fold, count(*) AS n FROM fold_rules GROUP BY ALL) c ON c.fold = f.fold
+        LEFT JOIN (SELECT fold, count(*) FILTER (level = 1) AS n1, count(*) FILTER (level = 2) AS n2,
+            avg(len(ant)) FILTER (level = 1) AS l1, avg(len(ant)) FILTER (level = 2) AS l2 FROM merged GROUP BY ALL) m
+            ON m.fold = f.fold"""))
+    for measure in ("rules", "light_rules_1", "light_rules_2", "length_1", "length_2"):
+        final += f" UNION ALL SELECT {head}, '{measure}', {numbers.format(f'avg({measure})', f'stddev_pop({measure})')} FROM model_sizes"
     return f"SELECT * FROM ({_statement(ctes, final)})"
 
 
@@ -486,7 +504,7 @@ def statements() -> dict[str, str]:
         """SELECT c.bag_id, label, n_c AS n_class, n_all AS n_total, round(n_c::DOUBLE / n_all, 6) AS prior, dc AS default_class
            FROM class_n c JOIN bag_n b ON c.bag_id = b.bag_id JOIN bag_default d ON c.bag_id = d.bag_id""",
     )
-    covered = [*DOCS, *HELD_OUT, *_support_rules(c.DOCS), *_coverage("held_out")]
+    covered = [*DOCS, *JUDGED, *_support_rules(c.DOCS), *_coverage("judged_docs")]
     sql["rules_text"] = _statement(covered, f"SELECT level::BIGINT AS level, rank::BIGINT AS rank, {TEXT} AS line FROM covered")
 
     sql["bag_sample"] = _statement(line_bags, "SELECT rec_id, copy, bag_id FROM tx")
@@ -605,8 +623,8 @@ def statements() -> dict[str, str]:
     sql["coverage_spare"] = _statement(covered, _show(["rank"], "covered", "level = 2"))
     flat = ("flat", "SELECT * REPLACE (row_number() OVER (ORDER BY level, rank) AS rank) FROM covered")
     sql["coverage_flat"] = _statement([*covered, flat], _show(["rank"], "flat"))
-    held_out_all = [(n, s.replace("FROM tx", "FROM all_tx")) for n, s in HELD_OUT]
-    covered_ensemble = [*_doc_ensemble(), *held_out_all, *_coverage("held_out")]
+    judged_docs_all = [(n, s.replace("FROM tx", "FROM all_tx")) for n, s in JUDGED]
+    covered_ensemble = [*_doc_ensemble(), *judged_docs_all, *_coverage("judged_docs")]
     sql["coverage_ensemble"] = _statement(covered_ensemble, _show(["bag_id", "level", "rank"], "covered"))
     sql["coverage_lines"] = _statement(
         [*line_rules, *_coverage("rows_")], _show(["level", "rank"], "covered")

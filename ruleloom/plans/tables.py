@@ -88,7 +88,7 @@ def document_transactions(spark: SparkSession, folder: str) -> DataFrame:
         "lang": F.col("lang"),
         "src": F.col("source"),
         "len": F.length(F.bin(F.col("n_chars") + 1)) - 1,
-        "nl": F.least(F.lit(5), breaks),
+        "nl": F.length(F.bin(breaks + 1)) - 1,
         "at": F.when(F.contains(text, F.lit("@")), 1).otherwise(0),
         "http": F.when(F.contains(text, F.lit("http")), 1).otherwise(0),
     }

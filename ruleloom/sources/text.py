@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators.indexing import global_index
 
-# Dictionaries of up to this many entries are looked up as maps.
-MAP_LIMIT = 5_000
-
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
@@ -44,26 +41,24 @@ def build_dictionary(records: DataFrame) -> DataFrame:
     return global_index(values, [F.desc("pos"), F.asc("value")], "item_id")
 
 
-def encode(records: DataFrame, dictionary: DataFrame, id_col: str = "rec_id", map_limit: int = MAP_LIMIT) -> DataFrame:
-    """Records as (id, ids array<bigint>), the ids in column order.
+def encode(records: DataFrame, dictionary: DataFrame, id_col: str = "rec_id", unknown: str = "error") -> DataFrame:
+    """Records as (id, ids array<bigint>), the ids in column order; one row for each record, also where ids are equal or null.
 
-    A small dictionary is looked up in place, as one map per column; a large one is joined field by field.
+    Cells are looked up by a hash join, which Spark broadcasts if the dictionary is small. A value that is not in the
+    dictionary is an error, or is left out with unknown="drop".
     """
-    if dictionary.limit(map_limit + 1).count() <= map_limit:
-        columns = dictionary.groupBy("pos").agg(
-            F.map_from_entries(F.collect_list(F.struct("value", "item_id"))).alias("ids")
-        )
-        maps = columns.agg(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("ids").alias("ids")))).alias("maps"))
-        by_column = maps.select(F.transform("maps", lambda m: F.map_from_entries(m["ids"])).alias("maps"))
-        looked_up = F.transform("fields", lambda v, i: F.element_at(F.get("_maps", i), v))
-        return records.withColumn("_maps", by_column.scalar()).select(id_col, looked_up.alias("ids"))
-    cells = records.select(id_col, F.posexplode("fields").alias("pos", "value"))
-    return (
-        cells.join(dictionary, ["pos", "value"])
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("cells"))
-        .select(id_col, F.transform("cells", lambda c: c["item_id"]).alias("ids"))
-    )
+    if unknown not in ("error", "drop"):
+        raise ValueError(f"unknown must be error or drop, got {unknown!r}")
+    same = records.groupBy(id_col, "fields").agg(F.count("*").alias("_copies"))
+    cells = same.select(id_col, "fields", "_copies", F.posexplode_outer("fields").alias("pos", "value"))
+    found = cells.join(dictionary.withColumn("_known", F.lit(True)), ["pos", "value"], "left")
+    missing = F.raise_error(F.concat(F.lit("value not in the dictionary: "), F.coalesce(F.to_json(F.struct("pos", "value")), F.lit("null"))))
+    if unknown == "error":
+        found = found.withColumn("item_id", F.when(F.col("_known") | F.col("pos").isNull(), F.col("item_id")).otherwise(missing))
+    cell = F.when(F.col("item_id").isNotNull(), F.struct("pos", "item_id"))
+    gathered = found.groupBy(id_col, "fields", "_copies").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    ids = F.transform("_cells", lambda c: c["item_id"]).alias("ids")
+    return gathered.select(id_col, ids, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def class_count(encoded: DataFrame) -> int:

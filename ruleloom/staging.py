@@ -33,10 +33,20 @@ def stage_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/ruleloom/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables this application has staged. DataFrames built on them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` under the shared folder and return the table read back from there."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/ruleloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

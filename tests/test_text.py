@@ -39,10 +39,9 @@ def test_dictionary_numbers_classes_first(lines_df):
     ]
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_encode_and_split_label(lines_df, limit):
+def test_encode_and_split_label(lines_df):
     records = text.parse_records(lines_df)
-    encoded = text.encode(records, text.build_dictionary(records), map_limit=limit)
+    encoded = text.encode(records, text.build_dictionary(records))
     assert text.class_count(encoded) == 2
     rows = {r["rec_id"]: (r["items"], r["label"]) for r in text.to_transactions(encoded, 2).collect()}
     assert rows == {"r1": ([4, 2], 0), "r2": ([5, 2], 1), "r5": ([4, 3], 0), "r6": ([4, 2], 0)}
