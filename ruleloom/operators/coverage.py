@@ -26,7 +26,7 @@ from ruleloom.operators.match import RuleIndex, index_rules, match
 from ruleloom.staging import spread, stage, stage_observed
 
 USED, SPARE = 1, 2
-# The states of this many rules, one number each, are broadcast to the patterns; more are joined by shuffle.
+# The states of this many rules, one number each, are broadcast to the patterns; more are joined by bag and place.
 STATE_LIMIT = 5_000_000
 
 
@@ -64,24 +64,30 @@ def match_patterns(tx: DataFrame, index: RuleIndex, shared: bool = False) -> Dat
     )
 
 
-def _states(places: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
-    """(bag_id, states): one number per rule of the bag in rule order, 0 where `rows` has none."""
-    entry = F.struct("place", F.coalesce("state", F.lit(0)).alias("state"))
-    filled = places.join(rows, ["bag_id", "place"], "left").groupBy("bag_id")
-    states = filled.agg(F.array_sort(F.collect_list(entry)).alias("known")).select(
-        "bag_id", F.transform("known", lambda e: e["state"]).alias("states")
-    )
-    return F.broadcast(states) if few else states
-
-
-def _state(code: Column) -> Column:
-    return F.get("states", _place(code) - 1)
+def _marked(patterns: DataFrame, places: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
+    """(bag_id, marked): the patterns as arrays of (code, state), state 0 where `facts` (bag_id, place, state) has none.
 
-
-def _before_used(codes: Column) -> Column:
-    """The codes standing before the first used rule."""
-    at = F.array_position(F.transform(codes, lambda c: _state(c) == 2), True)
-    return F.when(at == 0, codes).otherwise(F.slice(codes, F.lit(1), (at - 1).cast("int")))
+    A few states travel to the patterns as one broadcast array per bag; more are joined code by code on bag and place.
+    """
+    if few:
+        entry = F.struct("place", F.coalesce("state", F.lit(0)).alias("state"))
+        filled = places.join(facts, ["bag_id", "place"], "left").groupBy("bag_id")
+        states = filled.agg(F.array_sort(F.collect_list(entry)).alias("known")).select(
+            "bag_id", F.transform("known", lambda e: e["state"]).alias("states")
+        )
+        known = F.transform("codes", lambda c: F.struct(c.alias("code"), F.get("states", _place(c) - 1).alias("state")))
+        return patterns.join(F.broadcast(states), "bag_id").select("bag_id", known.alias("marked"))
+    cells = patterns.select("bag_id", "codes", F.posexplode("codes").alias("at", "code")).withColumn("place", _place(F.col("code")))
+    found = cells.join(facts.select("bag_id", "place", "state"), ["bag_id", "place"], "left")
+    cell = F.struct("at", "code", F.coalesce("state", F.lit(0)).alias("state"))
+    gathered = found.groupBy("bag_id", "codes").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return gathered.select("bag_id", F.transform("cells", lambda c: F.struct(c["code"], c["state"])).alias("marked"))
+
+
+def _before_used(marked: Column) -> Column:
+    """What stands before the first used rule."""
+    at = F.array_position(F.transform(marked, lambda m: m["state"] == 2), True)
+    return F.when(at == 0, marked).otherwise(F.slice(marked, F.lit(1), (at - 1).cast("int")))
 
 
 def _round_facts(open_patterns: DataFrame) -> DataFrame:
@@ -97,13 +103,11 @@ def _round_facts(open_patterns: DataFrame) -> DataFrame:
 
 def _next_round(still_open: DataFrame, places: DataFrame, few: bool) -> DataFrame:
     """The patterns left open, reduced to the rules that are still undecided in them."""
-    possible = F.filter("codes", lambda c: _state(c) > 0)
+    possible = F.filter(_before_used(F.col("marked")), lambda m: m["state"] > 0)
     return (
-        still_open.join(_states(places, _round_facts(still_open), few), "bag_id")
-        .withColumn("codes", possible)
-        .withColumn("codes", _before_used(F.col("codes")))
+        _marked(still_open, places, _round_facts(still_open), few)
+        .select("bag_id", F.transform(possible, lambda m: m["code"]).alias("codes"))
         .where(F.size("codes") > 0)
-        .select("bag_id", "codes")
         .distinct()
     )
 
@@ -144,11 +148,10 @@ def cover(rules: DataFrame, tx: DataFrame, save_spare: bool = True, shared: bool
     split = marked.withColumn("level", level).drop("_used")
     if not save_spare:
         return split.where(F.col("level") == USED).drop("place")
-    states = _states(places, used.withColumn("state", F.lit(2)), few)
+    marked = _marked(patterns, places, used.withColumn("state", F.lit(2)), few)
     harmful = (
-        patterns.join(states, "bag_id")
-        .select("bag_id", F.explode(_before_used(F.col("codes"))).alias("code"))
-        .select("bag_id", _place(F.col("code")).alias("place"))
+        marked.select("bag_id", F.explode(_before_used(F.col("marked"))).alias("m"))
+        .select("bag_id", _place(F.col("m.code")).alias("place"))
         .distinct()
     )
     return split.join(harmful, ["bag_id", "place"], "left_anti").drop("place")

@@ -195,6 +195,14 @@ def encode(spark, folder):
     return tx.select("rec_id", _words("items").alias("items"), F.col("label").alias("label"), F.lit(k).cast("bigint").alias("num_classes"))
 
 
+@query("encode_least_id")
+def encode_least_id(spark, folder):
+    records = text.parse_records(tables.line_text(spark, folder))
+    encoded = text.encode(records, text.build_dictionary(records))
+    found, label = text.least_id_label(F.col("ids"))
+    return encoded.select("rec_id", _words(found).alias("items"), label.alias("label"))
+
+
 @query("class_prior")
 def class_prior(spark, folder):
     counts = stage(items.label_counts(line_bag_input(spark, folder)), "label-counts")
@@ -232,6 +240,18 @@ def bag_contiguous(spark, folder):
     return sampling.bag_contiguous(tx, 8, 0.1, SEED).select("rec_id", F.col("bag_id").cast("bigint").alias("bag_id"))
 
 
+@query("bag_by_partition")
+def bag_by_partition(spark, folder):
+    """Rows of the unshuffled sample, and of how many partitions any is in more than one bag."""
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("rec_id")
+    facts = tables.load_facts(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").select(key)
+    bags = sampling.bag_by_partition(facts, 2, 0.3, SEED).withColumn("part", F.spark_partition_id())
+    of_part = bags.groupBy("part").agg(F.count("*").alias("n"), F.min("bag_id").alias("low"), F.max("bag_id").alias("high"))
+    return of_part.agg(
+        F.sum("n").alias("sampled"), F.count(F.when(F.col("low") != F.col("high"), 1)).alias("split_partitions")
+    )
+
+
 @query("stratified_resample")
 def stratified_resample(spark, folder):
     tx = sampling.stratified_resample(tables.document_transactions(spark, folder), FRACTIONS, SEED)

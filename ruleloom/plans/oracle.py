@@ -498,6 +498,12 @@ def statements() -> dict[str, str]:
            min(item_id) AS label, any_value(k) AS num_classes FROM enc, classes GROUP BY rec_id""",
     )
 
+    sql["encode_least_id"] = _statement(
+        [*entries, ("enc", "SELECT rec_id, pos, item_id, min(item_id) OVER (PARTITION BY rec_id) AS least FROM fcells JOIN dict USING (pos, value)")],
+        """SELECT rec_id, string_agg(item_id::VARCHAR, ' ' ORDER BY pos) FILTER (item_id <> least) AS items, any_value(least) AS label
+           FROM enc GROUP BY rec_id""",
+    )
+
     line_bags = _bagged(LINES, c.BAGS, c.BAG_SHARE, c.SEED)
     sql["class_prior"] = _statement(
         [*line_bags, *COUNTS, *BAG_DEFAULTS],
@@ -517,6 +523,9 @@ def statements() -> dict[str, str]:
         [*BASKETS, ("kept_tx", f"SELECT rec_id FROM tx WHERE {_draw('rec_id', f'bag{c.SEED}')} < {8 * 0.1!r}")],
         """SELECT rec_id, ((row_number() OVER (ORDER BY rec_id) - 1) * 8) // (SELECT count(*) FROM kept_tx) AS bag_id FROM kept_tx""",
     )
+    key = "concat_ws(':', l_orderkey, l_linenumber, l_partkey)"
+    sql["bag_by_partition"] = f"""SELECT count(*)::BIGINT AS sampled, 0::BIGINT AS split_partitions FROM lineitem
+        WHERE {_draw(key, f'bag{c.SEED}')} < {2 * 0.3!r}"""
     rates = " ".join(f"WHEN label = {k} THEN {_copies('u', v)}" for k, v in c.FRACTIONS.items())
     sql["stratified_resample"] = _statement(
         [*DOCS, ("drawn", f"SELECT *, {_draw('rec_id', f'strata{c.SEED}')} AS u FROM tx")],
