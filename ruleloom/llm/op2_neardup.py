@@ -6,10 +6,12 @@ nothing at all, at most 2 * (1 - s^2)^m; m is set so that this is at most MISS a
 its place cannot meet anyone in any table of its row or column, so keys are formed only from hashes that are shared.
 
 What shares a table is verified on full shingle sets, recomputed from the whole texts. Texts with equal sets (by a 128-bit
-signature) are one class before any of this. Inside a table, members are compared with a few pivots; whoever is still apart
-from the rest is compared with eight times as many pivots in the next round, until every table holds one component only or
-every member has been a pivot. So no link between components is lost, and groups of any size that hang together by their
-first pivot cost one comparison for each member.
+signature) are one class before any of this. First every member of a table meets its smallest id. Tables that still hold
+several components go on: for their texts it is counted how many shingles no other of them has, and their shingles are marked
+in a bit map; both bound what two texts can have in common. In the tables of one collection, members meet the pivots with
+fewest shingles of their own, one, then PIVOTS, then all that are left, but only where the bound allows a link and the
+components differ. So no link between components is lost, and in a large group of near copies few pairs are ever formed that
+are no links.
 
 Null texts, and texts without words, have an empty set and are linked with nothing. Texts with fewer words than a shingle
 are one shingle. Rows with a null id have a null component and are kept. Ids name documents: repeated rows give repeated
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm.batches import Words, mix, pieces, shingles, utf8
@@ -35,8 +37,10 @@ from ruleloom.staging import stage, stage_observed
 MISS = 1e-5
 #: Minhashes in one small hash.
 ROWS = 2
-#: Pairs that one copy of a text serves in verification.
-SHARE = 64
+#: Pivots of a table in the second round.
+PIVOTS = 16
+#: Words of 64 bits in the bit map of a text.
+MAP = 32
 
 _U = np.uint64
 
@@ -98,19 +102,11 @@ def table_keys(classes: DataFrame, m: int) -> DataFrame:
 def verify(pairs: DataFrame, candidates: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (u, v) of `pairs` with 100 * |intersection| >= percent * |union|, on the full sets of their texts.
 
-    A text in many pairs is dealt out in several copies, one for every SHARE pairs.
+    Both joins are inner equi-joins of shuffled sides: the pairs of a text that is in very many of them are split.
     """
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id")))
-    copies = ends.groupBy("id").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies"))
-    dealt = candidates.join(copies, "id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-
-    def at(side: str, other: str, rows: DataFrame) -> DataFrame:
-        near = copies.withColumnRenamed("id", side)
-        return rows.join(near, side).withColumn(f"copy_{side}", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
-
-    rows = at("v", "u", at("u", "v", pairs))
+    rows = pairs.select("u", "v")
     for side in ("v", "u"):
-        rows = rows.join(dealt.select(F.col("id").alias(side), F.col("copy").alias(f"copy_{side}"), F.col("text").alias(f"text_{side}")), [side, f"copy_{side}"])
+        rows = rows.join(candidates.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,47 +123,112 @@ def verify(pairs: DataFrame, candidates: DataFrame, percent: int, width: int) ->
     return rows.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _apart(members: DataFrame) -> DataFrame:
     """Members of the tables that hold more than one component."""
-    if labels is None:
-        counts = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        return members.join(counts, "bucket")
-    named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return named.join(mixed.select("bucket"), "bucket").select("bucket", "id")
+    span = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return members.join(span.select("bucket"), "bucket")
+
+
+def outlines(members: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
+    """(id, size, own, bits) of the texts in `members`, from which follows how much any two of them can have in common.
+
+    size: shingles; own: those that no other text in `members` has; bits: a bit map of the shingles' hashes.
+    """
+    chosen = candidates.join(members.select("id").distinct(), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                value, bounds = _sets(part.column("text"), width)
+                size = np.diff(bounds)
+                row = np.repeat(np.arange(len(size)), size)
+                flags = np.zeros((len(size), 64 * MAP), bool)
+                flags[row, (value >> _U(40)) % _U(64 * MAP)] = True
+                maps = np.packbits(flags, axis=1).view(np.int64)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(maps.ravel()), MAP).cast(pa.list_(pa.int64()))
+                none = pa.nulls(len(row), pa.list_(pa.int64()))
+                # One row for each text, then one for each of its shingles.
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([ids, ids[row]])),
+                        pa.array(np.concatenate([np.zeros(len(size), np.int64), value.view(np.int64)])),
+                        pa.array(np.concatenate([size, np.zeros(len(row), np.int64)])),
+                        pa.concat_arrays([lists, none]),
+                    ],
+                    ["id", "shingle", "size", "bits"],
+                )
+
+    rows = chosen.select("id", "text").mapInArrow(run, "id long, shingle long, size long, bits array<long>")
+    rows = stage(rows, "shingles")
+    found = rows.where("size = 0").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    own = found.groupBy("id").agg(F.count("*").alias("own"))
+    return rows.where("size > 0").join(own, "id", "left").select("id", "size", F.coalesce("own", F.lit(0)).alias("own"), "bits")
+
+
+def _can_link(percent: int) -> Column:
+    """Whether two texts may be alike enough: no shingle of either's own is common, and each bit of difference between the
+    maps is a shingle that only one of them has."""
+    apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(MAP)), F.lit(0))
+    both = F.col("size") + F.col("size_b")
+    common = F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b"), F.floor((both - apart) / 2))
+    return 100 * common >= percent * (both - common)
 
 
 def linked(classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame | None:
     """(id, component) of the classes that have a link, or None if nothing has."""
-    tables, seen = stage_observed(_apart(table_keys(classes, collection_size(percent)), None), "tables")
+    entries = table_keys(classes, collection_size(percent)).withColumn("component", F.col("id"))
+    tables, seen = stage_observed(_apart(entries), "tables")
     if not seen["rows"]:
         return None
     ids = tables.select(F.col("id").alias("doc_id")).distinct()
-    candidates = stage(texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "candidates")
-    checked: DataFrame | None = None
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    pivots = 1
-    while seen["rows"]:
-        lead = tables.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.min("id").alias("pivot"))
-        lead = lead.select("bucket", "pivot")
-        met = tables.join(lead, "bucket").where("id != pivot")
-        pairs = met.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-        if labels is not None:
-            for side in ("u", "v"):
-                pairs = pairs.join(labels.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
-            pairs = pairs.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(verify(pairs, candidates, percent, width), "links")
-        checked, links = (pairs, found) if checked is None else (checked.union(pairs), links.union(found))
+    candidates = texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    candidates = stage(candidates, "candidates")
+    # Every member with the smallest id of its table.
+    lead = tables.groupBy("bucket").agg(F.min("id").alias("pivot"))
+    links = _links(tables.join(lead, "bucket").where("id != pivot").select("id", F.col("pivot").alias("id_b")), candidates, percent, width)
+    labels = stage(components(links), "labels")
+    rest, seen = stage_observed(_apart(_named(tables.select("bucket", "id"), labels)), "tables")
+    if not seen["rows"]:
+        return labels
+    # The texts still apart, by the hashes of one collection alone: a tenth of the tables, and a bound instead of a second hash.
+    known = outlines(rest, candidates, width).where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+    known = classes.join(known, "id").select("id", "size", "own", "bits", F.posexplode(F.slice("keys", 1, collection_size(percent))).alias("side", "key"))
+    rest = known.select(F.xxhash64("side", "key").alias("bucket"), "id", "size", "own", "bits")
+    for pivots in (1, PIVOTS, None):
+        rest, seen = stage_observed(_apart(_named(rest, labels)), "tables")
+        if not seen["rows"]:
+            break
+        other = _pivots(rest, pivots)
+        other = other.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "own", "bits")])
+        met = rest.join(other, "bucket").where((F.col("component") != F.col("component_b")) & _can_link(percent))
+        links = links.union(_links(met.select("id", "id_b"), candidates, percent, width))
         labels = stage(components(links), "labels")
-        rest = tables.join(lead.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti")
-        tables, seen = stage_observed(_apart(rest, labels), "tables")
-        pivots *= 8
+        if pivots is not None:
+            gone = other.select("bucket", F.col("id_b").alias("id"))
+            rest = rest.drop("component").join(gone, ["bucket", "id"], "left_anti")
     return labels
 
 
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    joined = members.join(labels, "id", "left")
+    return joined.withColumn("component", F.coalesce("component", "id"))
+
+
+def _pivots(members: DataFrame, number: int | None) -> DataFrame:
+    """`number` members of each table at most, those with fewest shingles of their own in each part; all if None."""
+    if number is None:
+        return members
+    part = F.pmod(F.xxhash64("id"), F.lit(number)).alias("part")
+    least = members.groupBy("bucket", part).agg(F.min(F.struct("own", "id", "component", "size", "bits")).alias("p"))
+    return least.select("bucket", "p.id", "p.component", "p.size", "p.own", "p.bits")
+
+
+def _links(met: DataFrame, candidates: DataFrame, percent: int, width: int) -> DataFrame:
+    pairs = met.select(F.least("id", "id_b").alias("u"), F.greatest("id", "id_b").alias("v")).distinct()
+    return stage(verify(stage(pairs, "pairs"), candidates, percent, width), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; kept: it is the smallest id of its component."""
     rows = stage(sketch(docs, percent, width), "sketch")
@@ -175,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     heads = rows.where(usable).groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"))
     members = stage(rows.where(usable).join(heads, ["s1", "s2", "n_shingles"]).select(
         "doc_id", "n_shingles", "head", F.when(F.col("doc_id") == F.col("head"), F.col("keys")).alias("keys")), "members")
-    classes = members.where("doc_id = head").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "keys")
+    classes = members.where("doc_id = head").select(F.col("doc_id").alias("id"), "keys")
     labels = linked(classes, docs, percent, width)
     members = members.drop("keys")
     if labels is not None:

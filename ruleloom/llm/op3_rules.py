@@ -86,11 +86,11 @@ def fit(row_texts: pa.Array, label: np.ndarray, steps: int = 120, penalty: float
             key, count = np.unique(doc * np.int64(FAMILIES * SLOTS) + slot, return_counts=True)
             doc, slot = key // (FAMILIES * SLOTS), key % (FAMILIES * SLOTS)
             share = count / np.maximum(np.bincount(doc, count, len(words.count)), 1)[doc]
-            entries.append((doc + first, slot, share))
+            entries.append(((doc + first).astype(np.int32), slot.astype(np.int32), share.astype(np.float32)))
     row, slot, share = (np.concatenate(x) for x in zip(*entries, strict=True))
     # Shares are small: slots are brought to one scale by their root mean square.
     size = np.sqrt(np.bincount(slot, share**2, FAMILIES * SLOTS) / n) + 1e-4
-    value = share / size[slot]
+    value = (share / size[slot]).astype(np.float32)
     third = np.arange(n) % 3 == 2
     use = ~third[row]
     r, s, v = row[use], slot[use], value[use]
