@@ -1,8 +1,10 @@
 """Coverage, merging, ensembles and the estimator on the small record sets."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.ml import PipelineModel
 from golden import SIX, SIX_RULES
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from ruleloom.operators.scoring import (
     vote_predict,
 )
 from ruleloom.operators.support import mine_support
-from ruleloom.staging import stage
+from ruleloom.plans.estimator import LightModel
+from ruleloom.staging import drop_staged, stage
 
 
 @pytest.fixture(scope="module")
@@ -212,6 +215,40 @@ def test_light_model_and_common_coverage(bagged_model):
     assert stats["rules_1"] == model.rules.where("level = 1").count()
 
 
+def test_models_are_pipeline_stages(bagged_model, tmp_path, spark):
+    model, data = bagged_model
+    path = str(tmp_path / "pipeline")
+    PipelineModel([model]).write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    assert again.stages[0].uid == model.uid
+    assert again.transform(data).exceptAll(model.transform(data)).isEmpty()
+
+    light = model.light("max")
+    light.save(str(tmp_path / "light"))
+    loaded = LightModel.load(spark, str(tmp_path / "light"))
+    assert loaded.predict(data).exceptAll(light.predict(data)).isEmpty()
+    assert loaded.text().count() == light.stats().first()["rules_1"] + light.stats().first()["rules_2"]
+
+
+def test_staged_tables_are_dropped_on_demand():
+    calls = []
+    system = SimpleNamespace(delete=lambda path, deep: calls.append((path, deep)))
+
+    class Path(str):
+        def getFileSystem(self, conf):
+            return system
+
+    hadoop = SimpleNamespace(fs=SimpleNamespace(Path=Path))
+    stub = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: "hdfs:/shared"),
+        sparkContext=SimpleNamespace(applicationId="app1", getCheckpointDir=lambda: None, master="yarn"),
+        _jvm=SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(hadoop=hadoop))),
+        _jsc=SimpleNamespace(hadoopConfiguration=lambda: None),
+    )
+    drop_staged(stub)
+    assert calls == [("hdfs:/shared/ruleloom/app1", True)]
+
+
 def test_ensemble_answers_agree_with_their_definition(spark, bagged_model):
     """Bag by bag with the single-model operators, then combined in Python."""
     model, data = bagged_model
