@@ -171,8 +171,12 @@ def _can_link(percent: int) -> Column:
     maps is a shingle that only one of them has."""
     apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(MAP)), F.lit(0))
     both = F.col("size") + F.col("size_b")
-    common = F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b"), F.floor((both - apart) / 2))
-    return 100 * common >= percent * (both - common)
+
+    def enough(common: Column) -> Column:
+        return 100 * common >= percent * (both - common)
+
+    # The cheap bound first: the maps are compared where it allows a link only.
+    return enough(F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b"))) & enough(F.floor((both - apart) / 2))
 
 
 def linked(classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame | None:
@@ -201,7 +205,10 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
             break
         other = _pivots(rest, pivots)
         other = other.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "own", "bits")])
-        met = rest.join(other, "bucket").where((F.col("component") != F.col("component_b")) & _can_link(percent))
+        fresh = F.col("component") != F.col("component_b")
+        if pivots is None:
+            fresh = fresh & (F.col("id") < F.col("id_b"))  # both sides are the same members
+        met = rest.join(other, "bucket").where(fresh & _can_link(percent))
         links = links.union(_links(met.select("id", "id_b"), candidates, percent, width))
         labels = stage(components(links), "labels")
         if pivots is not None:
