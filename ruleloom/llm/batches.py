@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`, by byte.
 SPACE = np.zeros(256, bool)
