@@ -1,10 +1,10 @@
-"""Licence scans by a positional index of rare licence words, by built-in functions only.
+"""Licence scans by a positional index of licence words, by built-in functions only.
 
 Every template and phrase is indexed as postings (word, template, place). Words of a text that stand in the index are joined
-with it; the rarest of them (by inverse document frequency over all documents) propose places, a place being the difference
-of a word's position in the text and in the template; a proposed place is weighed by all words that agree with it, and holds
-if enough weight agrees and all mandatory phrases of the template stand where they should, give or take SLACK words.
-The base phrases are templates of which every word must agree.
+with it and propose places, a place being the difference of a word's position in the text and in the template. Every place is
+weighed by all words that agree with it (by inverse document frequency over all documents), and holds if enough weight agrees
+and all mandatory phrases of the template stand where they should, give or take SLACK words. No word of a text is left out,
+so that one notice never hides another. The base phrases are templates of which every word must agree.
 
 Texts without any word that is mandatory somewhere are settled in the scan itself. The others are staged, so that each row has
 a number of its own: repeated rows and rows with a null id are scanned each for themselves. Null and empty texts have no words
@@ -19,7 +19,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ruleloom.llm.tables import texts
 from ruleloom.staging import stage
@@ -79,8 +78,6 @@ NOTICES = [
     ),
 ]
 
-#: Rarest words of a text that propose places.
-RARE = 12
 #: Least share of a template's weight that must agree with a place.
 AGREE = 0.6
 #: Words by which a mandatory phrase may be out of place.
@@ -168,23 +165,17 @@ def _labels(spark: SparkSession, near: DataFrame, index: Index, weight: dict[str
     postings, sizes = F.broadcast(index.postings(spark, weight)), F.broadcast(index.sizes(spark, weight))
     must = F.broadcast(spark.createDataFrame(index.must, "unit int, phrase int, at int"))
     needs = F.broadcast(spark.createDataFrame([(u, sum(m[0] == u for m in index.must)) for u in {m[0] for m in index.must}], "unit int, needed int"))
-    known = F.broadcast(spark.createDataFrame([(w, weight[w]) for w in index.words], "word string, idf double"))
+    known = F.broadcast(spark.createDataFrame([(w,) for w in index.words], "word string"))
     hits = near.select("row", F.posexplode("words").alias("pos", "word")).join(known, "word")
     hits = stage(hits, "licence-words")
 
-    # The rarest licence words of the text: a row for each word of the index at most.
-    own = hits.select("row", "word", "idf").distinct()
-    rare = own.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(F.desc("idf"), "word"))).where(F.col("rank") <= RARE)
-
     agreed = hits.join(postings, "word").groupBy("row", "unit", (F.col("pos") - F.col("at")).alias("place")).agg(
         F.count("*").alias("matched"), F.sum("weight").alias("found")
     )
     placed = agreed.join(sizes, "unit")
     # Phrases, base ones too, stand where every word agrees.
     stands = placed.where((F.col("kind") != "notice") & (F.col("matched") == F.col("n")))
-    proposed = hits.join(rare.select("row", "word"), ["row", "word"]).join(postings, "word").where(F.col("kind") == "notice")
-    proposed = proposed.select("row", "unit", (F.col("pos") - F.col("at")).alias("place")).distinct()
-    likely = placed.where((F.col("kind") == "notice") & (F.col("found") >= AGREE * F.col("total"))).join(proposed, ["row", "unit", "place"])
+    likely = placed.where((F.col("kind") == "notice") & (F.col("found") >= AGREE * F.col("total")))
     there = stands.where(F.col("kind") == "phrase").select("row", F.col("unit").alias("phrase"), F.col("place").alias("stood"))
     checked = likely.join(must, "unit").join(there, ["row", "phrase"])
     checked = checked.where(F.abs(F.col("stood") - F.col("place") - F.col("at")) <= SLACK)

@@ -131,3 +131,12 @@ def test_licence_phrases_and_notices(spark):
     assert got[3][0]["labels"] == got[4][0]["labels"] == "apache-2"
     assert got[5][0]["labels"] == "" and got[5][0]["score"] == 0
     assert got[9][0]["labels"] == ""
+
+
+def test_licences_of_a_text_with_several_notices(spark):
+    """A notice of rare words beside one whose words are all common in the other documents."""
+    rare, common = op6_licenses.NOTICES[1], op6_licenses.NOTICES[3]
+    words = " ".join(sorted(op6_licenses.spelled(common[1])))
+    rows = [(0, f"{rare[1]}. And then. {common[1]}.")] + [(1 + i, words) for i in range(79)]
+    got = op6_licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").collect()
+    assert [r["labels"] for r in got] == ["gpl-3,mit"]
