@@ -100,16 +100,19 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is replaced by the head of the next document.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Ids name documents: rows
-    with one id count as one document, by their smallest text; rows without id are one document, before all others. The
-    next one of the last is the first; an only document is its own next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Documents stand in the
+    order of id and text, rows without id before all others. Every different text of an id is a document of its own, and so is
+    every row without id; only a row that repeats both id and text of another is the same document. The next one of the last
+    is the first; an only document is its own next.
 
-    Only ids and lengths are put in order. A document hands its head and its sketch to the one before it by an equi-join.
+    Only ids and lengths are put in order, with the texts too if ids are missing or repeated. A document hands its head and
+    its sketch to the one before it by an equi-join.
     """
-    base = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    base = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     lengths = stage(base.select("key", F.length("text").alias("n_chars")), "lengths")
     if lengths.groupBy("key").count().where("count > 1").limit(1).count():
-        base = base.groupBy("key").agg(F.min("text").alias("text"))
+        base = base.where("doc_id is null").unionAll(base.where("doc_id is not null").distinct()).drop("key")
+        base = global_index(base, [F.asc_nulls_first("doc_id"), F.asc("text")], "key")
         lengths = stage(base.select("key", F.length("text").alias("n_chars")), "lengths")
     order = stage(global_index(lengths, [F.asc("key")], "place"), "order")
     total = order.count()
@@ -121,7 +124,7 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     rows = base.join(handed, F.col("key") == F.col("owner"))
     n = F.length("text")
     rows = rows.select(
-        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"),
+        "doc_id",
         n.cast("long").alias("n_chars"),
         F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head")).alias("edited"),
         "text",

@@ -59,6 +59,24 @@ def test_edited_odd_rows(odd, none, spark):
     assert (empty["fingerprint"], empty["near_edited"]) == ("", 1.0)
 
 
+def test_edited_rows_of_missing_and_repeated_ids(spark):
+    """Each row without id, and each text of an id, is a document: none is left out."""
+    rows = [(None, f"text {k} of nobody with {k * k} more words") for k in (3, 1, 2, 2)]
+    rows += [(7, "first text of seven in here"), (7, "second and other text of seven"), (5, "only text of five here"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted((op8_fingerprints.NO_ID if i is None else i, t or "") for i, t in rows)
+    want = []
+    for at, (i, text) in enumerate(order):
+        after, n = order[(at + 1) % len(order)][1], len(text) // 4
+        new = text[: len(text) - n] + after[:n]
+        want.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), jaccard(text, new), jaccard(text, after)))
+    got = [
+        (op8_fingerprints.NO_ID if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"])
+        for r in op8_fingerprints.edited(docs).collect()
+    ]
+    assert sorted(got) == sorted(want)
+
+
 def test_sketches_merge_and_estimate(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(3000)]
