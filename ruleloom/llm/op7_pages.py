@@ -2,7 +2,7 @@
 
 Every page is read into a tree and its element subtrees are hashed. Spark counts, for each host, in how many different pages
 each subtree stands; pages with the same body count once, so copies of an article do not make it a template. Subtrees on many
-pages of the host are deleted when the text is taken out, beside what HTML itself marks as no article: menus, headers,
+pages of the host, whatever its size, are deleted when the text is taken out, beside what HTML itself marks as no article: menus, headers,
 footers, sidebars, forms, scripts, and elements named as adverts, notices, comments and the like.
 
 Only containers are templates: a paragraph or heading alone is never deleted for recurring, as many articles may share a
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.batches import pieces
 from ruleloom.llm.html_tree import BLOCKS, Element, hashes, parse
+from ruleloom.staging import stage
 
-#: A subtree is a template if it stands in so many different pages of its host, and in this share of them.
-PAGES, SHARE = 3, 0.1
+#: A subtree is a template if it stands in so many different pages of its host, and in this share of them or in MANY.
+PAGES, SHARE, MANY = 3, 0.1, 20
 #: The same for containers inside an article.
-INNER_PAGES, INNER_SHARE = 10, 0.5
-#: Copies of a host's templates, dealt out so that pages of a large host meet them in many tasks.
+INNER_PAGES, INNER_SHARE, INNER_MANY = 10, 0.5, 40
+#: Copies of a template, dealt out so that pages of a large host meet it in many tasks.
 COPIES = 32
 
 # What is no article, by tag, role, and the words of class and id.
@@ -136,61 +137,85 @@ def main_text(html: str, templates: frozenset[int]) -> str:
     return "\n\n".join(blocks(article_of(root) or root, templates, subtree))
 
 
-def countable(html: str) -> tuple[int, set[tuple[int, bool]]]:
-    """(hash of the page's own text, {(subtree hash, is it inside the article)}) of the subtrees that templates are sought in."""
+def countable(html: str) -> tuple[int, set[int], set[int], set[int]]:
+    """(hash of the page's own text, hashes of the subtrees that templates are sought in: outside and inside the article, hashes of
+    other containers, which are no templates by standing here)."""
     root = parse(html)
     subtree = hashes(root)
     article = article_of(root)
     body = "\n".join(blocks(article or root, frozenset(), subtree))
-    found: set[tuple[int, bool]] = set()
-    stack: list[tuple[Element, bool]] = [(c, False) for c in root.children if not isinstance(c, str)]
+    outer: set[int] = set()
+    inner: set[int] = set()
+    others: set[int] = set()
+    stack: list[tuple[Element, bool, bool]] = [(c, False, True) for c in root.children if not isinstance(c, str)]
     while stack:
-        element, inside = stack.pop()
+        element, inside, counts = stack.pop()
         if element.tag in ("script", "style", "head"):
             continue
         if element is article or element.tag in ("html", "body"):
             inside = inside or element is article
-        elif element.tag in (INNER_CONTAINERS if inside else CONTAINERS):
-            found.add((subtree[id(element)], inside))
-        if not (inside and element.tag in PROSE):
-            stack.extend((c, inside) for c in element.children if not isinstance(c, str))
-    return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), found
+        elif counts and element.tag in (INNER_CONTAINERS if inside else CONTAINERS):
+            (inner if inside else outer).add(subtree[id(element)])
+        if element.tag in CONTAINERS:
+            others.add(subtree[id(element)])
+        counts = counts and not (inside and element.tag in PROSE)
+        stack.extend((c, inside, counts) for c in element.children if not isinstance(c, str))
+    number = int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return number, outer, inner, others - outer - inner
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, templates array<long>): subtrees on many different pages of each host; a host has few, each fills a share of it."""
+_KEY = ["host", "row", "page"]
+_LISTS = ["outer", "inner", "others"]
+
+
+def _subtrees(keyed: DataFrame) -> DataFrame:
+    """(host, row, page, body, outer, inner, others) of every page, as `countable` finds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "html"):
-                rows: list[tuple[str, int, int | None, bool]] = []
-                for name, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    body, found = countable(html or "")
-                    rows.append((name, body, None, False))
-                    rows += [(name, body, h, inside) for h, inside in found]
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "body", "subtree", "inside"])
-
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, body long, subtree long, inside boolean").distinct()
+                found = list(zip(*[countable(html or "") for html in part.column("html").to_pylist()], strict=True))
+                lists = [pa.array(map(list, column), pa.list_(pa.int64())) for column in found[1:]]
+                yield pa.RecordBatch.from_arrays([*map(part.column, _KEY), pa.array(found[0], pa.int64()), *lists], [*_KEY, "body", *_LISTS])
+
+    lists = ", ".join(f"{name} array<bigint>" for name in _LISTS)
+    return keyed.select(*_KEY, "html").mapInArrow(run, f"host string, row long, page string, body long, {lists}")
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """(host, subtree): subtrees on many different pages of each host, among all those of `_subtrees`."""
+
+    def marks(name: str, inside: bool) -> Column:
+        return F.transform(name, lambda h: F.struct(h.alias("subtree"), F.lit(inside).alias("inside")))
+
     # Null stands for the page as such, so one pass counts pages and subtrees.
-    counts = seen.groupBy("host", "subtree", "inside").agg(F.count("*").alias("n"))
+    page = F.array(F.struct(F.lit(None).cast("long").alias("subtree"), F.lit(False).alias("inside")))
+    seen = found.select("host", "body", F.explode(F.concat(page, marks("outer", False), marks("inner", True))).alias("mark"))
+    counts = seen.select("host", "body", "mark.*").distinct().groupBy("host", "subtree", "inside").agg(F.count("*").alias("n"))
     totals = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
     often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= PAGES)).join(totals, "host")
-    limit = F.when(F.col("inside"), F.greatest(F.lit(INNER_PAGES), F.col("pages") * INNER_SHARE)).otherwise(F.col("pages") * SHARE)
-    return often.where(F.col("n") >= limit).groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("templates"))
+    inner = F.greatest(F.lit(INNER_PAGES), F.least(F.col("pages") * INNER_SHARE, F.lit(INNER_MANY)))
+    limit = F.when(F.col("inside"), inner).otherwise(F.least(F.col("pages") * SHARE, F.lit(MANY)))
+    return often.where(F.col("n") >= limit).select("host", "subtree").distinct()
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page row."""
+    """(page_id, url, text, n_chars) of every page row.
+
+    A page is handed the templates that stand in it only: those of a large host may be many.
+    """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = templates(rows).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    keyed = rows.withColumn("host", host(F.col("url"))).withColumn("copy", F.pmod(F.xxhash64("page_id", "url"), F.lit(COPIES)).cast("int"))
-    joined = keyed.join(known, ["host", "copy"], "left").select("page_id", "url", "html", "templates")
+    keyed = rows.withColumn("host", host(F.col("url"))).withColumn("row", F.xxhash64("page_id", "url"))
+    keyed = keyed.withColumn("page", F.md5(F.coalesce("html", F.lit(""))))
+    found = stage(_subtrees(keyed), "page-subtrees")
+    known = templates(found).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    held = found.select(*_KEY, F.pmod("row", F.lit(COPIES)).cast("int").alias("copy"), F.explode(F.concat(*_LISTS)).alias("subtree"))
+    own = held.join(known, ["host", "copy", "subtree"]).groupBy(*_KEY).agg(F.sort_array(F.collect_set("subtree")).alias("templates"))
+    joined = keyed.join(own, _KEY, "left").select("page_id", "url", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

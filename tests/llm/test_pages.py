@@ -100,6 +100,19 @@ def test_templates_of_a_host_are_deleted(spark):
     assert all(got[100 + k] == "same text\n\ntail" for k in range(20))
 
 
+def test_rotating_templates_of_a_large_host(spark):
+    """Adverts in three variants inside articles, and sidebars of a dozen sections: each below the host's share, yet on many pages."""
+    rows = []
+    for k in range(360):
+        side = f"<div><ul><li>Section {k % 12}<li>News</ul></div>"
+        rows.append((k, f"http://big.example.org/{k}", f"<article><p>own {k}</p><div><p>Buy number {k % 3}</p></div><div><p>box {k // 5}</p></div></article>"))
+        rows.append((1000 + k, f"http://wide.example.org/{k}", f"<body>{side}<div><p>story {k}</p></div></body>"))
+    got = {r["page_id"]: r["text"] for r in op7_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(360):
+        assert got[k] == f"own {k}\n\nbox {k // 5}"
+        assert got[1000 + k] == f"story {k}"
+
+
 def test_odd_pages(spark):
     rows = [(None, None, "<p>x"), (1, "no url", None), (2, "", ""), (3, "http://a/", "<p>t</p>"), (3, "http://a/", "<p>t</p>"), (4, "http://a/", "w " * 200_000)]
     pages = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, text string, host int")
