@@ -4,7 +4,8 @@ A transcript comes in parts (rows), each with one or more lines. A line is seen
 start, in the usual spellings), its length, whether it asks, and whether it opens a part. The states are begin and
 continuation of a turn of each role; Viterbi's best path gives every line its role, with or without a marker.
 
-Long transcripts are not decoded in one task. Blocks of BLOCK parts are reduced to best scores from state to state (max-plus
+Long transcripts are not decoded in one task. The rows are numbered in the order of conversation, part and text, and blocks
+are taken from these numbers, so that a block never has more than BLOCK rows, whatever the part numbers are. Blocks are reduced to best scores from state to state (max-plus
 matrices); these are combined level by level in the same way, the best states at all block borders come back down, and each
 block is decoded between its borders. The result is the best path of the whole transcript.
 
@@ -22,11 +23,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ruleloom.operators.indexing import global_index
 from ruleloom.staging import stage
 
 ROLES = ("system", "user", "assistant")
-#: Parts in a block, and blocks in a block of the next level.
+#: Rows in a block, and blocks in a block of the next level.
 BLOCK = 64
 FAN = 64
 
@@ -198,7 +201,24 @@ def _parts(transcripts: DataFrame, block: int) -> DataFrame:
     part = F.coalesce(F.col("part").cast("long"), F.lit(0))
     rows = transcripts.select(key.alias("conv_key"), part.alias("part"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("text").isNotNull() & (F.trim(F.translate("text", "\t\r\n\x0b\x0c", "     ")) != ""))
-    return rows.withColumn("block", F.floor(F.col("part") / block))
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    rows = global_index(rows, [F.asc("conv_key"), F.asc("part"), F.asc("text"), F.asc("tie")], "at").drop("tie")
+    return rows.withColumn("block", F.floor(F.col("at") / block))
+
+
+def _segments_before(turns: DataFrame) -> DataFrame:
+    """(conv_key, part, block, before): segments of a part in its earlier blocks. Running sums over a range sort, with offsets
+    of its partitions, so that no part is summed in one task."""
+    sizes = turns.groupBy("conv_key", "part", "block").agg(F.count("*").alias("n"))
+    order = ["conv_key", "part", "block"]
+    sorted_ = stage(sizes.orderBy(*order).withColumn("_part", F.spark_partition_id()), "chat-segments")
+    totals = sorted_.groupBy("_part").agg(F.sum("n").alias("_total"))
+    earlier = (W.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(W.orderBy("_part").rowsBetween(*earlier)), F.lit(0)).alias("_offset"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("_part").orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    running = sorted_.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn("_run", F.col("_inside") + F.col("_offset"))
+    first = running.groupBy("conv_key", "part").agg(F.min("_run").alias("_first"))
+    return running.join(first, ["conv_key", "part"]).select(*order, (F.col("_run") - F.col("_first")).cast("int").alias("before"))
 
 
 def recover(transcripts: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
@@ -210,7 +230,7 @@ def recover(transcripts: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataF
     parts = _parts(transcripts, block)
 
     def ordered(group: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, str, bool]], list[np.ndarray]]:
-        group = group.sort_values(["part", "text"], kind="stable")
+        group = group.sort_values("at")
         lines = lines_of(group["text"].tolist())
         return group, lines, [emission(line, opens) for _, line, opens in lines]
 
@@ -238,11 +258,16 @@ def recover(transcripts: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataF
             else:
                 rows[-1][5] += "\n" + text
             at = (k, role)
-        return pd.DataFrame(rows, columns=["conv_key", "part", "segment", "role", "begins", "text"])
+        out = pd.DataFrame(rows, columns=["conv_key", "part", "segment", "role", "begins", "text"])
+        return out.assign(block=group["block"].iloc[0])
 
     turns = parts.join(named, ["conv_key", "block"]).groupBy("conv_key", "block").applyInPandas(
-        decode, "conv_key string, part long, segment int, role string, begins boolean, text string"
+        decode, "conv_key string, part long, segment int, role string, begins boolean, text string, block long"
     )
+    # A part number that goes on in further blocks has its segments counted through.
+    if parts.groupBy("conv_key", "part").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").limit(1).count():
+        turns = stage(turns, "chat-turns")
+        turns = turns.join(_segments_before(turns), ["conv_key", "part", "block"]).withColumn("segment", F.col("segment") + F.col("before"))
     return turns.select(
         F.when(F.col("conv_key") != "", F.substring("conv_key", 2, 1 << 30)).alias("conv_id"),
         "part", "segment", "role", "begins", "text",

@@ -80,6 +80,30 @@ def test_blocks_find_a_best_path(spark):
         assert score(roles, seen) == pytest.approx(score(chat.path(seen, chat.N, -1), seen))
 
 
+def test_blocks_are_bounded_by_rows(spark):
+    """Many rows without conversation and with one part number: blocks stay small, segments are numbered through."""
+    rng = random.Random(7)
+    texts = transcript(rng, 100)
+    rows = [(None, 0, t) for t in texts[:70]] + [(3, 5, t) for t in texts[70:]] + [(4, k, "User: x") for k in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, part long, text string").repartition(3)
+    sizes = [r["count"] for r in chat._parts(df, 4).groupBy("conv_key", "block").count().collect()]
+    assert max(sizes) <= 4 and sum(sizes) == len(rows)
+    got = {}
+    for r in chat.recover(df, block=4, fan=2).collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    for c, parts in ((None, sorted(texts[:70])), ("3", sorted(texts[70:]))):
+        lines, seen = whole(parts)
+        segments = sorted(got[c], key=lambda r: r["segment"])
+        assert [r["segment"] for r in segments] == list(range(len(segments)))
+        roles = []
+        for r in segments:
+            role = chat.ROLES.index(r["role"])
+            roles += [role if r["begins"] else 3 + role] + [3 + role] * r["text"].count("\n")
+        assert len(roles) == len(lines)
+        assert score(roles, seen) == pytest.approx(score(chat.path(seen, chat.N, -1), seen))
+    assert len(got["4"]) == 5
+
+
 def test_roles_of_the_table(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     truth = {(str(r["conv_id"]), r["turn"]): r for r in turns.collect()}
