@@ -100,26 +100,28 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is replaced by the head of the next document.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Documents stand in the
-    order of id and text, rows without id before all others. Every different text of an id is a document of its own, and so is
-    every row without id; only a row that repeats both id and text of another is the same document. The next one of the last
-    is the first; an only document is its own next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Every row is a document,
+    also one without id or one that repeats another; they stand in the order of id and text, rows without id before all others.
+    The next one of the last is the first; an only document is its own next, and an empty table gives an empty one. Very long
+    texts are shingled whole. Columns other than id and text are left behind, whatever their names.
 
     Only ids and lengths are put in order, with the texts too if ids are missing or repeated. A document hands its head and
-    its sketch to the one before it by an equi-join.
+    its sketch to the one before it by an equi-join. The texts are shuffled once: both joins read the same exchange of (key,
+    text), and the id comes in with the order.
     """
-    base = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    lengths = stage(base.select("key", F.length("text").alias("n_chars")), "lengths")
+    rows = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    lengths = stage(rows.select("doc_id", "key", F.length("text").alias("n_chars")), "lengths")
     if lengths.groupBy("key").count().where("count > 1").limit(1).count():
-        base = base.where("doc_id is null").unionAll(base.where("doc_id is not null").distinct()).drop("key")
-        base = global_index(base, [F.asc_nulls_first("doc_id"), F.asc("text")], "key")
-        lengths = stage(base.select("key", F.length("text").alias("n_chars")), "lengths")
+        rows = global_index(rows.drop("key"), [F.asc_nulls_first("doc_id"), F.asc("text")], "key")
+        lengths = stage(rows.select("doc_id", "key", F.length("text").alias("n_chars")), "lengths")
+    base = rows.select("key", "text")
     order = stage(global_index(lengths, [F.asc("key")], "place"), "order")
     total = order.count()
     after = order.select(F.col("key").alias("next_key"), F.pmod(F.col("place") - 1, F.lit(max(total, 1))).alias("place"))
-    need = order.join(after, "place").select("next_key", F.col("key").alias("owner"), F.floor(F.col("n_chars") / 4).cast("int").alias("borrowed"))
+    borrowed = F.floor(F.col("n_chars") / 4).cast("int").alias("borrowed")
+    need = order.join(after, "place").select("next_key", F.col("key").alias("owner"), "doc_id", borrowed)
     handed = base.join(need, F.col("key") == F.col("next_key")).select(
-        "owner", F.substring(F.col("text"), F.lit(1), F.col("borrowed")).alias("head"), sketch(F.col("text"), k).alias("next_sketch")
+        "owner", "doc_id", F.substring(F.col("text"), F.lit(1), F.col("borrowed")).alias("head"), sketch(F.col("text"), k).alias("next_sketch")
     )
     rows = base.join(handed, F.col("key") == F.col("owner"))
     n = F.length("text")
