@@ -52,8 +52,10 @@ def test_edited_odd_rows(odd, none, spark):
     rows = [(op8_fingerprints.NO_ID if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in odd.collect()]
     check_edited(rows, op8_fingerprints.edited(odd), 128, 0.15)
     assert op8_fingerprints.edited(none).count() == 0
-    only = op8_fingerprints.edited(odd.where("doc_id = 5")).collect()
+    only = op8_fingerprints.edited(odd.where("doc_id = 6")).collect()
     assert len(only) == 1 and only[0]["near_next"] == 1.0
+    twice = op8_fingerprints.edited(odd.where("doc_id = 5")).collect()
+    assert [r["near_next"] for r in twice] == [1.0, 1.0]
     empty = op8_fingerprints.edited(odd.where("doc_id = 1")).collect()[0]
     assert (empty["fingerprint"], empty["near_edited"]) == ("", 1.0)
 
