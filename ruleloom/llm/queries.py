@@ -17,6 +17,7 @@ from ruleloom.llm import (
     op8_fingerprints,
     op9_counts,
     op10_discriminant,
+    op11_neighbours,
 )
 from ruleloom.llm.bpe import file_of
 from ruleloom.llm.tables import table
@@ -64,6 +65,10 @@ def op10_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return op10_discriminant.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return op11_neighbours.neighbours(table(spark, folder, "embeddings"), 5, "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bottom_k_fingerprints,
         op9_token_counts,
         op10_quality_discriminant,
+        op11_vector_neighbours,
     )
 }
 
