@@ -60,14 +60,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (offsets - offsets[0] if len(column) else np.zeros(1, np.int64)), data
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK bytes of text, one document at least."""
+def pieces(batch: pa.RecordBatch, text: str = "text", chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `chunk` bytes of text, one document at least."""
     if not batch.num_rows:
         return
     offsets, _ = utf8(batch.column(text))
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK, "right")) - 1)
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + chunk, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
 
@@ -111,6 +111,16 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (total[end] - total[start]) * inverse[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
 
 
+def strings(words: Words) -> pa.LargeStringArray:
+    """The words as strings, in order. The bytes that `words` takes for space stand in none of them."""
+    inside = np.zeros(len(words.data) + 1, np.int8)
+    inside[words.start] += 1
+    inside[words.end] -= 1  # a word of the next text may begin just here
+    offsets = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    letters = words.data[np.cumsum(inside[:-1]) > 0]
+    return pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(offsets), pa.py_buffer(letters))
+
+
 def runs(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every run of `width` words inside a text, in order."""
     n = len(hashes) - width + 1

@@ -18,6 +18,8 @@ from ruleloom.llm import (
     op9_counts,
     op10_discriminant,
     op11_neighbours,
+    op12_divergence,
+    op13_spelling,
 )
 from ruleloom.llm.bpe import file_of
 from ruleloom.llm.tables import table
@@ -69,6 +71,14 @@ def op11_vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return op11_neighbours.neighbours(table(spark, folder, "embeddings"), 5, "vec_id % 50 = 0")
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return op12_divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return op13_spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,8 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_quality_discriminant,
         op11_vector_neighbours,
+        op12_source_divergence,
+        op13_spelling_variants,
     )
 }
 
 #: DuckDB SQL for the rows of queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_source_divergence": op12_divergence.SQL}
