@@ -12,10 +12,16 @@ are one pattern, an array of codes in rule order. In each round, all bags at onc
 
 At least the best undecided rule of every bag is decided per round. Afterwards a rule that is not used is harmful if it
 stands before the first used rule of some original pattern, else spare.
+
+The rules come in blocks, each several times as long as the one before. A block meets only the records that no better block
+has claimed, so a record is held against few rules more than those before the one that claims it, and its list of matches is never longer than
+one block. When no record is left, all further rules are spare without having been matched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +34,8 @@ from ruleloom.staging import spread, stage, stage_observed
 USED, SPARE = 1, 2
 # The states of this many rules, one number each, are broadcast to the patterns; more are joined by bag and place.
 STATE_LIMIT = 5_000_000
+# Rules of a bag in the first block, and how many times longer each further block is.
+FIRST_BLOCK, GROWTH = 256, 8
 
 
 def _code(place: Column, right: Column) -> Column:
@@ -43,25 +51,56 @@ def _right(code: Column) -> Column:
     return code.bitwiseAND(F.lit(1)) == 0
 
 
-def match_patterns(tx: DataFrame, index: RuleIndex, shared: bool = False) -> DataFrame:
-    """(bag_id, codes): the distinct sets of applicable rules with their rightness.
+def _blocks(last: int) -> Iterator[tuple[int, int]]:
+    """(before, last) places of each block of rules, up to `last`."""
+    before, size = 0, FIRST_BLOCK
+    while before < last:
+        yield before, min(before + size, last)
+        before, size = before + size, size * GROWTH
 
-    Equal records are reduced to one before the match (compacted input has none). The array of a record is bounded by the number of rules of its
-    bag, not by the data. With `shared` every record is held against the rules of all bags.
-    """
+
+def _block_indexes(index: RuleIndex, blocks: list[tuple[int, int]]) -> list[RuleIndex]:
+    """The index cut into blocks, each with its own count of items; one row per block comes to the driver."""
+    if len(blocks) < 2:
+        return [index] * len(blocks)
+    number = F.lit(0)
+    for k, (before, _) in enumerate(blocks):
+        number = F.when(F.col("place") > before, k).otherwise(number)
+    counted = index.table.groupBy(number.alias("block")).agg(F.sum(F.size("others") + 1).alias("items"))
+    items = {r["block"]: r["items"] for r in counted.collect()}
+    within = [(F.col("place") > before) & (F.col("place") <= to) for before, to in blocks]
+    return [replace(index, table=index.table.where(w), items=items.get(k, 0)) for k, w in enumerate(within)]
+
+
+def _records(tx: DataFrame, shared: bool) -> DataFrame:
+    """(_rec, items, label), with bag_id unless shared: equal records once (compacted input has none). To be staged, so that `_rec` stays."""
     own = [] if shared else ["bag_id"]
-    baskets = tx.select(*own, "items", "label")
+    records = tx.select(*own, "items", "label")
     if shared or "n" not in tx.columns:
-        baskets = baskets.distinct()
-    baskets = baskets.withColumn("_basket", F.col("items"))
-    hits = match(baskets, index, on=own)
-    code = _code(F.col("place"), F.col("label") == F.col("consequent"))
-    return (
-        hits.groupBy("bag_id", "_basket", "label")
-        .agg(F.collect_list(code).alias("codes"))
-        .select("bag_id", F.array_sort("codes").alias("codes"))
-        .distinct()
-    )
+        records = records.distinct()
+    return records.withColumn("_rec", F.monotonically_increasing_id())
+
+
+def _hits(records: DataFrame, index: RuleIndex, before: int) -> DataFrame:
+    """(bag_id, _rec, codes): the rules of one block that apply to each record, places counted from the block's begin.
+
+    Records without bag_id are held against the rules of all bags.
+    """
+    hits = match(records, index, on=[c for c in records.columns if c == "bag_id"])
+    code = _code(F.col("place") - before, F.col("label") == F.col("consequent"))
+    return hits.groupBy("bag_id", "_rec").agg(F.array_sort(F.collect_list(code)).alias("codes"))
+
+
+def _unclaimed(records: DataFrame, hits: DataFrame, used: DataFrame, bags: DataFrame) -> DataFrame:
+    """The records of `bags` to which no used rule of the block applies; records without bag_id go to each of `bags`."""
+    if "bag_id" in records.columns:
+        open_ = records.join(bags, "bag_id", "left_semi")
+    else:  # one value per bag comes to the driver
+        values = [F.lit(r["bag_id"]).cast(bags.schema["bag_id"].dataType) for r in bags.collect()]
+        open_ = records.withColumn("bag_id", F.explode(F.array(*values)))
+    taken = hits.select("bag_id", "_rec", F.explode("codes").alias("code")).withColumn("place", _place(F.col("code")))
+    claimed = taken.join(used, ["bag_id", "place"], "left_semi").select("bag_id", "_rec").distinct()
+    return open_.join(claimed, ["bag_id", "_rec"], "left_anti")
 
 
 def _marked(patterns: DataFrame, places: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
@@ -127,33 +166,53 @@ def used_rules(patterns: DataFrame, places: DataFrame, few: bool = True) -> Data
     )
 
 
-def cover(rules: DataFrame, tx: DataFrame, save_spare: bool = True, shared: bool = False) -> DataFrame:
+def _harmful(patterns: DataFrame, places: DataFrame, used: DataFrame, few: bool) -> DataFrame:
+    """(bag_id, place) of what stands before the first used rule of some pattern."""
+    marked = _marked(patterns, places, used.withColumn("state", F.lit(2)), few)
+    before = marked.select("bag_id", F.explode(_before_used(F.col("marked"))).alias("m"))
+    return before.select("bag_id", _place(F.col("m.code")).alias("place")).distinct()
+
+
+def cover(
+    rules: DataFrame, tx: DataFrame, save_spare: bool = True, shared: bool = False, facts: list[dict] | None = None
+) -> DataFrame:
     """Level 1 of `rules` split into used (level 1) and spare (level 2) by coverage of `tx`; harmful rules are gone.
 
-    `tx` carries bag_id, unless `shared`: then all bags are covered on the same records.
+    `tx` carries bag_id, unless `shared`: then all bags are covered on the same records. `facts`, if given, gets a row for
+    each block of rules: its last place, the records held against it, and the matches found.
     """
     by_rank = W.partitionBy("bag_id").orderBy("rank")
-    ordered = stage(
-        rules.where(F.col("level") == 1).withColumn("place", F.row_number().over(by_rank)), "coverage-rules"
+    ordered, seen = stage_observed(
+        rules.where(F.col("level") == 1).withColumn("place", F.row_number().over(by_rank)), "coverage-rules", last=F.max("place")
     )
-    places = ordered.select("bag_id", "place")
-    index = index_rules(ordered, ["bag_id", "place"], ["consequent"])
-    few = index.items <= STATE_LIMIT
-    patterns, seen = stage_observed(match_patterns(tx, index, shared), "coverage-patterns")
-    patterns = spread(patterns, seen["rows"])
-    used = stage(used_rules(patterns, places, few), "coverage-used")
-
-    marked = ordered.join(used.withColumn("_used", F.lit(True)), ["bag_id", "place"], "left")
-    level = F.when(F.col("_used"), USED).otherwise(SPARE)
-    split = marked.withColumn("level", level).drop("_used")
+    blocks = list(_blocks(seen["last"] or 0))
+    indexes = _block_indexes(index_rules(ordered, ["bag_id", "place"], ["consequent"]), blocks)
+    records, open_ = stage_observed(_records(tx, shared), "coverage-records")
+    used_parts, harmful_parts = [], []
+    for (before, to), index in zip(blocks, indexes, strict=True):
+        if not open_["rows"]:
+            break
+        few = index.items <= STATE_LIMIT
+        places = ordered.where((F.col("place") > before) & (F.col("place") <= to)).select("bag_id", (F.col("place") - before).alias("place"))
+        hits, met = stage_observed(_hits(spread(records, open_["rows"]), index, before), "coverage-hits", matches=F.sum(F.size("codes")))
+        if facts is not None:
+            facts.append({"to": to, "records": open_["rows"], "matches": met["matches"] or 0})
+        patterns, found = stage_observed(hits.select("bag_id", "codes").distinct(), "coverage-patterns")
+        patterns = spread(patterns, found["rows"])
+        used = stage(used_rules(patterns, places, few), "coverage-used")
+        used_parts.append(used.withColumn("place", F.col("place") + before))
+        if save_spare:
+            harmful_parts.append(_harmful(patterns, places, used, few).withColumn("place", F.col("place") + before))
+        if to < blocks[-1][1]:
+            bags = ordered.where(F.col("place") > to).select("bag_id").distinct()
+            records, open_ = stage_observed(_unclaimed(records, hits, used, bags), "coverage-records")
+    none = ordered.select("bag_id", "place").limit(0)
+    used = reduce(DataFrame.unionByName, used_parts, none)
+    split = ordered.join(used.withColumn("_used", F.lit(True)), ["bag_id", "place"], "left")
+    split = split.withColumn("level", F.when(F.col("_used"), USED).otherwise(SPARE)).drop("_used")
     if not save_spare:
         return split.where(F.col("level") == USED).drop("place")
-    marked = _marked(patterns, places, used.withColumn("state", F.lit(2)), few)
-    harmful = (
-        marked.select("bag_id", F.explode(_before_used(F.col("marked"))).alias("m"))
-        .select("bag_id", _place(F.col("m.code")).alias("place"))
-        .distinct()
-    )
+    harmful = reduce(DataFrame.unionByName, harmful_parts, none)
     return split.join(harmful, ["bag_id", "place"], "left_anti").drop("place")
 
 

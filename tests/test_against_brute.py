@@ -6,6 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from ruleloom.operators import coverage
 from ruleloom.operators.coverage import cover
 from ruleloom.operators.gain import mine_gain
 from ruleloom.operators.match import index_rules, match
@@ -105,6 +106,36 @@ def test_coverage_of_own_bag(sets, tx, mined):
         assert by_bag(kept, level) == want
 
 
+@pytest.fixture
+def short_blocks(monkeypatch):
+    monkeypatch.setattr(coverage, "FIRST_BLOCK", 2)
+    monkeypatch.setattr(coverage, "GROWTH", 2)
+
+
+def test_coverage_by_blocks_matches_up_to_the_claim(sets, tx, mined, short_blocks):
+    """Each record meets the rules of the blocks up to the one that claims it, and none behind."""
+    facts = []
+    kept = stage(cover(mined, tx, facts=facts), "test-covered")
+    matches = 0
+    for records in sets.values():
+        rules = brute.support_rules(records, 0.2, 0.5, 0.5)
+        used = brute.covered(rules, records)[0]
+        for items, label in {(tuple(sorted(i)), x) for i, x in records}:
+            applying = [k for k, r in enumerate(rules) if set(r[0]) <= set(items)]
+            claim = next((k for k in applying if rules[k] in used), len(rules))
+            ends = [2 * (2**b - 1) for b in range(1, 20)]
+            matches += sum(k < next(e for e in ends if e > claim) for k in applying)
+    assert len(facts) > 3 and sum(f["matches"] for f in facts) == matches
+    assert [f["records"] for f in facts] == sorted((f["records"] for f in facts), reverse=True)
+    for level in (1, 2):
+        want = expected(sets, lambda r, at=level - 1: brute.covered(brute.support_rules(r, 0.2, 0.5, 0.5), r)[at])
+        assert by_bag(kept, level) == want
+
+
+def test_coverage_by_blocks_on_common_data(spark, sets, mined, short_blocks):
+    test_coverage_on_common_data(spark, sets, mined)
+
+
 def test_coverage_on_common_data(spark, sets, mined):
     data = brute.random_records(999, n=25, items=8, classes=3)
     common = spark.createDataFrame([(list(i), x) for i, x in data], "items array<bigint>, label bigint")
