@@ -142,18 +142,19 @@ def accuracy_curve(
     return scored.groupBy(*by).agg(*right).select(*by, F.inline(points))
 
 
-def mean_curve(curves: DataFrame) -> DataFrame:
+def mean_curve(curves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean and standard deviation of the accuracy over folds, per threshold."""
-    return curves.groupBy("threshold").agg(
+    return curves.groupBy(*by, "threshold").agg(
         F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("stddev")
     )
 
 
-def best_threshold(curves: DataFrame) -> DataFrame:
+def best_threshold(curves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The threshold with the best mean accuracy; the lowest on ties."""
     order = F.struct(-F.round("mean", 12), F.col("threshold"))
     return (
-        mean_curve(curves)
+        mean_curve(curves, by)
+        .groupBy(*by)
         .agg(F.min_by(F.struct("threshold", "mean", "stddev"), order).alias("best"))
-        .select("best.threshold", "best.mean", "best.stddev")
+        .select(*by, "best.threshold", "best.mean", "best.stddev")
     )

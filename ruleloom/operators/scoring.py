@@ -42,6 +42,11 @@ class VoteSettings:
         """Only max votes of confidence without weight split the rest among the classes without a vote."""
         return (self.voting, self.metric, self.weight) == ("max", "confidence", "none")
 
+    @property
+    def way(self) -> str:
+        """How votes are combined, by name: settings that differ in weight alone have the same votes."""
+        return f"{self.voting}_{self.metric}"
+
     def vote(self) -> Column:
         return 1.0 - F.col("support") if self.metric == "support" else F.col("confidence")
 
@@ -163,40 +168,42 @@ def first_match(
 # --- votes -----------------------------------------------------------------------------------------------------
 
 
-def _vote_aggregates(classes: Sequence[object], settings: VoteSettings) -> list[Column]:
-    aggregates = []
-    for i in range(len(classes)):
-        vote = F.when(F.col("ci") == i, settings.vote())
-        aggregates += [settings.combine(vote).alias(f"_v{i}"), F.count(vote).alias(f"_n{i}")]
-    return aggregates
+def _vote_aggregates(classes: Sequence[object], settings: Sequence[VoteSettings]) -> list[Column]:
+    """Per class the number of rules `_n*`, and the votes `_v*` of each way in which the settings combine a metric."""
+    counts = [F.count(F.when(F.col("ci") == i, 1)).alias(f"_n{i}") for i in range(len(classes))]
+    ways = {s.way: s for s in settings}
+    return counts + [
+        s.combine(F.when(F.col("ci") == i, s.vote())).alias(f"_v{way}_{i}") for way, s in ways.items() for i in range(len(classes))
+    ]
 
 
 def _with_probability(
-    votes: DataFrame, classes: Sequence[object], settings: VoteSettings, default: Sequence[float]
+    votes: DataFrame, classes: Sequence[object], settings: VoteSettings, default: Sequence[float], target: str = "probability"
 ) -> DataFrame:
-    """Turn per-class votes `_v*` and rule counts `_n*` into `probability`, an array in class order."""
+    """Add `target`, an array in class order, from the per-class votes `_v*` and rule counts `_n*`."""
     k = range(len(classes))
+    vote = [F.col(f"_v{settings.way}_{i}") for i in k]
     fixed = F.array(*[F.lit(float(p)) for p in default])
     n_rules = sum((F.col(f"_n{i}") for i in k), F.lit(0))
-    n_missing = sum((F.col(f"_v{i}").isNull().cast("int") for i in k), F.lit(0))
+    n_missing = sum((v.isNull().cast("int") for v in vote), F.lit(0))
     rest = F.lit(1.0)
-    for i in k:
-        rest = rest * (1.0 - F.coalesce(f"_v{i}", F.lit(0.0)))
+    for v in vote:
+        rest = rest * (1.0 - F.coalesce(v, F.lit(0.0)))
     if settings.shares_rest:
         rest = rest / F.when(n_missing == 0, 1).otherwise(n_missing)
+    kept = votes.columns
     votes = votes.withColumn("_rules", n_rules).withColumn("_rest", rest)
 
     def share(i: int) -> Column:
-        vote = F.col(f"_v{i}")
+        weighted = vote[i]
         if settings.weight == "numRules":
-            vote = F.try_divide(F.col(f"_n{i}"), F.col("_rules")) * vote
-        return F.coalesce(vote, F.col("_rest"))
+            weighted = F.try_divide(F.col(f"_n{i}"), F.col("_rules")) * weighted
+        return F.coalesce(weighted, F.col("_rest"))
 
     votes = votes.withColumns({f"_s{i}": share(i) for i in k})
     votes = votes.withColumn("_sum", sum((F.col(f"_s{i}") for i in k), F.lit(0.0)))
     shares = F.array(*[F.try_divide(F.col(f"_s{i}"), F.col("_sum")) for i in k])
-    made = [c for c in votes.columns if c.startswith("_")]
-    return votes.withColumn("probability", F.when(F.col("_rules") == 0, fixed).otherwise(shares)).drop(*made)
+    return votes.withColumn(target, F.when(F.col("_rules") == 0, fixed).otherwise(shares)).select(*kept, target)
 
 
 def most_probable(probability: Column) -> Column:
@@ -215,13 +222,33 @@ def probabilities(
     broadcast_items: int = BROADCAST_ITEMS,
 ) -> DataFrame:
     """`probability` array by the votes of the applying level-1 rules; without any, the default probabilities."""
-    settings = settings or VoteSettings()
+    scored = grid_probabilities(tx, rules, classes, [settings or VoteSettings()], default_proba, id_cols, model, broadcast_items)
+    return scored.withColumn("probability", F.get("probabilities", F.lit(0))).drop("probabilities")
+
+
+def grid_probabilities(
+    tx: DataFrame,
+    rules: DataFrame,
+    classes: Sequence[object],
+    settings: Sequence[VoteSettings],
+    default_proba: Sequence[float] | None = None,
+    id_cols: Sequence[str] = ("rec_id",),
+    model: Sequence[str] = (),
+    broadcast_items: int = BROADCAST_ITEMS,
+) -> DataFrame:
+    """`probabilities`: the probability arrays under each of `settings`, in their order, from one match of the rules.
+
+    All settings are aggregated together: the votes of each metric and way to combine them once, the rule counts once.
+    """
     index = scoring_index(rules, classes, (1,), model, broadcast_items)
     default = default_proba or uniform_proba(classes)
+    names = [f"_p{k}" for k in range(len(settings))]
 
     def score(sets: DataFrame, keys: list[str]) -> DataFrame:
         votes = matches(sets, index, keys, model).groupBy(*keys).agg(*_vote_aggregates(classes, settings))
-        return _with_probability(votes, classes, settings, default)
+        for name, one in zip(names, settings, strict=True):
+            votes = _with_probability(votes, classes, one, default, name)
+        return votes.select(*keys, F.array(*names).alias("probabilities"))
 
     return per_item_set(tx, id_cols, model, score)
 
@@ -301,7 +328,7 @@ def ensemble_majority(
 
 def _bag_probabilities(tx, index, classes, settings, default_proba, id_cols) -> DataFrame:
     """Probabilities of every bag with a vote, and one row with bag_id null for a record none votes on."""
-    votes = bag_matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(*_vote_aggregates(classes, settings))
+    votes = bag_matches(tx, index, id_cols).groupBy(*id_cols, "bag_id").agg(*_vote_aggregates(classes, [settings]))
     return _with_probability(votes, classes, settings, default_proba)
 
 

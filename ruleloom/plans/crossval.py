@@ -17,7 +17,7 @@ from ruleloom.operators.evaluate import accuracy, accuracy_curve, auc, best_thre
 from ruleloom.operators.items import compact
 from ruleloom.operators.merge import merge_rules
 from ruleloom.operators.sampling import kfold, stratified_resample, training_folds
-from ruleloom.operators.scoring import VoteSettings, ensemble_predict, probabilities
+from ruleloom.operators.scoring import VoteSettings, ensemble_predict, grid_probabilities, probabilities
 from ruleloom.plans.training import TrainingSettings, draw_bags, train_bags
 from ruleloom.staging import stage
 
@@ -106,9 +106,25 @@ def light_fold_rules(rules: DataFrame, method: str = "max") -> DataFrame:
     return merge_rules(rules, method, ("fold",))
 
 
-def binary_measures(scored: DataFrame) -> DataFrame:
+def grid_scores(
+    tx: DataFrame,
+    light_rules: DataFrame,
+    settings: Sequence[VoteSettings],
+    default_proba: Sequence[float],
+    k: int = 10,
+    seed: int = 12345,
+) -> DataFrame:
+    """(rec_id, label, fold, point, score): `score_folds` under all settings, numbered from 0, with one match of the rules."""
+    held_out = kfold(tx, k, seed)
+    keys = ("rec_id", "label", "fold")
+    scored = grid_probabilities(held_out, light_rules, [0, 1], settings, default_proba, keys, ("fold",))
+    each = scored.select(*keys, F.posexplode("probabilities").alias("point", "probability"))
+    return each.select(*keys, "point", F.get("probability", F.lit(1)).alias("score"))
+
+
+def binary_measures(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
     """Per fold: area under ROC and accuracy at the decision threshold."""
-    return auc(scored).join(accuracy(threshold_predict(scored), ["fold"]), "fold").select("fold", "auc", "accuracy")
+    return auc(scored, by).join(accuracy(threshold_predict(scored), by), [*by]).select(*by, "auc", "accuracy")
 
 
 def class_shares(tx: DataFrame, classes: Sequence[object]) -> tuple[dict[object, int], list[float]]:
@@ -144,30 +160,41 @@ def binary_reports(
     seed: int = 12345,
     default_proba: Sequence[float] | None = None,
 ) -> dict[str, DataFrame]:
-    """Grid sampling x voting x weight. Rules are mined once per sampling.
+    """Grid sampling x voting x weight.
+
+    Rules are mined and matched once per sampling; every point's votes come from that match, and all points of all samplings
+    are measured together, keyed by sampling and point.
 
     grid: (sampling, voting, weight, measure, mean, stddev) for auc, accuracy, the accuracy at the best threshold, and the
     sizes of the models. roc: the points of every fold's curve at every grid point.
     """
     if default_proba is None:
         _, default_proba = class_shares(tx, [0, 1])
-    grid, curves = [], []
+    points = [VoteSettings(voting, metric, weight) for voting in votings for weight in weights]
+    names = {n: F.array(*[F.lit(getattr(p, n)) for p in points]) for n in ("voting", "weight")}
+    models, scores = {}, []
     for sampling, fractions in samplings.items():
         rules, _ = train_folds(tx, settings, k, seed, fractions)
         light = stage(light_fold_rules(rules), "light-rules")
-        for voting in votings:
-            for weight in weights:
-                vote = VoteSettings(voting, metric, weight)
-                scored = stage(score_folds(tx, light, vote, default_proba, k, seed), "fold-scores")
-                point = [F.lit(x).alias(n) for x, n in ((sampling, "sampling"), (voting, "voting"), (weight, "weight"))]
-                sizes = model_measures(rules, light, scored.select("fold").distinct())
-                best = best_threshold(accuracy_curve(scored)).select(
-                    F.concat(F.lit("accuracy at "), F.format_string("%.1f", "threshold")).alias("measure"), "mean", "stddev"
-                )
-                found = [describe(binary_measures(scored), ["auc", "accuracy"]), describe(sizes, MODEL_MEASURES), best]
-                grid += [f.select(*point, "measure", "mean", "stddev") for f in found]
-                curves.append(roc(scored).select(*point, "*"))
-    return {"grid": reduce(DataFrame.unionByName, grid), "roc": reduce(DataFrame.unionByName, curves)}
+        models[sampling] = rules, light
+        scores.append(grid_scores(tx, light, points, default_proba, k, seed).withColumn("sampling", F.lit(sampling)))
+    scored = stage(reduce(DataFrame.unionByName, scores), "fold-scores")
+    by = ["sampling", "point"]
+    best = best_threshold(accuracy_curve(scored, [*by, "fold"]), by)
+    best = best.withColumn("measure", F.concat(F.lit("accuracy at "), F.format_string("%.1f", "threshold")))
+    folds = scored.select("fold").distinct()
+    sizes = [model_measures(*found, folds).withColumn("sampling", F.lit(s)) for s, found in models.items()]
+    sizes = describe(reduce(DataFrame.unionByName, sizes), MODEL_MEASURES, ["sampling"])
+    sizes = sizes.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))))
+    found = [describe(binary_measures(scored, [*by, "fold"]), ["auc", "accuracy"], by), sizes, best]
+    grid = reduce(DataFrame.unionByName, [f.select(*by, "measure", "mean", "stddev") for f in found])
+    curves = roc(scored, [*by, "fold"])
+
+    def named(table: DataFrame) -> DataFrame:
+        point = [F.get(column, F.col("point")).alias(n) for n, column in names.items()]
+        return table.select("sampling", *point, *[c for c in table.columns if c not in by])
+
+    return {"grid": named(grid), "roc": named(curves)}
 
 
 def binary_grid(*arguments, **settings) -> DataFrame:

@@ -5,11 +5,20 @@ from types import SimpleNamespace
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-from ruleloom.operators import evaluate
+from ruleloom.operators import evaluate, scoring
 from ruleloom.operators.sampling import kfold
-from ruleloom.plans.crossval import binary_grid, cross_validate, fold_measures, train_folds
+from ruleloom.operators.scoring import VoteSettings
+from ruleloom.plans.crossval import (
+    binary_grid,
+    cross_validate,
+    fold_measures,
+    grid_scores,
+    light_fold_rules,
+    score_folds,
+    train_folds,
+)
 from ruleloom.plans.training import TrainingSettings, train_ensemble
-from ruleloom.staging import stage_root
+from ruleloom.staging import stage, stage_root
 
 
 @pytest.fixture(scope="module")
@@ -99,6 +108,21 @@ def test_binary_grid_has_every_point(spark):
     assert all(r["mean"] == pytest.approx(1.0) for r in grid if r["measure"] == "auc")
 
 
+def test_grid_points_share_one_match(spark, monkeypatch):
+    """Every point has the scores it has alone; the rules are matched once for all of them."""
+    tx = separable(spark)
+    settings = TrainingSettings(num_models=2, sample_size=0.4, min_support=0.05, strategy="gain", with_coverage=False, with_replacement=False)
+    light = stage(light_fold_rules(train_folds(tx, settings, 2)[0]), "test-light")
+    points = [VoteSettings(v, m, w) for v in ("max", "min", "mean") for m in ("confidence", "support") for w in ("none", "numRules")]
+    calls = []
+    monkeypatch.setattr(scoring, "match", lambda *a, own=scoring.match, **b: calls.append(1) or own(*a, **b))
+    together = stage(grid_scores(tx, light, points, [0.4, 0.6], 2), "test-grid")
+    assert len(calls) == 1
+    for k in (0, 3, 6, 11):
+        alone = {r["rec_id"]: r["score"] for r in score_folds(tx, light, points[k], [0.4, 0.6], 2).collect()}
+        assert alone == {r["rec_id"]: r["score"] for r in together.where(f"point = {k}").collect()}
+
+
 def session_stub(configured=None, context=None, master="yarn"):
     conf = SimpleNamespace(get=lambda key, default=None: configured if key == "spark.checkpoint.dir" else default)
     spark_context = SimpleNamespace(getCheckpointDir=lambda: context, master=master, applicationId="stub")
