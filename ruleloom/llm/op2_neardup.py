@@ -14,8 +14,10 @@ components differ. So no link between components is lost, and in a large group o
 are no links.
 
 Null texts, and texts without words, have an empty set and are linked with nothing. Texts with fewer words than a shingle
-are one shingle. Rows with a null id have a null component and are kept. Ids name documents: repeated rows give repeated
-rows with one component. An empty table gives an empty result; columns other than id and text are left behind.
+are one shingle; texts of any length are compared whole. Rows with a null id have a null component and are kept. Rows that
+share an id are documents each, with sets of their own: if ids repeat, rows are numbered in the order of id and text, and
+components are found among the numbers, so that the smallest number has the smallest id. An empty table gives an empty
+result; columns other than id and text are left behind.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm.batches import Words, mix, pieces, shingles, utf8
 from ruleloom.llm.components import components
 from ruleloom.llm.tables import texts
+from ruleloom.operators.indexing import global_index
 from ruleloom.staging import stage, stage_observed
 
 #: Chance that the tables miss a pair just at the threshold.
@@ -86,7 +89,7 @@ def sketch(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "keys"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def table_keys(classes: DataFrame, m: int) -> DataFrame:
@@ -186,7 +189,7 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
     if not seen["rows"]:
         return None
     ids = tables.select(F.col("id").alias("doc_id")).distinct()
-    candidates = texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    candidates = docs.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
     candidates = stage(candidates, "candidates")
     # Every member with the smallest id of its table.
     lead = tables.groupBy("bucket").agg(F.min("id").alias("pivot"))
@@ -236,8 +239,33 @@ def _links(met: DataFrame, candidates: DataFrame, percent: int, width: int) -> D
     return stage(verify(stage(pairs, "pairs"), candidates, percent, width), "links")
 
 
+def _repeats(rows: DataFrame) -> bool:
+    """Whether rows share an id."""
+    return rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `place`, their number in the order of id and text; null for rows without id."""
+    named = global_index(rows.where("doc_id is not null"), [F.asc("doc_id"), F.asc("text")], "place")
+    return named.unionByName(rows.where("doc_id is null").withColumn("place", F.lit(None).cast("long")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document; kept: it is the smallest id of its component."""
+    """(doc_id, n_shingles, component_id, kept) of every document; kept: it has the smallest id of its component."""
+    rows = texts(docs)
+    if not _repeats(rows):
+        return _classified(rows, percent, width)
+    numbered = stage(_numbered(rows), "numbered")
+    found = stage(_classified(numbered.select(F.col("place").alias("doc_id"), "text"), percent, width), "near-duplicates")
+    ids = numbered.where("place is not null").select("place", "doc_id")
+    mine = found.withColumnRenamed("doc_id", "place").join(ids, "place", "left")
+    heads = ids.select(F.col("place").alias("component_id"), F.col("doc_id").alias("head"))
+    mine = mine.join(heads, "component_id", "left").select("doc_id", "n_shingles", F.col("head").alias("component_id"))
+    return mine.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _classified(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """`near_duplicates` of (doc_id, text) rows of which no two share an id."""
     rows = stage(sketch(docs, percent, width), "sketch")
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     heads = rows.where(usable).groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"))
@@ -256,12 +284,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id") -> DataFrame:
-    """The documents, all columns, without those that are not the first of their component; of repeated ids one row stays."""
-    result = stage(near_duplicates(docs, percent, width), "near-duplicates")
-    gone = result.where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    left = docs.join(gone, key, "left_anti")
-    repeated = result.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        named = left.where(F.col(key).isNotNull()).dropDuplicates([key])
-        left = named.unionByName(left.where(F.col(key).isNull()))
-    return left
+    """The documents, all columns, without those that are not the first of their component.
+
+    Rows without id stay. Of rows that share an id and are no near duplicates all stay; of a repeated row one does.
+    """
+    rows = texts(docs, key=key)
+    if not _repeats(rows):
+        result = stage(_classified(rows, percent, width), "near-duplicates")
+        gone = result.where("not kept").select(F.col("doc_id").alias(key))
+        return docs.join(gone, key, "left_anti")
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("doc"))
+    numbered = stage(_numbered(whole), "numbered")
+    result = stage(_classified(numbered.select(F.col("place").alias("doc_id"), "text"), percent, width), "near-duplicates")
+    gone = result.where("not kept").select(F.col("doc_id").alias("place"))
+    return numbered.join(gone, "place", "left_anti").select("doc.*")

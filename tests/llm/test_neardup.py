@@ -79,6 +79,21 @@ def test_odd_rows(odd, none, spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_different_texts_that_share_an_id(spark):
+    """Links of every text of an id count; texts that are no copies of another all stay."""
+    words = [f"v{k}" for k in range(300)]
+    a, b, c = (" ".join(words[k : k + 60]) for k in (0, 100, 200))
+    rows = [(5, a), (5, b), (7, f"{a} more"), (9, f"{b} more"), (3, c), (3, c), (None, a), (8, None), (8, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in op2_neardup.near_duplicates(docs).collect()), key=repr)
+    want = [(5, 56, 5), (5, 56, 5), (7, 57, 5), (9, 57, 5), (3, 56, 3), (3, 56, 3), (None, 56, None), (8, 0, 8), (8, 0, 8)]
+    assert got == sorted(want, key=repr)
+    kept = op2_neardup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert left == sorted([(5, a), (5, b), (3, c), (None, a), (8, None), (8, "")], key=repr)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(4)
     for n, m in [(40, 30), (200, 190), (60, 59)]:
