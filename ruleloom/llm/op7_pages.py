@@ -60,11 +60,26 @@ def plain_boilerplate(element: Element, inside: bool) -> bool:
         return False
     if element.tag in ("html", "body", "article", "main"):
         return "hidden" in attributes
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES:
-        return True
-    if "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
-    return any(NAMED.search(attributes.get(k, "")) for k in ("class", "id"))
+    return hidden(element) or attributes.get("role") in ROLES or any(NAMED.search(attributes.get(k, "")) for k in ("class", "id"))
+
+
+def hidden(element: Element) -> bool:
+    attributes = element.attributes
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+
+
+def wraps_article(element: Element) -> bool:
+    """Whether an element that counts as no article by its name, or as a form, is but a wrapper: an article or main stands in it."""
+    if (element.tag in TAGS and element.tag != "form") or element.tag == "header" or element.attributes.get("role") in ROLES or hidden(element):
+        return False
+    stack = [c for c in element.children if not isinstance(c, str)]
+    while stack:
+        inner = stack.pop()
+        if inner.tag in ("article", "main"):
+            return True
+        if inner.tag not in TAGS and not hidden(inner):
+            stack.extend(c for c in inner.children if not isinstance(c, str))
+    return False
 
 
 def article_of(root: Element) -> Element | None:
@@ -73,7 +88,7 @@ def article_of(root: Element) -> Element | None:
     stack = [root]
     while stack:
         element = stack.pop()
-        if plain_boilerplate(element, False):
+        if plain_boilerplate(element, False) and not wraps_article(element):
             continue
         if element.tag in ("article", "main") or element.attributes.get("role") in ("article", "main"):
             found.append(element)

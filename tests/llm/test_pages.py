@@ -120,3 +120,13 @@ def test_odd_pages(spark):
     want = [(None, None, "x", 1), (1, "no url", "", 0), (2, "", "", 0), (3, "http://a/", "t", 1), (3, "http://a/", "t", 1), (4, "http://a/", ("w " * 200_000).strip(), 399_999)]
     assert got == sorted(want, key=str)
     assert op7_pages.extract(pages.where("page_id < 0")).count() == 0
+
+
+def test_wrappers_with_telling_names_keep_their_article():
+    """A name that says what the page has not, or a form around all, deletes no article; lists of comments stay away."""
+    article = "<article><h1>Title</h1><p>First part.</p><section class='comments'><article>Not this.</article></section></article>"
+    for wrapper in ("div class='content no-sidebar'", "div class='layout with-sidebar'", "form action='/'", "div id='page-header'"):
+        page = f"<body><nav>Menu</nav><{wrapper}>{article}</{wrapper.split()[0]}><div class='sidebar'><p>Side.</p></div></body>"
+        assert op7_pages.main_text(page, frozenset()) == "Title\n\nFirst part."
+    unseen = f"<body><div class='no-sidebar' style='display: none'>{article}</div><article><p>Seen.</p></article></body>"
+    assert op7_pages.main_text(unseen, frozenset()) == "Seen."
