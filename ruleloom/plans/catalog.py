@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ruleloom.functions.hashing import hash32
 from ruleloom.operators import coverage, evaluate, gain, items, merge, prefix, rules, sampling, scoring, support
 from ruleloom.plans import crossval, tables
+from ruleloom.plans.estimator import RuleModel
 from ruleloom.plans.training import TrainingSettings, train_bags, train_ensemble, training_input
 from ruleloom.sources import text
-from ruleloom.staging import stage
+from ruleloom.staging import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,8 +190,9 @@ def dictionary(spark, folder):
 @query("encode")
 def encode(spark, folder):
     records = text.parse_records(tables.line_text(spark, folder))
-    encoded = stage(text.encode(records, text.build_dictionary(records)), "encoded")
-    k = text.class_count(encoded)
+    dictionary = stage(text.build_dictionary(records), "dictionary")
+    encoded = text.encode(records, dictionary)
+    k = text.class_count(encoded, dictionary)
     tx = text.to_transactions(encoded, k)
     return tx.select("rec_id", _words("items").alias("items"), F.col("label").alias("label"), F.lit(k).cast("bigint").alias("num_classes"))
 
@@ -537,6 +539,16 @@ def ensemble_predict(spark, folder):
     return predicted.select("rec_id", F.col("prediction").cast("bigint").alias("prediction"))
 
 
+@query("saved_model_predict")
+def saved_model_predict(spark, folder):
+    """Predictions of an ensemble that was written to the shared folder and read back."""
+    table, bags = doc_ensemble(spark, folder)
+    path = stage_path(spark, "model")
+    RuleModel(table, bags, BINARY).save(path)
+    predicted = RuleModel.load(spark, path).predict(docs(spark, folder))
+    return predicted.select("rec_id", F.col("prediction").cast("bigint").alias("prediction"))
+
+
 @query("ensemble_majority")
 def ensemble_majority(spark, folder):
     table, bags = doc_ensemble(spark, folder)

@@ -30,8 +30,9 @@ def read_transactions(spark: SparkSession, path: str, separator: str = ",") -> t
         ),
         "records",
     )
-    encoded = stage(text.encode(records, text.build_dictionary(records)), "encoded")
-    k = text.class_count(encoded)
+    dictionary = stage(text.build_dictionary(records), "dictionary")
+    encoded = stage(text.encode(records, dictionary), "encoded")
+    k = text.class_count(encoded, dictionary)
     return text.to_transactions(encoded, k), k
 
 

@@ -676,6 +676,7 @@ def statements() -> dict[str, str]:
         [*ensemble, *_majority("SELECT rec_id, con FROM matched", "(SELECT dc FROM overall_default)")],
         "SELECT rec_id, prediction FROM predicted",
     )
+    sql["saved_model_predict"] = sql["ensemble_predict"]
     everyone = """SELECT t.rec_id, coalesce(m.con, d.dc) AS con FROM tx_all t, bag_default d LEFT JOIN matched m
         ON m.rec_id = t.rec_id AND m.bag_id = d.bag_id"""
     sql["ensemble_majority"] = _statement(

@@ -61,9 +61,15 @@ def encode(records: DataFrame, dictionary: DataFrame, id_col: str = "rec_id", un
     return gathered.select(id_col, ids, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
-def class_count(encoded: DataFrame) -> int:
-    """Number of classes: the class column was numbered first, so it is its largest id plus one."""
-    return int(encoded.agg((F.max(F.element_at("ids", -1)) + 1).alias("k")).first()["k"])
+def class_count(encoded: DataFrame, dictionary: DataFrame | None = None) -> int:
+    """Number of classes: the class column was numbered first, so it is its largest id plus one.
+
+    Records that dropped unknown values may lack their class or the largest one; the dictionary, if given, tells it nevertheless.
+    """
+    if dictionary is None:
+        return int(encoded.agg((F.max(F.element_at("ids", -1)) + 1).alias("k")).first()["k"])
+    last = dictionary.agg(F.max(F.struct("pos", "item_id")).alias("last")).first()["last"]
+    return last["item_id"] + 1 if last else 0
 
 
 def split_label(ids: Column, num_classes: int) -> tuple[Column, Column]:

@@ -43,10 +43,15 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; `drop_staged` deletes what is written there."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` under the shared folder and return the table read back from there."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -47,6 +47,16 @@ def test_encode_and_split_label(lines_df):
     assert rows == {"r1": ([4, 2], 0), "r2": ([5, 2], 1), "r5": ([4, 3], 0), "r6": ([4, 2], 0)}
 
 
+def test_class_count_after_dropped_class_values(spark, lines_df):
+    """A class value that the dictionary lacks is dropped: what is then last in its record is an item, no class."""
+    dictionary = text.build_dictionary(text.parse_records(lines_df))
+    records = spark.createDataFrame([("n1", ["a", "x", "p"]), ("n2", ["b", "y", "other"])], "rec_id string, fields array<string>")
+    encoded = text.encode(records, dictionary, unknown="drop")
+    assert text.class_count(encoded, dictionary) == 2
+    rows = {r["rec_id"]: (r["items"], r["label"]) for r in text.to_transactions(encoded, 2).collect()}
+    assert rows == {"n1": ([4, 2], 0), "n2": ([5, 3], None)}
+
+
 def test_least_id_is_the_label(spark):
     items, label = text.least_id_label(F.col("ids"))
     row = spark.createDataFrame([([7, 1, 9],)], "ids array<bigint>").select(items.alias("i"), label.alias("l")).first()
