@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -138,23 +139,20 @@ class RuleModel(Model, _RuleParams, MLWritable, MLReadable):
         return self.value("preferredProba") or uniform_proba(self.class_list)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Adds `prediction` by majority of the bags to every row, whatever its id: item sets are scored and joined back."""
-        items = F.col(self.value("itemsCol"))
-        sets = dataset.select(items.alias("rec_id"), items.alias("items")).distinct()
-        scored = self._predict(sets).withColumnRenamed("rec_id", "_scored_items")
-        joined = dataset.join(scored, dataset[self.value("itemsCol")].eqNullSafe(scored["_scored_items"]), "left")
-        return joined.drop("_scored_items")
+        """Adds `prediction` by majority of the bags to every row, whatever its id: item sets are scored and joined back once."""
+        rows = dataset.select(F.struct("*").alias("_row"), F.col(self.value("itemsCol")).alias("items"))
+        return self._predict(rows, ("_row",)).select("_row.*", "prediction")
 
     def predict(self, dataset: DataFrame) -> DataFrame:
         """(rec_id, prediction) by majority of the bags; without a match in any bag, the default class."""
         return self._predict(self._columns(dataset, "rec_id", "items"))
 
-    def _predict(self, tx: DataFrame) -> DataFrame:
+    def _predict(self, tx: DataFrame, id_cols: Sequence[str] = ("rec_id",)) -> DataFrame:
         if self.value("withWeight"):
             return ensemble_weighted(
-                tx, self.rules, self.bags.count(), self.class_list, default_proba=self.default_proba
+                tx, self.rules, self.bags.count(), self.class_list, default_proba=self.default_proba, id_cols=id_cols
             )
-        return ensemble_predict(tx, self.rules, self.class_list, self.default_class)
+        return ensemble_predict(tx, self.rules, self.class_list, self.default_class, id_cols)
 
     def predict_majority(self, dataset: DataFrame) -> DataFrame:
         """Like `predict`, but a bag without a match votes for its own default class."""

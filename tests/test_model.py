@@ -195,6 +195,16 @@ def test_estimator_end_to_end(bagged_model, tmp_path, spark):
     assert predicted.count() == 500
     assert {r["prediction"] for r in predicted.select("prediction").distinct().collect()} <= {0, 1}
 
+    # One set of items is scored and joined back once: no second distinct or join around the prediction.
+    plan = predicted._jdf.queryExecution().optimizedPlan().toString()
+    direct = model.predict(data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == direct.count("Join") and plan.count("Aggregate") == direct.count("Aggregate")
+    clash = data.selectExpr("rec_id AS items", "items AS sets", "label AS set_of_items")
+    other = model.copy()._set(itemsCol="sets")
+    assert sorted(tuple(r) for r in other.transform(clash).select("items", "prediction").collect()) == sorted(
+        tuple(r) for r in predicted.select("rec_id", "prediction").collect()
+    )
+
     path = str(tmp_path / "model")
     model.save(path)
     again = RuleModel.load(spark, path)
