@@ -38,8 +38,13 @@ def bag_sample(
     with_replacement: bool = True,
     seed: int = 0,
     id_col: str = "rec_id",
+    even: bool = False,
 ) -> DataFrame:
-    """Sample the fraction num_models * sample_size once and deal it over the bags: adds `copy`, `bag_id`."""
+    """Sample the fraction num_models * sample_size once and deal it over the bags: adds `copy`, `bag_id`.
+
+    Each copy goes to the bag that its hash says, without a shuffle; or, with `even`, the copies are numbered in the order of
+    their hashes and dealt in turn, so that the sizes of two bags differ by one at most.
+    """
     fraction = num_models * sample_size
     draw = uniform(F.col(id_col), f"bag{seed}")
     if with_replacement:
@@ -49,7 +54,11 @@ def bag_sample(
             raise ValueError(f"cannot sample the fraction {fraction} without replacement")
         sampled = tx.where(draw < fraction).withColumn("copy", F.lit(1))
     card = F.concat_ws("/", F.col(id_col).cast("string"), F.col("copy").cast("string"))
-    return sampled.withColumn("bag_id", (hash32(card, f"deal{seed}") % num_models).cast("int"))
+    deal = hash32(card, f"deal{seed}")
+    if even:
+        numbered = global_index(sampled.withColumn("_deal", deal), [F.asc("_deal"), F.asc(id_col), F.asc("copy")], "_place")
+        return numbered.withColumn("bag_id", (F.col("_place") % num_models).cast("int")).drop("_deal", "_place")
+    return sampled.withColumn("bag_id", (deal % num_models).cast("int"))
 
 
 def bag_contiguous(

@@ -236,6 +236,13 @@ def bag_without_replacement(spark, folder):
     return sampling.bag_sample(tx, 4, 0.2, False, SEED).select("rec_id", F.col("bag_id").cast("bigint").alias("bag_id"))
 
 
+@query("bag_even")
+def bag_even(spark, folder):
+    """Copies dealt in turn: bags of equal sizes up to one record."""
+    tx = tables.line_transactions(spark, folder)
+    return sampling.bag_sample(tx, 4, 0.2, False, SEED, even=True).select("rec_id", F.col("bag_id").cast("bigint").alias("bag_id"))
+
+
 @query("bag_contiguous")
 def bag_contiguous(spark, folder):
     tx = tables.order_baskets(spark, folder)

@@ -519,6 +519,11 @@ def statements() -> dict[str, str]:
         f"""SELECT rec_id, {_hash("rec_id || '/1'", f'deal{c.SEED}')} % 4 AS bag_id FROM tx
             WHERE {_draw('rec_id', f'bag{c.SEED}')} < {4 * 0.2!r}""",
     )
+    sql["bag_even"] = _statement(
+        LINES,
+        f"""SELECT rec_id, (row_number() OVER (ORDER BY {_hash("rec_id || '/1'", f'deal{c.SEED}')}, rec_id) - 1) % 4 AS bag_id
+            FROM tx WHERE {_draw('rec_id', f'bag{c.SEED}')} < {4 * 0.2!r}""",
+    )
     sql["bag_contiguous"] = _statement(
         [*BASKETS, ("kept_tx", f"SELECT rec_id FROM tx WHERE {_draw('rec_id', f'bag{c.SEED}')} < {8 * 0.1!r}")],
         """SELECT rec_id, ((row_number() OVER (ORDER BY rec_id) - 1) * 8) // (SELECT count(*) FROM kept_tx) AS bag_id FROM kept_tx""",

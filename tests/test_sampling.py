@@ -83,3 +83,14 @@ def test_train_test_split_covers_everything(ids):
     train, test = sampling.train_test_split(ids, 0.7, 1)
     assert train.count() + test.count() == 20000
     assert abs(train.count() - 14000) < 400
+
+
+def test_even_dealing(spark):
+    """With copies, null and repeated ids: the sample is the same, the sizes differ by one at most."""
+    rows = [(None if i % 97 == 0 else i // 2, i) for i in range(700)]
+    tx = spark.createDataFrame(rows, "rec_id bigint, v bigint").repartition(5)
+    by_hash, even = (sampling.bag_sample(tx, 6, 0.3, True, 3, even=e) for e in (False, True))
+    sizes = [r["count"] for r in even.groupBy("bag_id").count().collect()]
+    assert len(sizes) == 6 and max(sizes) - min(sizes) <= 1
+    assert even.columns == by_hash.columns
+    assert even.drop("bag_id").exceptAll(by_hash.drop("bag_id")).isEmpty() and even.count() == by_hash.count()
