@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ruleloom.operators.indexing import depth_ranges
+
 THRESHOLDS = tuple(i / 10 for i in range(1, 11))
 DECISION_THRESHOLD = 0.6
-# Score ranges per curve: their totals are summed up first, so that no window spans a whole curve.
-SCORE_RANGES = 1024
 
 
 def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -48,22 +48,25 @@ def describe(measures: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
 
 def _cumulative(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per distinct score: its positives and negatives, and those at or above it (tp, fp)."""
+    """Per distinct score: its positives and negatives, and those at or above it (tp, fp). Rows without a score are left out.
+
+    Score ranges hold about equally many points, wherever the scores crowd. Their totals are summed first, so a window
+    spans the points of one range or the ranges of one curve, never the points of a curve.
+    """
     positive = F.col("label") == 1
-    points = (
-        scored.groupBy(*by, "score")
-        .agg(F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
-        .withColumn("_range", F.floor(F.col("score") * SCORE_RANGES).cast("int"))
+    points = scored.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
+        F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg")
     )
+    points = depth_ranges(points, [*[F.asc(c) for c in by], F.desc("score")], "_range")
     sums = points.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     one = [*by] or [F.lit(0)]
-    above = W.partitionBy(*one).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    above = W.partitionBy(*one).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
         *by, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_pos", "_neg")]
     )
     inside = W.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     return (
-        points.join(offsets, [*by, "_range"])
+        points.join(F.broadcast(offsets), [*by, "_range"])
         .withColumn("tp", F.sum("pos").over(inside) + F.col("_pos_above"))
         .withColumn("fp", F.sum("neg").over(inside) + F.col("_neg_above"))
         .select(*by, "score", "pos", "neg", "tp", "fp")

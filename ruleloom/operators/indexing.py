@@ -1,7 +1,9 @@
-"""Consecutive numbers over a total order, without a one-partition window."""
+"""Consecutive numbers over a total order, and ranges of equal depth, without a window over a whole table or group."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,3 +29,21 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         .withColumn(name, row + F.col("_offset"))
         .drop("_mark", "_part", "_offset")
     )
+
+
+def group_index(df: DataFrame, group: Sequence[str], order: list[Column], name: str) -> DataFrame:
+    """Number the rows of each group from 0 in the given order, however large a group is.
+
+    The rows are numbered over (group, order) together; the first number of its group is taken off each. One row per group
+    is broadcast, so there must be few groups, such as bags, folds or levels. Groups are never null.
+    """
+    numbered = global_index(df, [*[F.asc(g) for g in group], *order], name)
+    if not group:
+        return numbered
+    firsts = numbered.groupBy(*group).agg(F.min(name).alias("_first"))
+    return numbered.join(F.broadcast(firsts), [*group]).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+
+
+def depth_ranges(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number ranges of the given order that hold about equally many rows, by Spark's range sampling; staged, so that they stay."""
+    return stage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), "ranges")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruleloom.functions.metrics import passes, rule_text, with_metrics
+from ruleloom.operators.indexing import group_index
 from ruleloom.operators.items import class_counts
 
 MEASURES = ("antecedent", "consequent", "n_ant", "n_hit", "n_class", "n_total", "support", "confidence", "chi2")
@@ -28,8 +29,9 @@ def rule_order() -> list[Column]:
 
 
 def order_rules(rules: DataFrame, within: Sequence[str] = ("bag_id",)) -> DataFrame:
-    """`rank` 1, 2, ... in rule order."""
-    return rules.withColumn("rank", F.row_number().over(W.partitionBy(*within).orderBy(*rule_order())))
+    """`rank` 1, 2, ... in rule order within the columns `within`. No task sorts a whole bag."""
+    ranked = group_index(rules, within, rule_order(), "rank")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def measure(found: DataFrame, counts: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Classify records with rule tables: first match, weighted votes, majority of bags.
 
 Equal item sets are scored once: one match join and one shuffle of one small row per distinct set, however many rules and
-bags apply to it. The results are joined back on the items, so every record keeps its row, whatever its id.
+bags apply to it. The results are joined back on the items, so every record keeps its row, whatever its id. Item sets that
+many records share are joined back by broadcast, where no task has all their records.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.operators.match import BROADCAST_ITEMS, RuleIndex, index_rules, match
+from ruleloom.staging import stage_observed
 
 VOTINGS = ("max", "mean", "min")
 METRICS = ("support", "confidence")
 WEIGHTS = ("none", "numRules")
+# A set on more than this many rows, and on more than a shuffle partition's mean, is joined back by broadcast.
+HOT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -85,17 +89,32 @@ def per_item_set(
 
     score(sets, keys) gets rows with `keys` and items, and returns one row for each. Rows are kept as they are: equal and
     null ids, and null items, keep their rows.
+
+    The sets are counted as they are found. Those on more rows than a shuffle partition has on average are fewer than the
+    partitions, so their results are broadcast to their rows; only rows of other sets are shuffled to meet their results.
     """
     keys = ["set_of_items", *model]
-    sets = tx.select(*model, F.col("items").alias("set_of_items"), "items").distinct()
-    scored = score(sets, keys)
-    wanted = [c for c in scored.columns if c not in keys]
+    counted = tx.groupBy(*model, F.col("items").alias("set_of_items")).agg(F.count("*").alias("_n"))
+    sets, seen = stage_observed(counted, "item-sets", total=F.sum("_n"), largest=F.max("_n"))
+    sets = sets.withColumn("items", F.col("set_of_items"))
+    partitions = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(HOT_ROWS, (seen["total"] or 0) // partitions)
+    hot = F.col("_n") > most
     left = tx.select(*id_cols, F.col("items").alias("set_of_items"), *[m for m in model if m not in id_cols]).alias("l")
     same = F.lit(True)
     for key in keys:
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    kept = [F.col(f"l.{c}") for c in id_cols] + [F.col(f"r.{c}") for c in wanted]
-    return left.join(scored.alias("r"), same, "left").select(*kept)
+
+    def joined(rows: DataFrame, scored: DataFrame, how: str) -> DataFrame:
+        wanted = [c for c in scored.columns if c not in keys]
+        return rows.join(scored.alias("r"), same, how).select(*[F.col(f"l.{c}") for c in id_cols], *[F.col(f"r.{c}") for c in wanted])
+
+    if (seen["largest"] or 0) <= most:
+        return joined(left, score(sets.drop("_n"), keys), "left")
+    heavy = sets.where(hot)
+    others = left.join(F.broadcast(heavy.select(*keys)).alias("r"), same, "left_anti").alias("l")
+    shared = joined(left, F.broadcast(score(heavy.drop("_n"), keys)), "inner")
+    return shared.unionByName(joined(others, score(sets.where(~hot).drop("_n"), keys), "left"))
 
 
 def scoring_index(

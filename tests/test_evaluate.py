@@ -4,8 +4,10 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import functions as F
 
 from ruleloom.operators import evaluate, scoring
+from ruleloom.operators.indexing import depth_ranges, group_index
 from ruleloom.operators.sampling import kfold
 from ruleloom.operators.scoring import VoteSettings
 from ruleloom.plans.crossval import (
@@ -135,3 +137,54 @@ def test_staging_folder_comes_from_the_session():
     assert stage_root(session_stub(master="local[2]")).startswith(tempfile.gettempdir())
     with pytest.raises(RuntimeError):
         stage_root(session_stub())
+
+
+def test_crowded_scores_fall_into_ranges_of_equal_depth(spark):
+    """99 % of the scores lie in one thousandth of the span; no range is deeper than twice the mean, the curve is exact."""
+    rng = random.Random(8)
+    rows = [(0, rng.randint(0, 1), 0.5 + rng.random() / 1000 if i % 100 else rng.random()) for i in range(8000)] + [(1, 1, 0.2), (1, 0, None)]
+    crowded = spark.createDataFrame(rows, "fold int, label int, score double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = [r["count"] for r in depth_ranges(crowded, [F.asc("fold"), F.desc("score")], "part").groupBy("part").count().collect()]
+        points = [tuple(r) for r in evaluate.roc(crowded).where("fold = 0 and part = 1").select("score", "fpr", "tpr").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 1 and max(ranges) <= 2 * sum(ranges) / len(ranges)
+    labels = [(s, y) for fold, y, s in rows if fold == 0]
+    wanted, above = {}, [0, 0]
+    totals = [sum(y == v for _, y in labels) for v in (0, 1)]
+    for s, y in sorted(labels, reverse=True):
+        above[y] += 1
+        wanted[s] = (above[0] / totals[0], above[1] / totals[1])
+    assert {s: x for s, x, _ in points} == pytest.approx({s: x for s, (x, _) in wanted.items()})
+    assert {s: y for s, _, y in points} == pytest.approx({s: y for s, (_, y) in wanted.items()})
+
+
+def test_ranks_of_a_large_group(spark):
+    rows = [(0 if i % 9 else 1, i * 7919 % 1000) for i in range(1000)]
+    ranked = group_index(spark.createDataFrame(rows, "bag_id int, v int"), ["bag_id"], [F.desc("v")], "place").collect()
+    for bag in (0, 1):
+        own = sorted((v for b, v in rows if b == bag), reverse=True)
+        assert [r["v"] for r in sorted((r for r in ranked if r["bag_id"] == bag), key=lambda r: r["place"])] == own
+        assert sorted(r["place"] for r in ranked if r["bag_id"] == bag) == list(range(len(own)))
+    assert group_index(spark.createDataFrame([], "bag_id int, v int"), ["bag_id"], [F.desc("v")], "place").count() == 0
+
+
+def test_item_sets_of_most_rows_are_joined_back_apart(spark, monkeypatch):
+    """One item set on nine tenths of the rows, null and empty sets, repeated and null ids: the same rows as by one join."""
+    rows = [(i if i % 50 else None, ["a=1", "b=1"] if i % 10 else [f"a={i % 3}", f"c={i}"], "x" if i % 10 else "y") for i in range(1200)]
+    tx = spark.createDataFrame(rows + [(7, None, "x"), (8, [], "y")], "rec_id bigint, items array<string>, label string")
+    settings = TrainingSettings(num_models=2, sample_size=0.5, min_support=0.05, min_chi2=0.0)
+    rules, bags = train_ensemble(tx.where("items is not null"), settings)
+
+    def results():
+        first = scoring.ensemble_predict(tx, rules, ["x", "y"], "y")
+        proba = scoring.ensemble_proba(tx, rules, 2, ["x", "y"])
+        return [sorted(map(repr, d.collect())) for d in (first, proba)]
+
+    plain = results()
+    monkeypatch.setattr(scoring, "HOT_ROWS", 10)
+    assert results() == plain and len(plain[0]) == 1202
+    hot = scoring.ensemble_predict(tx, rules, ["x", "y"], "y")
+    assert "Union" in hot._jdf.queryExecution().toString()
