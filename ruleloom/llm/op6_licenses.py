@@ -1,21 +1,26 @@
 """Licence scans by a positional index of licence words, by built-in functions only.
 
-Every template and phrase is indexed as postings (word, template, place). Words of a text that stand in the index are joined
-with it and propose places, a place being the difference of a word's position in the text and in the template. Every place is
-weighed by all words that agree with it (by inverse document frequency over all documents), and holds if enough weight agrees
-and all mandatory phrases of the template stand where they should, give or take SLACK words. No word of a text is left out,
-so that one notice never hides another. The base phrases are templates of which every word must agree.
-
-Texts without any word that is mandatory somewhere are settled in the scan itself. The others are staged, so that each row has
-a number of its own: repeated rows and rows with a null id are scanned each for themselves. Null and empty texts have no words
-and no labels. An empty table gives an empty result; columns other than id and text are left behind. The index and the
-document frequencies are as large as the templates, so they are broadcast.
+Every template and phrase is indexed as postings (word, template, place). A phrase, base ones too, is proposed by the rarest of its
+words alone (by inverse document frequency over all documents), a place being the difference of the word's position in the
+text and in the phrase, and stands where every posting of it agrees. A notice is proposed where the rarest of its mandatory
+phrases stands: it must stand anyway, so no notice is missed, and none hides another. The other mandatory phrases have to
+stand too, and enough weight of all its words has to agree. Words inserted or left out shift what follows, so both may be out of
+place by as many words as the notice has.
+
+A text is split once. Texts without all words of some phrase are settled by that; the others keep their words. Each row has a
+number of its own: repeated rows and rows with a null id are scanned each for themselves. Null and empty texts have no words
+and no labels. Words of a very long text are rows by position, so none of the joins has a whole text for a key, however often a
+phrase repeats in it. All places of a phrase count; labels that tie are all given. An empty table gives an empty result;
+columns other than id and text are left behind. The index and the document frequencies are as large as the templates, so
+they are broadcast.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +81,59 @@ NOTICES = [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         ["permission to use copy modify", "with or without fee is hereby granted"],
     ),
+    ("lgpl-3", "under the GNU Lesser General Public License, version 3", ["gnu lesser general public license version 3"]),
+    (
+        "lgpl-3",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or any later version",
+        ["gnu lesser general public license", "version 3 of the license"],
+    ),
+    ("agpl-3", "under the GNU Affero General Public License, version 3", ["gnu affero general public license version 3"]),
+    (
+        "agpl-3",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or any later version",
+        ["gnu affero general public license", "version 3 of the license"],
+    ),
+    ("cc0", "dedicated to the public domain under CC0 1.0 Universal", ["cc0 1 0 universal"]),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain",
+        ["free and unencumbered software released into the public domain"],
+    ),
+    ("bsl-1", "Distributed under the Boost Software License, Version 1.0", ["boost software license version 1 0"]),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software",
+        ["provided as is without any express or implied warranty", "in no event will the authors be held liable"],
+    ),
 ]
 
+# Identifiers of licence lines with their labels.
+IDENTIFIERS = {
+    "MIT": "mit",
+    "Apache-2.0": "apache-2",
+    "GPL-3.0": "gpl-3",
+    "LGPL-3.0": "lgpl-3",
+    "AGPL-3.0": "agpl-3",
+    "BSD-2-Clause": "bsd",
+    "BSD-3-Clause": "bsd",
+    "MPL-2.0": "mpl-2",
+    "ISC": "isc",
+    "CC-BY-4.0": "cc-by",
+    "CC-BY-NC-4.0": "cc-by-nc",
+    "CC0-1.0": "cc0",
+    "Unlicense": "unlicense",
+    "BSL-1.0": "bsl-1",
+    "Zlib": "zlib",
+}
+NOTICES += [(label, f"SPDX-License-Identifier: {name}", [f"spdx license identifier {name}"]) for name, label in IDENTIFIERS.items()]
+
 #: Least share of a template's weight that must agree with a place.
 AGREE = 0.6
-#: Words by which a mandatory phrase may be out of place.
-SLACK = 3
+#: Positions of a text that are joined under one key.
+BIN = 64
 
 
 def spelled(text: str) -> list[str]:
@@ -117,17 +169,33 @@ class Index:
                 self.must.append((notice, numbers[tuple(own)], at))
         self.words = sorted({w for _, _, ws in self.units for w in ws})
 
-    def anchors(self, frequency: dict[str, int]) -> list[str]:
-        """The least frequent word of every base and mandatory phrase: a text without any of them has no label."""
-        return sorted({min(ws, key=lambda w: (frequency.get(w, 0), w)) for kind, _, ws in self.units if kind != "notice"})
+    def complete(self, own: Column) -> Column:
+        """Whether a text with the index words `own` has all words of some phrase; without that it has no label."""
+        phrases = {tuple(sorted(set(ws))) for kind, _, ws in self.units if kind != "notice"}
+        return reduce(or_, [F.size(F.array_except(F.array(*map(F.lit, ws)), own)) == 0 for ws in sorted(phrases)], F.lit(False))
+
+    def rarest(self, weight: dict[str, float]) -> dict[int, tuple[str, int]]:
+        """The word of largest weight of every phrase, base ones too, and its first place there."""
+        best = {u: max(ws, key=lambda w: (weight[w], w)) for u, (kind, _, ws) in enumerate(self.units) if kind != "notice"}
+        return {u: (w, self.units[u][2].index(w)) for u, w in best.items()}
+
+    def keys(self, spark: SparkSession, weight: dict[str, float]) -> DataFrame:
+        """(word, unit, at, n): the one posting that proposes a phrase."""
+        rows = [(w, u, at, len(self.units[u][2])) for u, (w, at) in self.rarest(weight).items()]
+        return spark.createDataFrame(rows, "word string, unit int, at int, n int")
 
-    def postings(self, spark: SparkSession, weight: dict[str, float]) -> DataFrame:
-        rows = [(w, u, i, kind, weight[w]) for u, (kind, _, ws) in enumerate(self.units) for i, w in enumerate(ws)]
-        return spark.createDataFrame(rows, "word string, unit int, at int, kind string, weight double")
+    def leads(self, spark: SparkSession, weight: dict[str, float]) -> DataFrame:
+        """(phrase, notice, label, at, n, total): the one mandatory phrase that proposes a notice."""
+        rarest, rows = self.rarest(weight), []
+        for notice in sorted({m[0] for m in self.must}):
+            _, label, ws = self.units[notice]
+            _, phrase, at = max((m for m in self.must if m[0] == notice), key=lambda m: (weight[rarest[m[1]][0]], -m[2]))
+            rows.append((phrase, notice, label, at, len(ws), float(sum(weight[w] for w in ws))))
+        return spark.createDataFrame(rows, "unit int, notice int, label string, at int, n int, total double")
 
-    def sizes(self, spark: SparkSession, weight: dict[str, float]) -> DataFrame:
-        rows = [(u, kind, label, len(ws), float(sum(weight[w] for w in ws))) for u, (kind, label, ws) in enumerate(self.units)]
-        return spark.createDataFrame(rows, "unit int, kind string, label string, n int, total double")
+    def postings(self, spark: SparkSession, weight: dict[str, float], notices: bool) -> DataFrame:
+        chosen = [(u, ws) for u, (kind, _, ws) in enumerate(self.units) if (kind == "notice") == notices]
+        return spark.createDataFrame([(u, i, w, weight[w]) for u, ws in chosen for i, w in enumerate(ws)], "unit int, at int, word string, weight double")
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tuple[str, str, list[str]]] = NOTICES) -> DataFrame:
@@ -135,19 +203,16 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tuple[str,
     spark = docs.sparkSession
     index = Index(base, notices)
     split = texts(docs).select("doc_id", words(F.col("text")).alias("words"))
-    known = F.array(*map(F.lit, index.words))
+    split = split.withColumn("own", F.array_intersect(F.array(*map(F.lit, index.words)), F.col("words")))
+    kept = split.select("doc_id", F.size("words").cast("long").alias("n_words"), "own", F.when(index.complete(F.col("own")), F.col("words")).alias("words"))
+    all_ = stage(kept.withColumn("row", F.monotonically_increasing_id()), "licence-texts")
     # One row for each word of the index at most.
-    counted = split.select(F.explode(F.array_intersect(known, F.col("words"))).alias("word")).groupBy("word").count().collect()
+    counted = all_.select(F.explode("own").alias("word")).groupBy("word").count().collect()
     frequency = {r["word"]: r["count"] for r in counted}
     top = max(frequency.values(), default=0)
     weight = {w: math.log((top + 1) / (frequency.get(w, 0) + 1)) + 0.1 for w in index.words}
-    has = F.arrays_overlap("words", F.array(*map(F.lit, index.anchors(frequency))))
-    n_words = F.size("words").cast("long").alias("n_words")
-    near = stage(split.where(has).withColumn("row", F.monotonically_increasing_id()), "licence-texts")
-    found = _labels(spark, near, index, weight)
-    near_rows = near.select("row", "doc_id", n_words).join(found, "row", "left")
-    far_rows = split.where(~has).select("doc_id", n_words)
-    out = near_rows.drop("row").unionByName(far_rows, allowMissingColumns=True)
+    found = _labels(spark, all_.where(F.col("words").isNotNull()), index, weight)
+    out = all_.select("row", "doc_id", "n_words").join(found, "row", "left")
     return out.select(
         "doc_id",
         "n_words",
@@ -160,32 +225,58 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tuple[str,
     )
 
 
+def _bin(position: Column) -> Column:
+    return F.floor(position / BIN).cast("int")
+
+
+def _bins(first: Column, last: Column) -> Column:
+    """The bins that positions first to last lie in."""
+    return F.explode(F.sequence(_bin(first), _bin(last)))
+
+
+def _standing(hits: DataFrame, keys: DataFrame, postings: DataFrame) -> DataFrame:
+    """(row, unit, place): where every word of a phrase stands. Only its rarest word proposes places."""
+    proposed = hits.join(F.broadcast(keys), "word").select("row", "unit", "n", (F.col("pos") - F.col("at")).alias("place"))
+    spelt = proposed.join(F.broadcast(postings), "unit").select("row", "unit", "n", "place", (F.col("place") + F.col("at")).alias("pos"), "word")
+    agreed = spelt.join(hits, ["row", "pos", "word"]).groupBy("row", "unit", "place", "n").agg(F.count("*").alias("matched"))
+    return agreed.where("matched = n").select("row", "unit", "place")
+
+
+def _agreeing(hits: DataFrame, proposed: DataFrame, postings: DataFrame) -> DataFrame:
+    """`proposed` places of notices (row, notice, label, n, total, place) of which enough weight agrees, with the `share` of it."""
+    window = proposed.withColumn("bin", _bins(F.col("place") - F.col("n"), F.col("place") + 2 * F.col("n")))
+    met = window.join(hits.withColumn("bin", _bin(F.col("pos"))), ["row", "bin"])
+    met = met.join(F.broadcast(postings.withColumnRenamed("unit", "notice").withColumnRenamed("at", "own_at")), ["notice", "word"])
+    met = met.where(F.abs(F.col("pos") - F.col("place") - F.col("own_at")) <= F.col("n"))
+    words_met = met.groupBy("row", "notice", "label", "n", "total", "place").agg(F.collect_set(F.struct("own_at", "weight")).alias("met"))
+    weight = F.aggregate("met", F.lit(0.0), lambda total, m: total + m["weight"])
+    return words_met.withColumn("share", weight / F.col("total")).where(F.col("share") >= AGREE).drop("met")
+
+
+def _verified(likely: DataFrame, there: DataFrame, must: DataFrame, needs: DataFrame) -> DataFrame:
+    """The likely notices whose mandatory phrases all stand near their places: (row, more labels, share)."""
+    due = F.col("place") + F.col("at")
+    wanted = likely.join(F.broadcast(must), "notice").withColumn("due", due).withColumn("bin", _bins(F.col("due") - F.col("n"), F.col("due") + F.col("n")))
+    stood = there.select("row", F.col("unit").alias("phrase"), F.col("place").alias("stood"), _bin(F.col("place")).alias("bin"))
+    checked = wanted.join(stood, ["row", "phrase", "bin"]).where(F.abs(F.col("stood") - F.col("due")) <= F.col("n"))
+    checked = checked.groupBy("row", "notice", "label", "place").agg(F.count_distinct("phrase").alias("standing"), F.max("share").alias("share"))
+    whole = checked.join(F.broadcast(needs), "notice").where("standing = needed")
+    return whole.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+
+
 def _labels(spark: SparkSession, near: DataFrame, index: Index, weight: dict[str, float]) -> DataFrame:
     """What was found in each row of `near`."""
-    postings, sizes = F.broadcast(index.postings(spark, weight)), F.broadcast(index.sizes(spark, weight))
-    must = F.broadcast(spark.createDataFrame(index.must, "unit int, phrase int, at int"))
-    needs = F.broadcast(spark.createDataFrame([(u, sum(m[0] == u for m in index.must)) for u in {m[0] for m in index.must}], "unit int, needed int"))
+    must = spark.createDataFrame(index.must, "notice int, phrase int, at int")
+    needs = spark.createDataFrame([(u, sum(m[0] == u for m in index.must)) for u in {m[0] for m in index.must}], "notice int, needed long")
     known = F.broadcast(spark.createDataFrame([(w,) for w in index.words], "word string"))
-    hits = near.select("row", F.posexplode("words").alias("pos", "word")).join(known, "word")
-    hits = stage(hits, "licence-words")
+    base = spark.createDataFrame([(u, label) for u, (kind, label, _) in enumerate(index.units) if kind == "base"], "unit int, label string")
+    hits = stage(near.select("row", F.posexplode("words").alias("pos", "word")).join(known, "word"), "licence-words")
+    there = stage(_standing(hits, index.keys(spark, weight), index.postings(spark, weight, False)), "licence-phrases")
 
-    agreed = hits.join(postings, "word").groupBy("row", "unit", (F.col("pos") - F.col("at")).alias("place")).agg(
-        F.count("*").alias("matched"), F.sum("weight").alias("found")
-    )
-    placed = agreed.join(sizes, "unit")
-    # Phrases, base ones too, stand where every word agrees.
-    stands = placed.where((F.col("kind") != "notice") & (F.col("matched") == F.col("n")))
-    likely = placed.where((F.col("kind") == "notice") & (F.col("found") >= AGREE * F.col("total")))
-    there = stands.where(F.col("kind") == "phrase").select("row", F.col("unit").alias("phrase"), F.col("place").alias("stood"))
-    checked = likely.join(must, "unit").join(there, ["row", "phrase"])
-    checked = checked.where(F.abs(F.col("stood") - F.col("place") - F.col("at")) <= SLACK)
-    checked = checked.groupBy("row", "unit", "place", "label").agg(
-        F.countDistinct("phrase").alias("standing"), F.max(F.col("found") / F.col("total")).alias("share")
-    )
-    verified = checked.join(needs, "unit").where("standing = needed").groupBy("row").agg(
-        F.collect_set("label").alias("more"), F.max("share").alias("share")
-    )
-    plain = stands.where(F.col("kind") == "base").groupBy("row").agg(
+    proposed = there.join(F.broadcast(index.leads(spark, weight)), "unit").withColumn("place", F.col("place") - F.col("at")).drop("unit", "at")
+    likely = _agreeing(hits, proposed, index.postings(spark, weight, True))
+    verified = _verified(likely, there, must, needs)
+    plain = there.join(F.broadcast(base), "unit").groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("place").alias("first_word"), F.max("place").alias("last_word"), F.collect_set("label").alias("own")
     )
     none = F.array().cast("array<string>")

@@ -159,3 +159,35 @@ def test_licences_of_a_text_with_several_notices(spark):
     rows = [(0, f"{rare[1]}. And then. {common[1]}.")] + [(1 + i, words) for i in range(79)]
     got = op6_licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").collect()
     assert [r["labels"] for r in got] == ["gpl-3,mit"]
+
+
+def plain_labels(text):
+    """A plain scanner: base phrases word by word, notices by all mandatory phrases within the notice's length of their places."""
+    own = op6_licenses.spelled(text or "")
+    at = lambda phrase: [i for i in range(len(own)) if own[i : i + len(phrase)] == phrase]
+    found = {label for phrase, label in PHRASES.items() if at(op6_licenses.spelled(phrase))}
+    for label, notice, phrases in op6_licenses.NOTICES:
+        whole = op6_licenses.spelled(notice)
+        keys = [op6_licenses.spelled(p) for p in phrases]
+        dues = [next(i for i in range(len(whole)) if whole[i : i + len(k)] == k) for k in keys]
+        places = [[p - d for p in at(k)] for k, d in zip(keys, dues, strict=True)]
+        if any(all(any(abs(q - p) <= len(whole) for q in qs) for qs in places) for p in places[0]):
+            found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_licence_labels_against_a_plain_scanner(spark):
+    rng, filler = random.Random(4), "lorem the of version to any software and in".split()
+    texts = ["GNU Lesser General Public License version 3", "// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: BSD-3-Clause", "Zlib", ""]
+    for _, notice, _ in op6_licenses.NOTICES:
+        own = notice.split()
+        texts += [notice, " ".join(rng.choices(filler, k=70) + own + rng.choices(filler, k=9))]
+        texts.append(" ".join(rng.sample(own, len(own))))
+    for number in (8, 10):  # words put in between the mandatory phrases
+        own = op6_licenses.NOTICES[number][1].split()
+        texts.append(" ".join(own[:9] + ["lorem"] * 6 + own[9:]))
+    texts.append(" ".join(n for _, n, _ in op6_licenses.NOTICES) * 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in op6_licenses.scan(docs).collect()}
+    assert got == {i: plain_labels(t) for i, t in enumerate(texts)}
+    assert (got[0], got[1], got[2], got[3]) == ("lgpl-3", "mit", "bsd", "") and got[len(texts) - 3] == "bsd" and got[len(texts) - 2] == "isc"
