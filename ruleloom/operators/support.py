@@ -1,7 +1,8 @@
 """Rules from frequent itemsets, for all bags at once.
 
-Records are first reduced to weighted baskets of ranked items. If all baskets are narrow, their subsets are counted in
-one aggregation. Otherwise itemsets grow level by level over the projected data: (bag_id, itemset, rest, label, n), where
+Records are first reduced to weighted baskets of ranked items. If all baskets are narrow, their items and pairs are counted
+in one aggregation, and then all larger subsets in another: a subset is grown only by items that form a frequent pair with
+each of its items, so none that holds an infrequent pair is ever written. Otherwise, or with too many frequent pairs, itemsets grow level by level over the projected data: (bag_id, itemset, rest, label, n), where
 `rest` are the items that may still extend the itemset in those records, rarest first. Each level counts the
 extensions per class (combined before the shuffle), keeps the frequent ones, and projects the data on them: rests shrink
 to frequent extensions and equal rows are added up, so that data and lineage both shrink. Every level is staged.
@@ -37,6 +38,8 @@ from ruleloom.staging import spread, stage, stage_observed
 # All subsets of a basket are counted at once if none is wider than this and the mean number of subsets is bounded.
 NARROW = 16
 MEAN_SUBSETS = 64
+# Frequent pairs of all bags together, up to which they travel to the baskets by broadcast.
+PAIR_LIMIT = 1_000_000
 
 
 def subset_counts(widest: int, max_length: int) -> list[int]:
@@ -52,6 +55,7 @@ def frequent_itemsets(
     counts: DataFrame | None = None,
     map_limit: int = RANK_MAP_LIMIT,
     narrow: int = NARROW,
+    pair_limit: int = PAIR_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """Itemsets whose largest class count reaches the minimum count of their bag.
 
@@ -73,7 +77,8 @@ def frequent_itemsets(
     baskets = spread(baskets, width["rows"])
     starts = None if suffix_predicate is None else usable.where(suffix_predicate).select("bag_id", "rank")
     if (width["widest"] or 0) <= narrow and (width["subsets"] or 0) <= MEAN_SUBSETS * width["rows"]:
-        return _all_subsets(baskets, limits, classes, max_length, starts), items_by_rank(ranks)
+        found = _pairs_first(baskets, ranks, limits, classes, max_length, starts, pair_limit)
+        return found, items_by_rank(ranks)
     return _level_by_level(baskets, limits, classes, max_length, starts), items_by_rank(ranks)
 
 
@@ -85,18 +90,66 @@ def _from_start(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
     return rows.withColumn("head", F.slice("itemset", 1, 1)).join(heads, ["bag_id", "head"], "left_semi").drop("head")
 
 
-def _all_subsets(
-    baskets: DataFrame, limits: DataFrame, classes: list, max_length: int, starts: DataFrame | None
+def _pairs_first(
+    baskets: DataFrame,
+    ranks: DataFrame,
+    limits: DataFrame,
+    classes: list,
+    max_length: int,
+    starts: DataFrame | None,
+    pair_limit: int,
 ) -> DataFrame:
-    empty = F.array(F.array().cast("array<int>"))
+    short = _frequent(short_subsets(baskets, max_length), limits, classes)
+    short, seen = stage_observed(short, "short-itemsets", pairs=F.count_if(F.size("itemset") == 2))
+    if max_length < 3 or not seen["pairs"]:
+        return _from_start(short, starts)
+    if seen["pairs"] > pair_limit:
+        return _level_by_level(baskets, limits, classes, max_length, starts)
+    larger = larger_subsets(baskets, partners(ranks, short), max_length)
+    return _from_start(short, starts).unionByName(_frequent(_from_start(larger, starts), limits, classes))
+
+
+def short_subsets(baskets: DataFrame, max_length: int) -> DataFrame:
+    """(bag_id, itemset, label, n) of every item, and of every pair if `max_length` allows pairs."""
+    later = F.transform("ranks", lambda x, i: F.transform(F.slice("ranks", i + 2, F.size("ranks")), lambda y: F.array(x, y)))
+    subsets = F.transform("ranks", lambda x: F.array(x))
+    if max_length > 1:
+        subsets = F.concat(subsets, F.flatten(later))
+    return baskets.select("bag_id", F.explode(subsets).alias("itemset"), "label", "n")
+
+
+def partners(ranks: DataFrame, short: DataFrame) -> DataFrame:
+    """(bag_id, partners): for each rank of the bag, in order, the items after it in a frequent pair; one row per bag."""
+    first, second = F.get("itemset", F.lit(0)).alias("rank"), F.get("itemset", F.lit(1))
+    pairs = short.where(F.size("itemset") == 2).groupBy("bag_id", first).agg(F.collect_set(second).alias("after"))
+    entry = F.struct("rank", F.coalesce("after", F.array().cast("array<int>")).alias("after"))
+    every = ranks.select("bag_id", "rank").join(pairs, ["bag_id", "rank"], "left")
+    in_order = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["after"])
+    return every.groupBy("bag_id").agg(in_order.alias("partners"))
+
+
+def larger_subsets(baskets: DataFrame, known: DataFrame, max_length: int) -> DataFrame:
+    """(bag_id, itemset, label, n) of the subsets of three and more items all of whose pairs are frequent.
+
+    `open` holds the items that may still extend a subset. The table of pairs is broadcast, its size was counted before.
+    """
+    empty = F.array().cast("array<struct<itemset:array<int>,open:array<int>>>")
 
     def grow(sets: Column, x: Column) -> Column:
-        open_sets = F.filter(sets, lambda s: F.size(s) < max_length)
-        return F.concat(sets, F.transform(open_sets, lambda s: F.concat(s, F.array(x))))
+        after = F.get("partners", x)
+        able = F.filter(sets, lambda s: (F.size(s["itemset"]) < max_length) & F.array_contains(s["open"], x))
+        grown = F.transform(
+            able,
+            lambda s: F.struct(
+                F.concat(s["itemset"], F.array(x)).alias("itemset"), F.array_intersect(s["open"], after).alias("open")
+            ),
+        )
+        alone = F.struct(F.array(x).alias("itemset"), F.array_intersect(F.col("ranks"), after).alias("open"))
+        return F.concat(sets, grown, F.array(alone))
 
-    subsets = F.filter(F.aggregate("ranks", empty, grow), lambda s: F.size(s) > 0)
-    rows = baskets.select("bag_id", F.explode(subsets).alias("itemset"), "label", "n")
-    return _frequent(_from_start(rows, starts), limits, classes)
+    sets = F.filter(F.aggregate("ranks", empty, grow), lambda s: F.size(s["itemset"]) > 2)
+    wide = baskets.where(F.size("ranks") > 2).join(F.broadcast(known), "bag_id")
+    return wide.select("bag_id", F.explode(sets).alias("s"), "label", "n").select("bag_id", "s.itemset", "label", "n")
 
 
 def _level_by_level(
@@ -174,6 +227,7 @@ def mine_support(
     counts: DataFrame | None = None,
     map_limit: int = RANK_MAP_LIMIT,
     narrow: int = NARROW,
+    pair_limit: int = PAIR_LIMIT,
 ) -> DataFrame:
     """Rules itemset -> class for each class that attains the itemset's largest class count.
 
@@ -181,7 +235,7 @@ def mine_support(
     """
     counts = stage(label_counts(tx), "label-counts") if counts is None else counts
     itemsets, names = frequent_itemsets(
-        tx, min_support, max_length, suffix_predicate, counts, map_limit, narrow
+        tx, min_support, max_length, suffix_predicate, counts, map_limit, narrow, pair_limit
     )
     found = _candidates(itemsets.where(F.col("n_hit") == F.col("n_max")), names)
     exempt = None if filter_singletons else F.size("antecedent") == 1

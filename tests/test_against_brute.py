@@ -12,7 +12,7 @@ from ruleloom.operators.gain import mine_gain
 from ruleloom.operators.match import index_rules, match
 from ruleloom.operators.rules import rules_text
 from ruleloom.operators.scoring import VoteSettings, first_match, probabilities
-from ruleloom.operators.support import mine_class_tokens, mine_support
+from ruleloom.operators.support import larger_subsets, mine_class_tokens, mine_support, partners
 from ruleloom.staging import stage
 
 SETS = 40
@@ -59,6 +59,35 @@ def test_support_level_by_level(sets, tx):
     assert by_bag(grown) == expected(sets, lambda r: brute.support_rules(r, 0.2, 0.5, 0.5, 4))
 
 
+@pytest.mark.parametrize("longest", [1, 2, 3])
+def test_support_of_bounded_length(sets, tx, longest):
+    found = mine_support(tx, 0.2, 0.5, 0.5, max_length=longest)
+    assert by_bag(found) == expected(sets, lambda r: brute.support_rules(r, 0.2, 0.5, 0.5, longest))
+
+
+def test_support_with_more_pairs_than_are_broadcast(sets, tx):
+    found = mine_support(tx, 0.2, 0.5, 0.5, max_length=4, pair_limit=1)
+    assert by_bag(found) == expected(sets, lambda r: brute.support_rules(r, 0.2, 0.5, 0.5, 4))
+
+
+def test_no_subset_with_an_infrequent_pair_is_written(spark):
+    frequent = {(5, 3), (5, 2), (3, 2), (2, 0), (5, 0)}
+    rows = [(0, [5, 3, 2, 0], 0, 1), (0, [5, 4, 3, 2], 1, 2), (0, [4, 1], 0, 1), (1, [2, 1, 0], 0, 1)]
+    baskets = spark.createDataFrame(rows, "bag_id int, ranks array<int>, label int, n long")
+    ranks = spark.createDataFrame([(b, r) for b in (0, 1) for r in range(6)], "bag_id int, rank int")
+    short = spark.createDataFrame([(0, list(p)) for p in frequent], "bag_id int, itemset array<int>")
+    found = larger_subsets(baskets, partners(ranks, short), 10)
+    want = [
+        (b, c, label, n)
+        for b, items, label, n in rows
+        for k in range(3, len(items) + 1)
+        for c in brute.combinations(items, k)
+        if b == 0 and all(p in frequent for p in brute.combinations(c, 2))
+    ]
+    assert sorted((r["bag_id"], tuple(r["itemset"]), r["label"], r["n"]) for r in found.collect()) == sorted(want)
+    assert 0 < len(want) < sum(1 for _, items, _, _ in rows for k in range(3, 5) for _ in brute.combinations(items, k))
+
+
 def test_support_with_joined_ranks(sets, tx):
     joined = mine_support(tx, 0.3, 0.5, 0.0, map_limit=0)
     assert by_bag(joined) == expected(sets, lambda r: brute.support_rules(r, 0.3, 0.5, 0.0))
