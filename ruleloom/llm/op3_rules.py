@@ -1,9 +1,10 @@
 """Quality rules: base counts with fixed limits, then a logistic regression over hashed n-grams, calibrated.
 
-The model sees how often hashed word 1- and 2-grams and byte 3-grams occur in a text, each family as shares of 1. It is fitted
-on at most SAMPLE labelled documents of either class (those with the smallest hash of their id, so the same ones at any
-partitioning), in one task; part of the sample is left for Platt's calibration. Scoring takes whole texts in Arrow batches
-and adds up weights by table look-up.
+The model sees how often hashed word 1- and 2-grams and character 3-grams occur in a text, each family as shares of 1. It is
+fitted on at most SAMPLE labelled documents of either class (those with the smallest hash of their id, so the same ones at any
+partitioning): n-grams are hashed where the texts are read, rows that share an id are reduced to one, and one task gets the
+shares, at most FAMILIES * SLOTS of a document, however long it is. Part of the sample is left for Platt's calibration. Scoring
+takes whole texts in Arrow batches, very long ones too, and adds up weights by table look-up.
 
 Null and empty texts have no words, fail the base rule and are not kept. Repeated rows give repeated rows; rows with a null
 id are judged like others. Without labels of both classes there is no verdict and the base rules alone decide. An empty table
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +54,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -500, 500)))
 
 
+def characters(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(number, text) of every character; the number is made of its UTF-8 bytes, so different characters differ."""
+    doc = np.repeat(np.arange(len(words.count)), np.diff(words.offsets))
+    data = words.data
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint32), doc
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    number = data[start].astype(np.uint32)
+    for k, least in enumerate((0xC0, 0xE0, 0xF0), 1):
+        at = np.flatnonzero((data[start] >= least) & (start + k < len(data)))
+        number[at] |= data[start[at] + k].astype(np.uint32) << np.uint32(8 * k)
+    return number, doc[start]
+
+
 def slots(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(slot, text) of every n-gram, family by family: words, word pairs, byte triples."""
+    """(slot, text) of every n-gram, family by family: words, word pairs, character triples."""
     hashes = words.hashes(lower=False)
     yield (hashes >> _U(49)).astype(np.int64), words.doc
     value, doc = runs(hashes, words.first, 2)
     yield (value >> _U(49)).astype(np.int64) + SLOTS, doc
-    data = words.data.astype(np.uint32)
-    if len(data) > 2:
-        key = (data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)) * np.uint32(2654435761)
-        doc = np.repeat(np.arange(len(words.count)), np.diff(words.offsets))
+    number, doc = characters(words)
+    if len(number) > 2:
+        key = (number[:-2] * np.uint32(0x9E3779B1) ^ number[1:-1]) * np.uint32(0x85EBCA6B) ^ number[2:]
+        key = (key ^ key >> np.uint32(15)) * np.uint32(2654435761)
         inside = doc[:-2] == doc[2:]
         yield (key >> np.uint32(17)).astype(np.int64)[inside] + 2 * SLOTS, doc[:-2][inside]
 
 
+def shares(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, slot, share) of the slots that occur, text by text: a slot's part in the n-grams of its family."""
+    found = []
+    for slot, doc in slots(words):
+        key, count = np.unique(doc * np.int64(FAMILIES * SLOTS) + slot, return_counts=True)
+        doc = key // (FAMILIES * SLOTS)
+        found.append((key, (count / np.maximum(np.bincount(doc, count, len(words.count)), 1)[doc]).astype(np.float32)))
+    key, share = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(key)
+    return key[order] // (FAMILIES * SLOTS), (key[order] % (FAMILIES * SLOTS)).astype(np.int32), share[order]
+
+
 def logits(words: Words, model: Model) -> np.ndarray:
     n = len(words.count)
     out = np.full(n, model.bias)
@@ -74,20 +102,9 @@ def logits(words: Words, model: Model) -> np.ndarray:
     return out
 
 
-def fit(row_texts: pa.Array, label: np.ndarray, steps: int = 120, penalty: float = 1e-6) -> Model:
+def fit(row: np.ndarray, slot: np.ndarray, share: np.ndarray, label: np.ndarray, steps: int = 120, penalty: float = 1e-6) -> Model:
     """Logistic regression by accelerated gradient steps on two parts in three, calibrated on the third."""
     n = len(label)
-    entries = []
-    batch = pa.RecordBatch.from_arrays([row_texts, pa.array(np.arange(n))], ["text", "row"])
-    for part in pieces(batch):
-        first = part.column("row")[0].as_py()
-        words = Words(*utf8(part.column("text")))
-        for slot, doc in slots(words):
-            key, count = np.unique(doc * np.int64(FAMILIES * SLOTS) + slot, return_counts=True)
-            doc, slot = key // (FAMILIES * SLOTS), key % (FAMILIES * SLOTS)
-            share = count / np.maximum(np.bincount(doc, count, len(words.count)), 1)[doc]
-            entries.append(((doc + first).astype(np.int32), slot.astype(np.int32), share.astype(np.float32)))
-    row, slot, share = (np.concatenate(x) for x in zip(*entries, strict=True))
     # Shares are small: slots are brought to one scale by their root mean square.
     size = np.sqrt(np.bincount(slot, share**2, FAMILIES * SLOTS) / n) + 1e-4
     value = (share / size[slot]).astype(np.float32)
@@ -127,19 +144,33 @@ def platt(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int = SAMPLE) -> Model | None:
     """The model of a bounded sample, fitted in one task; None without labels of both classes."""
     chosen = F.broadcast(sample(classes(labels, label), each))  # at most 2 * each rows
-    rows = texts(docs).join(chosen, "doc_id").select("text", "label", F.xxhash64("doc_id").alias("place"))
+    rows = texts(docs).join(chosen, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("digest"), "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                doc, slot, share = shares(Words(*utf8(part.column("text"))))
+                bounds = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (slot, share)]
+                given = [part.column(c) for c in ("doc_id", "label", "digest")]
+                yield pa.RecordBatch.from_arrays([*given, *lists], ["doc_id", "label", "digest", "slots", "shares"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if parts:
-            all_ = pa.Table.from_batches(parts).sort_by([("place", "ascending"), ("label", "ascending"), ("text", "ascending")])
+            all_ = pa.Table.from_batches(parts).sort_by([("place", "ascending"), ("doc_id", "ascending")]).combine_chunks()
             y = all_["label"].to_numpy().astype(float)
             held = np.arange(len(y)) % 3 == 2
             if 0 < y[~held].sum() < (~held).sum() and 0 < y[held].sum() < held.sum():
-                m = fit(all_["text"].cast(pa.large_string()).combine_chunks(), y)
+                row = np.repeat(np.arange(len(y)), pa.compute.list_value_length(all_["slots"]).to_numpy())
+                flat = [pa.compute.list_flatten(all_[c]).to_numpy() for c in ("slots", "shares")]
+                m = fit(row, *flat, y)
                 yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()]), pa.array([[m.bias, m.scale, m.shift]])], ["weights", "rest"])
 
-    got = rows.repartition(1).mapInArrow(run, "weights binary, rest array<double>").collect()
+    known = rows.mapInArrow(hashed, "doc_id long, label int, digest long, slots array<int>, shares array<float>")
+    one = known.groupBy("doc_id").agg(F.min(F.struct("digest", "label", "slots", "shares")).alias("d"))
+    one = one.select("doc_id", F.xxhash64("doc_id").alias("place"), "d.label", "d.slots", "d.shares")
+    got = one.repartition(1).mapInArrow(run, "weights binary, rest array<double>").collect()
     return Model(np.frombuffer(got[0]["weights"], "<f4").astype(np.float64), *got[0]["rest"]) if got else None
 
 

@@ -5,9 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ruleloom.llm import op3_rules, op10_discriminant
+from ruleloom.llm.batches import Words, utf8
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -73,6 +75,44 @@ def test_rules_on_held_out_labels(tables):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, r in rows.items() if r["kept"]}
 
 
+def words_of(texts):
+    return Words(*utf8(pa.array(texts)))
+
+
+def test_logits_are_plain_sums():
+    rng = np.random.default_rng(5)
+    model = op3_rules.Model(rng.normal(size=op3_rules.FAMILIES * op3_rules.SLOTS), 0.25, 1.0, 0.0)
+    texts = ["", "a", "né é né", "Ünï çødé 語 語\n\t語 😀😀x", "ab ab  ab cd " * 3, None, "😀", "é語"]
+
+    def weight(part, family):
+        slot, doc = list(op3_rules.slots(words_of([part])))[family]
+        assert len(slot) == 1, part
+        return model.weights[slot[0]]
+
+    for text, got in zip(texts, op3_rules.logits(words_of(texts), model), strict=True):
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        grams = [words, [" ".join(words[i : i + 2]) for i in range(len(words) - 1)], [text[i : i + 3] for i in range(len(text) - 2)]]
+        want = 0.25 + sum(sum(weight(g, k) for g in part) / len(part) for k, part in enumerate(grams) if part)
+        assert abs(got - want) < 1e-9, text
+
+
+def test_shares_of_texts():
+    doc, slot, share = op3_rules.shares(words_of(["a b a", "", "é語 é語"]))
+    for i, families in ((0, 3), (1, 0), (2, 3)):
+        assert abs(share[doc == i].sum() - families) < 1e-6
+    assert len(set(zip(doc, slot, strict=True))) == len(slot)
+
+
+def test_repeated_ids_are_fitted_once(tables, spark):
+    docs, labels = tables
+    some = labels.limit(60)
+    small = docs.join(some.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    once = op3_rules.train(small, some)
+    many = op3_rules.train(small.union(small).union(small), some)
+    assert np.array_equal(once.weights, many.weights) and (once.scale, once.shift) == (many.scale, many.shift)
+
+
 def test_platt_keeps_order_and_level():
     rng = np.random.default_rng(2)
     logit = rng.normal(size=4000) * 3
