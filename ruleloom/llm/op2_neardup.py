@@ -264,12 +264,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     return mine.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _headed(rows: DataFrame) -> DataFrame:
+    """`rows` with `head`, the smallest id among those with the same set.
+
+    Sets of more rows than a shuffle partition's mean are fewer than the partitions: they are joined by broadcast, so that no
+    task gets all copies of a set.
+    """
+    key = ["s1", "s2", "n_shingles"]
+    heads = rows.groupBy(*key).agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
+    heads, seen = stage_observed(heads, "heads", all=F.sum("copies"))
+    mean = (seen["all"] or 0) / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = F.col("copies") > max(mean, 1)
+    known = rows.join(F.broadcast(heads.where(large).drop("copies")), key, "left")
+    rest = known.where("head is null").drop("head").join(heads.where(~large).drop("copies"), key)
+    return known.where("head is not null").unionByName(rest)
+
+
 def _classified(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """`near_duplicates` of (doc_id, text) rows of which no two share an id."""
     rows = stage(sketch(docs, percent, width), "sketch")
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    heads = rows.where(usable).groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"))
-    members = stage(rows.where(usable).join(heads, ["s1", "s2", "n_shingles"]).select(
+    members = stage(_headed(rows.where(usable)).select(
         "doc_id", "n_shingles", "head", F.when(F.col("doc_id") == F.col("head"), F.col("keys")).alias("keys")), "members")
     classes = members.where("doc_id = head").select(F.col("doc_id").alias("id"), "keys")
     labels = linked(classes, docs, percent, width)
