@@ -32,6 +32,8 @@ SAMPLE = 1500
 #: Slots of each n-gram family.
 SLOTS = 1 << 15
 FAMILIES = 3
+#: Entries (document, slot, share) worked on at once while fitting.
+ENTRIES = 1 << 19
 #: Documents whose calibrated probability of good quality is below this are not kept.
 KEEP = 0.3
 
@@ -103,29 +105,46 @@ def logits(words: Words, model: Model) -> np.ndarray:
 
 
 def fit(row: np.ndarray, slot: np.ndarray, share: np.ndarray, label: np.ndarray, steps: int = 120, penalty: float = 1e-6) -> Model:
-    """Logistic regression by accelerated gradient steps on two parts in three, calibrated on the third."""
-    n = len(label)
-    # Shares are small: slots are brought to one scale by their root mean square.
-    size = np.sqrt(np.bincount(slot, share**2, FAMILIES * SLOTS) / n) + 1e-4
-    value = (share / size[slot]).astype(np.float32)
+    """Logistic regression by accelerated gradient steps on two parts in three, calibrated on the third.
+
+    (row, slot, share) are the entries, those of the third part last; `share` is overwritten. Entries are worked on in blocks,
+    so nothing but the entries themselves takes memory in proportion to their number.
+    """
+    n, width = len(label), FAMILIES * SLOTS
     third = np.arange(n) % 3 == 2
-    use = ~third[row]
-    r, s, v = row[use], slot[use], value[use]
+    cut = int(np.searchsorted(third[row], True))
+    used, held = ([slice(a, min(a + ENTRIES, end)) for a in range(begin, end, ENTRIES)] for begin, end in ((0, cut), (cut, len(row))))
+    # Shares are small: slots are brought to one scale by their root mean square.
+    size = np.zeros(width)
+    for p in used + held:
+        size += np.bincount(slot[p], share[p] ** 2, width)
+    size = np.sqrt(size / n) + 1e-4
+    long = np.zeros(n)
+    for p in used + held:
+        share[p] /= size[slot[p]]
+        long += np.bincount(row[p], share[p] ** 2, n)
     weight_of = np.where(label == 1, 0.5 / max(label[~third].mean(), 1e-9), 0.5 / max(1 - label[~third].mean(), 1e-9)) * ~third
-    norm = np.sqrt(np.bincount(r, v**2, n)[~third].max()) + 1
+    norm = np.sqrt(long[~third].max()) + 1
     rate = 4.0 / norm**2 * n
-    w, bias, before = np.zeros(FAMILIES * SLOTS), 0.0, (np.zeros(FAMILIES * SLOTS), 0.0)
+    w, bias, before = np.zeros(width), 0.0, (np.zeros(width), 0.0)
     for k in range(steps):
         push = k / (k + 3)
         at_w, at_b = w + push * (w - before[0]), bias + push * (bias - before[1])
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * at_w[s], n) + at_b, -50, 50)))
-        error = (p - label) * weight_of / n
+        logit = np.full(n, at_b)
+        for p in used:
+            logit += np.bincount(row[p], share[p] * at_w[slot[p]], n)
+        error = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - label) * weight_of / n
+        slope = penalty * at_w
+        for p in used:
+            slope += np.bincount(slot[p], share[p] * error[row[p]], width)
         before = (w, bias)
-        w = at_w - rate * (np.bincount(s, v * error[r], FAMILIES * SLOTS) + penalty * at_w)
+        w = at_w - rate * slope
         bias = at_b - rate * error.sum() * 0.1
-    logit = np.bincount(row, value * w[slot], n)[third] + bias
-    scale, shift = platt(logit, label[third])
-    return Model((w / size).astype(np.float64), float(bias), scale, shift)
+    logit = np.full(n, bias)
+    for p in held:
+        logit += np.bincount(row[p], share[p] * w[slot[p]], n)
+    scale, shift = platt(logit[third], label[third])
+    return Model(w / size, float(bias), scale, shift)
 
 
 def platt(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -156,21 +175,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int
                 yield pa.RecordBatch.from_arrays([*given, *lists], ["doc_id", "label", "digest", "slots", "shares"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if parts:
-            all_ = pa.Table.from_batches(parts).sort_by([("place", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-            y = all_["label"].to_numpy().astype(float)
-            held = np.arange(len(y)) % 3 == 2
-            if 0 < y[~held].sum() < (~held).sum() and 0 < y[held].sum() < held.sum():
-                row = np.repeat(np.arange(len(y)), pa.compute.list_value_length(all_["slots"]).to_numpy())
-                flat = [pa.compute.list_flatten(all_[c]).to_numpy() for c in ("slots", "shares")]
-                m = fit(row, *flat, y)
-                yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()]), pa.array([[m.bias, m.scale, m.shift]])], ["weights", "rest"])
+        y, views = [], []
+        for batch in batches:
+            y.append(batch.column("label").to_numpy().astype(float))
+            ends = np.cumsum(pa.compute.list_value_length(batch.column("slots")).to_numpy())[:-1]
+            flat = [pa.compute.list_flatten(batch.column(c)).to_numpy() for c in ("slots", "shares")]
+            views += zip(*[np.split(x, ends) for x in flat], strict=True)
+        y = np.concatenate([np.zeros(0), *y])
+        held = np.arange(len(y)) % 3 == 2
+        if 0 < y[~held].sum() < (~held).sum() and 0 < y[held].sum() < held.sum():
+            order = np.argsort(held, kind="stable").astype(np.int32)
+            row = np.repeat(order, [len(views[i][0]) for i in order])
+            slot, share = (np.concatenate([views[i][k] for i in order]) for k in (0, 1))
+            views.clear()
+            m = fit(row, slot, share, y)
+            yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()]), pa.array([[m.bias, m.scale, m.shift]])], ["weights", "rest"])
 
     known = rows.mapInArrow(hashed, "doc_id long, label int, digest long, slots array<int>, shares array<float>")
     one = known.groupBy("doc_id").agg(F.min(F.struct("digest", "label", "slots", "shares")).alias("d"))
     one = one.select("doc_id", F.xxhash64("doc_id").alias("place"), "d.label", "d.slots", "d.shares")
-    got = one.repartition(1).mapInArrow(run, "weights binary, rest array<double>").collect()
+    got = one.repartition(1).sortWithinPartitions("place", "doc_id").mapInArrow(run, "weights binary, rest array<double>").collect()
     return Model(np.frombuffer(got[0]["weights"], "<f4").astype(np.float64), *got[0]["rest"]) if got else None
 
 
