@@ -1,7 +1,8 @@
 """Rules from frequent itemsets, for all bags at once.
 
-Records are first reduced to weighted baskets of ranked items. If all baskets are narrow, their items and pairs are counted
-in one aggregation, and then all larger subsets in another: a subset is grown only by items that form a frequent pair with
+Records are first reduced to weighted baskets of ranked items. If all baskets are narrow and have
+few subsets, these are counted in one aggregation. With more of them, items and pairs are counted first, and then all larger
+subsets in a second aggregation: a subset is grown only by items that form a frequent pair with
 each of its items, so none that holds an infrequent pair is ever written. Otherwise, or with too many frequent pairs, itemsets grow level by level over the projected data: (bag_id, itemset, rest, label, n), where
 `rest` are the items that may still extend the itemset in those records, rarest first. Each level counts the
 extensions per class (combined before the shuffle), keeps the frequent ones, and projects the data on them: rests shrink
@@ -35,9 +36,11 @@ from ruleloom.operators.items import (
 from ruleloom.operators.rules import finish, keep_rules, measure
 from ruleloom.staging import spread, stage, stage_observed
 
-# All subsets of a basket are counted at once if none is wider than this and the mean number of subsets is bounded.
+# All subsets of a basket are counted at once if none is wider than this and the mean number of subsets is bounded; up to the
+# second bound pairs are counted first. The result is the same.
 NARROW = 16
 MEAN_SUBSETS = 64
+PAIRED_SUBSETS = 512
 # Frequent pairs of all bags together, up to which they travel to the baskets by broadcast.
 PAIR_LIMIT = 1_000_000
 
@@ -56,6 +59,7 @@ def frequent_itemsets(
     map_limit: int = RANK_MAP_LIMIT,
     narrow: int = NARROW,
     pair_limit: int = PAIR_LIMIT,
+    at_once: int = MEAN_SUBSETS,
 ) -> tuple[DataFrame, DataFrame]:
     """Itemsets whose largest class count reaches the minimum count of their bag.
 
@@ -76,7 +80,10 @@ def frequent_itemsets(
     )
     baskets = spread(baskets, width["rows"])
     starts = None if suffix_predicate is None else usable.where(suffix_predicate).select("bag_id", "rank")
-    if (width["widest"] or 0) <= narrow and (width["subsets"] or 0) <= MEAN_SUBSETS * width["rows"]:
+    is_narrow, subsets = (width["widest"] or 0) <= narrow, width["subsets"] or 0
+    if is_narrow and subsets <= at_once * width["rows"]:
+        return _all_subsets(baskets, limits, classes, max_length, starts), items_by_rank(ranks)
+    if is_narrow and subsets <= PAIRED_SUBSETS * width["rows"]:
         found = _pairs_first(baskets, ranks, limits, classes, max_length, starts, pair_limit)
         return found, items_by_rank(ranks)
     return _level_by_level(baskets, limits, classes, max_length, starts), items_by_rank(ranks)
@@ -90,6 +97,20 @@ def _from_start(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
     return rows.withColumn("head", F.slice("itemset", 1, 1)).join(heads, ["bag_id", "head"], "left_semi").drop("head")
 
 
+def _all_subsets(
+    baskets: DataFrame, limits: DataFrame, classes: list, max_length: int, starts: DataFrame | None
+) -> DataFrame:
+    empty = F.array(F.array().cast("array<int>"))
+
+    def grow(sets: Column, x: Column) -> Column:
+        open_sets = F.filter(sets, lambda s: F.size(s) < max_length)
+        return F.concat(sets, F.transform(open_sets, lambda s: F.concat(s, F.array(x))))
+
+    subsets = F.filter(F.aggregate("ranks", empty, grow), lambda s: F.size(s) > 0)
+    rows = baskets.select("bag_id", F.explode(subsets).alias("itemset"), "label", "n")
+    return _frequent(_from_start(rows, starts), limits, classes)
+
+
 def _pairs_first(
     baskets: DataFrame,
     ranks: DataFrame,
@@ -228,6 +249,7 @@ def mine_support(
     map_limit: int = RANK_MAP_LIMIT,
     narrow: int = NARROW,
     pair_limit: int = PAIR_LIMIT,
+    at_once: int = MEAN_SUBSETS,
 ) -> DataFrame:
     """Rules itemset -> class for each class that attains the itemset's largest class count.
 
@@ -235,7 +257,7 @@ def mine_support(
     """
     counts = stage(label_counts(tx), "label-counts") if counts is None else counts
     itemsets, names = frequent_itemsets(
-        tx, min_support, max_length, suffix_predicate, counts, map_limit, narrow, pair_limit
+        tx, min_support, max_length, suffix_predicate, counts, map_limit, narrow, pair_limit, at_once
     )
     found = _candidates(itemsets.where(F.col("n_hit") == F.col("n_max")), names)
     exempt = None if filter_singletons else F.size("antecedent") == 1
