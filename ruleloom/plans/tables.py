@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.sources.text import equal_width, item_array
-from ruleloom.staging import spread
+from ruleloom.staging import spread, stage
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,14 +54,19 @@ def line_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return facts.select("rec_id", item_array(items, complete=True).alias("items"), F.col("l_returnflag").alias("label"))
 
 
+def _with_header(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The lines after a bar line and a blank line. They are staged: the look at the first line and each later pass would join anew."""
+    extra = spark.createDataFrame([("header", "|line records"), ("blank", "")], "rec_id string, value string")
+    return extra.coalesce(1).unionByName(stage(lines, "text-lines"))
+
+
 def line_text(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as comma-separated text (rec_id, value), headed by a bar line, with a blank line."""
     facts = _line_facts(spark, folder)
     value = F.concat_ws(
         ",", "l_linestatus", "p_type", "quantity_bin", "discount_pct", "ship_month", "l_returnflag"
     )
-    extra = spark.createDataFrame([("header", "|line records"), ("blank", "")], "rec_id string, value string")
-    return extra.coalesce(1).unionByName(facts.select("rec_id", value.alias("value")))
+    return _with_header(spark, facts.select("rec_id", value.alias("value")))
 
 
 def ragged_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,8 +79,7 @@ def ragged_text(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("quantity_bin") > 2, "").otherwise(F.col("quantity_bin").cast("string")),
         F.when(F.col("ship_month") > 6, "").otherwise(F.col("ship_month").cast("string")),
     )
-    extra = spark.createDataFrame([("header", "|line records"), ("blank", "")], "rec_id string, value string")
-    return extra.coalesce(1).unionByName(facts.select("rec_id", value.alias("value")))
+    return _with_header(spark, facts.select("rec_id", value.alias("value")))
 
 
 def document_transactions(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators.indexing import global_index
 
+# Up to this many entries the dictionary travels to the records as one broadcast map, which is searched entry by entry; beyond
+# it the cells are joined one by one. The result is the same.
+DICTIONARY_MAP_LIMIT = 1000
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
@@ -41,19 +45,55 @@ def build_dictionary(records: DataFrame) -> DataFrame:
     return global_index(values, [F.desc("pos"), F.asc("value")], "item_id")
 
 
-def encode(records: DataFrame, dictionary: DataFrame, id_col: str = "rec_id", unknown: str = "error") -> DataFrame:
+def encode(
+    records: DataFrame, dictionary: DataFrame, id_col: str = "rec_id", unknown: str = "error", map_limit: int = DICTIONARY_MAP_LIMIT
+) -> DataFrame:
     """Records as (id, ids array<bigint>), the ids in column order; one row for each record, also where ids are equal or null.
 
-    Cells are looked up by a hash join, which Spark broadcasts if the dictionary is small. A value that is not in the
-    dictionary is an error, or is left out with unknown="drop".
+    Cells are looked up in place in one broadcast map if the dictionary is proven small, else by a hash join. A value that is
+    not in the dictionary is an error, or is left out with unknown="drop".
     """
     if unknown not in ("error", "drop"):
         raise ValueError(f"unknown must be error or drop, got {unknown!r}")
+    if _fits_map(dictionary, map_limit):
+        return _encode_by_map(records, dictionary, id_col, unknown)
+    return _encode_by_join(records, dictionary, id_col, unknown)
+
+
+def _unknown_value(pos: Column, value: Column) -> Column:
+    cell = F.to_json(F.struct(pos.alias("pos"), value.alias("value")))
+    return F.raise_error(F.concat(F.lit("value not in the dictionary: "), F.coalesce(cell, F.lit("null"))))
+
+
+def _fits_map(dictionary: DataFrame, map_limit: int) -> bool:
+    """Few entries, none repeated and none without a place, value or id: a map of them says the same as the table."""
+    few = dictionary.limit(map_limit + 1)
+    seen = few.agg(
+        F.count("*").alias("rows"), F.count_distinct("pos", "value").alias("pairs"), F.count("item_id").alias("ids")
+    ).first()
+    return seen["rows"] <= map_limit and seen["rows"] == seen["pairs"] == seen["ids"]
+
+
+def _encode_by_map(records: DataFrame, dictionary: DataFrame, id_col: str, unknown: str) -> DataFrame:
+    """Look the cells up in a broadcast row with one map per place: no shuffle of the records."""
+    ids_of = F.map_from_entries(F.collect_list(F.struct("value", F.col("item_id").cast("bigint")))).alias("ids_of")
+    by_place = F.map_from_entries(F.collect_list(F.struct("pos", "ids_of"))).alias("_ids_of")
+    maps = dictionary.groupBy("pos").agg(ids_of).agg(by_place)
+
+    def found(value: Column, pos: Column) -> Column:
+        item = F.try_element_at(F.try_element_at(F.col("_ids_of"), pos), value)
+        return item if unknown == "drop" else F.coalesce(item, _unknown_value(pos, value))
+
+    ids = F.coalesce(F.array_compact(F.transform("fields", found)), F.array().cast("array<bigint>"))
+    return records.select(id_col, "fields").crossJoin(F.broadcast(maps)).select(id_col, ids.alias("ids"))
+
+
+def _encode_by_join(records: DataFrame, dictionary: DataFrame, id_col: str, unknown: str) -> DataFrame:
     same = records.groupBy(id_col, "fields").agg(F.count("*").alias("_copies"))
     cells = same.select(id_col, "fields", "_copies", F.posexplode_outer("fields").alias("pos", "value"))
     found = cells.join(dictionary.withColumn("_known", F.lit(True)), ["pos", "value"], "left")
-    missing = F.raise_error(F.concat(F.lit("value not in the dictionary: "), F.coalesce(F.to_json(F.struct("pos", "value")), F.lit("null"))))
     if unknown == "error":
+        missing = _unknown_value(F.col("pos"), F.col("value"))
         found = found.withColumn("item_id", F.when(F.col("_known") | F.col("pos").isNull(), F.col("item_id")).otherwise(missing))
     cell = F.when(F.col("item_id").isNotNull(), F.struct("pos", "item_id"))
     gathered = found.groupBy(id_col, "fields", "_copies").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))

@@ -47,6 +47,24 @@ def test_encode_and_split_label(lines_df):
     assert rows == {"r1": ([4, 2], 0), "r2": ([5, 2], 1), "r5": ([4, 3], 0), "r6": ([4, 2], 0)}
 
 
+def test_encode_by_map_and_by_join_are_equal(spark, lines_df):
+    """A small dictionary is looked up without a shuffle of the records; a repeated or large one is joined."""
+    dictionary = text.build_dictionary(text.parse_records(lines_df))
+    rows = [("r", ["a", "x", "p"]), ("r", ["a", "x", "p"]), (None, ["b"]), ("e", []), ("n", None), ("o", ["a", None, "zz"])]
+    records = spark.createDataFrame(rows, "rec_id string, fields array<string>")
+    got = [
+        sorted(map(str, text.encode(records, d, unknown="drop", map_limit=limit).collect()))
+        for d, limit in ((dictionary, 1000), (dictionary, 5), (dictionary.where("item_id >= 0"), 6))
+    ]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 6
+    plan = text.encode(records, dictionary, unknown="drop")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "collect_list(struct(pos" in plan
+    twice = dictionary.unionByName(dictionary.withColumn("item_id", dictionary.item_id + 100))
+    assert [len(r["ids"]) for r in text.encode(records.where("rec_id = 'r'"), twice).collect()] == [6, 6]
+    with pytest.raises(Exception, match="value not in the dictionary"):
+        text.encode(records, dictionary).collect()
+
+
 def test_class_count_after_dropped_class_values(spark, lines_df):
     """A class value that the dictionary lacks is dropped: what is then last in its record is an item, no class."""
     dictionary = text.build_dictionary(text.parse_records(lines_df))
