@@ -96,6 +96,10 @@ def baskets(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.one_bag(tables.order_baskets(spark, folder))
 
 
+def basket_input(spark: SparkSession, folder: str) -> DataFrame:
+    return _shared(spark, folder, "basket_input", lambda: training_input(baskets(spark, folder)))
+
+
 def line_bags(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.bag_sample(tables.line_transactions(spark, folder), BAGS, BAG_SHARE, True, SEED)
 
@@ -375,7 +379,7 @@ def rules_support_filtered(spark, folder):
 
 @query("rules_support_baskets")
 def rules_support_baskets(spark, folder):
-    return _show_rules(support.mine_support(baskets(spark, folder), **BASKETS), "rank")
+    return _show_rules(support.mine_support(basket_input(spark, folder), **BASKETS), "rank")
 
 
 @query("rules_support_weekly")
@@ -438,7 +442,7 @@ def rules_ordered(spark, folder):
 @query("rules_classtoken")
 def rules_classtoken(spark, folder):
     settings = {k: v for k, v in BASKETS.items() if k != "max_length"}
-    return _show_rules(support.mine_class_tokens(baskets(spark, folder), **settings), "rank")
+    return _show_rules(support.mine_class_tokens(basket_input(spark, folder), **settings), "rank")
 
 
 @query("ensemble_rules")

@@ -10,6 +10,7 @@ from ruleloom.functions.metrics import gain_exceeds
 from ruleloom.operators import coverage, items, sampling, scoring
 from ruleloom.operators.gain import mine_gain
 from ruleloom.operators.support import mine_support
+from ruleloom.plans import catalog
 from ruleloom.plans.estimator import RuleEstimator
 from ruleloom.plans.training import TrainingSettings, train_bags
 from ruleloom.sources import text
@@ -114,3 +115,15 @@ def test_coverage_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(coverage, "STATE_LIMIT", 0)
     assert covered() == by_broadcast
     assert {level for _, level, _ in by_broadcast} >= {1}
+
+
+def test_baskets_are_joined_once(spark, tmp_path):
+    """Both queries on order baskets read one staged table, in which equal baskets are counted together."""
+    spark.createDataFrame([(1, "B1"), (2, "B2")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, "F") for i in range(6)], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    bought = [(i, 1 + k) for i in range(6) for k in range(1 + i % 2)]
+    spark.createDataFrame(bought, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    table = catalog.basket_input(spark, str(tmp_path))
+    assert catalog.basket_input(spark, str(tmp_path)) is table
+    assert sorted((r["items"], r["label"], r["n"]) for r in table.collect()) == [(["B1"], "F", 3), (["B1", "B2"], "F", 3)]
+    assert catalog.QUERIES["rules_support_baskets"](spark, str(tmp_path)).count() > 0
