@@ -161,10 +161,13 @@ def bag_limits(ranks: DataFrame) -> DataFrame:
 
 
 def encode_by_map(tx: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Look the ranks up in place, in one broadcast map per bag: no shuffle of the records."""
+    """Look the ranks up in place, in one broadcast map per bag: no shuffle of the records.
+
+    The found ranks pass a generator, so that a later condition on them is not pushed below and looks nothing up again.
+    """
     maps = ranks.groupBy("bag_id").agg(F.map_from_entries(F.collect_list(F.struct("item", "rank"))).alias("_rank_of"))
     found = F.array_compact(F.transform("items", lambda i: F.try_element_at(F.col("_rank_of"), i)))
-    return tx.join(F.broadcast(maps), "bag_id").withColumn("ranks", found).drop("_rank_of")
+    return tx.join(F.broadcast(maps), "bag_id").select("*", F.explode(F.array(found)).alias("ranks")).drop("_rank_of")
 
 
 def encode_by_join(tx: DataFrame, ranks: DataFrame) -> DataFrame:

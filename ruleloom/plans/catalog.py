@@ -308,8 +308,8 @@ def feature_select(spark, folder):
 
 @query("rank_tx")
 def rank_tx(spark, folder):
-    tx = lines(spark, folder)
-    counts = stage(items.label_counts(tx), "label-counts")
+    tx = stage(lines(spark, folder), "transactions")
+    counts = stage(items.label_counts(items.compact(tx)), "label-counts")
     ranks, by_map = items.stage_ranks(items.rank_items(counts, LINES["min_support"], "gain"))
     encoded = items.rank_encode(tx, ranks, by_map)
     return encoded.select("rec_id", _words("ranks").alias("ranks"))

@@ -117,6 +117,16 @@ def test_coverage_without_broadcast(spark, monkeypatch):
     assert {level for _, level, _ in by_broadcast} >= {1}
 
 
+def test_ranks_are_looked_up_once(spark, transactions):
+    """Dropping records without a ranked item does not look the ranks up a second time."""
+    tx = transactions([(["a", "b"], 0), (["c"], 1), ([], 1), (["b", "a"], 0), (["a"], 1)])
+    ranks = spark.createDataFrame([(0, "a", 1), (0, "b", 0)], "bag_id int, item string, rank int")
+    encoded = items.rank_encode(tx, ranks)
+    assert encoded._jdf.queryExecution().optimizedPlan().toString().count("_rank_of#") <= 4
+    assert encoded._jdf.queryExecution().optimizedPlan().toString().count("transform(items") == 1
+    assert sorted((r["rec_id"], r["ranks"]) for r in encoded.collect()) == [(0, [0, 1]), (3, [0, 1]), (4, [1])]
+
+
 def test_baskets_are_joined_once(spark, tmp_path):
     """Both queries on order baskets read one staged table, in which equal baskets are counted together."""
     spark.createDataFrame([(1, "B1"), (2, "B2")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
