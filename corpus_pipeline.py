@@ -20,8 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant predicts good; it learns from all labelled documents, also those rejected before."""
-    known = op10_discriminant.features(table(spark, sf_dir, "documents"))
+    """Documents that the discriminant predicts good; it learns from all labelled documents, also those rejected before.
+
+    The statistics are staged, so that no task runs two Python workers, one for them and one for their moments: an executor
+    keeps its workers, each as large as it ever was, through all later stages.
+    """
+    known = stage(op10_discriminant.features(table(spark, sf_dir, "documents")), "statistics")
     return op10_discriminant.accepted(docs, op10_discriminant.learn(known, table(spark, sf_dir, "labels")))
 
 

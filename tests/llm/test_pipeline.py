@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from ruleloom.llm import queries
+from ruleloom.llm import op10_discriminant, queries
 from ruleloom.staging import stage
 from tests_llm_plain import shingle_set
 
@@ -64,6 +64,25 @@ def test_stages_take_odd_rows(spark, odd, none, number):
         assert len({r["doc_id"] for r in out}) == len(out)
 
 
+def test_classifier_learns_without_a_second_worker_in_a_task(spark, tmp_path, monkeypatch):
+    """The moments are summed over staged statistics: no task holds a Python worker for each of both."""
+    docs = spark.createDataFrame([(k, f"{'Some words. ' * (k % 7 + 1)} {'x' * (k % 5)} {k}") for k in range(60)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    plans, moments = [], op10_discriminant.moments
+
+    def watched(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return moments(rows)
+
+    monkeypatch.setattr(op10_discriminant, "moments", watched)
+    out = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+    model = op10_discriminant.learn(op10_discriminant.features(docs), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    want = op10_discriminant.score(op10_discriminant.features(docs), model).where("predicted = 1")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in want.collect())
+    assert "MapInArrow" not in plans[0] and "MapInArrow" in plans[1]
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
